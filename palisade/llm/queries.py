@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, exact_dedup, packing, quality, simhash, substring_dedup
+from palisade.llm import bpe, exact_dedup, licenses, line_dedup, neighbours, packing, quality, simhash, sql, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-OP1_SQL = r"""
-WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
-FROM t WINDOW w AS (PARTITION BY text_sha256)
-"""
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", url_filter.fetched_at(F.col("page_id")).alias("fetched_at"))
+    return url_filter.judge(pages, url_filter.list_history(pages))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", _sha(F.col("kept")).alias("kept_sha256"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +46,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "documents").withColumn("path", licenses.tree_path())
+    return licenses.scan(files)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -60,8 +72,11 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op5_bpe, op8_packing, op9_quality, op10_substring)}
+    return {
+        f.__name__: f
+        for f in (op1_exact_dedup, op2_url_filter, op3_line_dedup, op4_simhash, op5_bpe, op6_neighbours, op7_licenses, op8_packing, op9_quality, op10_substring)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": sql.OP1, "op2_url_filter": sql.OP2, "op3_line_dedup": sql.OP3, "op7_licenses": sql.OP7, "op10_substring": sql.OP10}
