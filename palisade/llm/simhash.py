@@ -71,7 +71,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def planes(fps: np.ndarray) -> np.ndarray:
     """Vertical bit planes: fingerprints (64 n, words) to (n, 64 words), one word for each bit of 64 fingerprints."""
     bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 64, 8 * fps.shape[1]), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64).reshape(-1, 64 * fps.shape[1])
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64).reshape(-1, 64 * fps.shape[1])
 
 
 def close(word: np.ndarray, queries: np.ndarray, block: np.ndarray, valid: np.ndarray, radius: int, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
