@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,12 +38,17 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         """Write ``df`` and return it as read back: lineage ends here and a lost executor rereads files."""
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of frames that nothing refers to; it otherwise waits for the driver's memory to fill."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -218,9 +218,10 @@ def _spread(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = "palisade_" + scratch.root.rsplit("-", 1)[1] + name
-    numbered = scratch.save(df.withColumn("row", F.monotonically_increasing_id()), "rows")
-    numbered.repartition(n, "row").write.bucketBy(n, "row").sortBy("row").option("path", scratch.path(name)).saveAsTable(table)
-    scratch.drop("rows")
+    numbered = df.withColumn("row", F.monotonically_increasing_id()).repartition(n, "row")
+    numbered.write.bucketBy(n, "row").sortBy("row").option("path", scratch.path(name)).option("compression", "zstd").saveAsTable(table)
+    del numbered
+    scratch.release()
     return spark.table(table)
 
 
@@ -244,6 +245,7 @@ def remove_repeats(df: DataFrame, window: int = 35, text_col: str = "text") -> D
     places = short.join(twice, "h").groupBy("row").agg(F.collect_list("pos").alias("places"))
     found = scratch.save(texts.join(places, "row").select("row", "text", "places").mapInArrow(runs(window, length, longer), "h long, s1 long, s2 long, row long, lo int, hi int"), "runs")
     scratch.drop("short", "short-twice")
+    scratch.release()
     covered = None
     if not found.isEmpty():
         key = ["h", "s1", "s2"]
