@@ -40,7 +40,8 @@ def risk(findings: Column, action: str = "default_action") -> Column:
     ``findings`` are structs in order of start; ``action`` names the field with the action taken.
     """
     weighted = lambda f: pick(f["severity"], SEVERITY) * f["confidence"] * pick(f["category"], CATEGORY)
-    parts = {c: _sum(F.filter(findings, lambda f, c=c: f["category"] == c), weighted) for c in CATEGORY}
+    of = lambda c: F.filter(findings, lambda f: f["category"] == c)
+    parts = {c: _sum(of(c), weighted) for c in CATEGORY}
     raw = parts["PII"] * 1.0 + parts["SECRET"] * 1.0 + parts["PROMPT_INJECTION"] * 1.0 + parts["INTERNAL_ASSET"] * 0.75 + parts["UNSAFE_URL"] * 0.75
     credit = _sum(findings, lambda f: pick(f["severity"], SEVERITY) * pick(f[action], CREDIT))
     residual = F.greatest(F.lit(0.0), raw - credit * 0.4)

@@ -6,7 +6,8 @@ rules, ``leaks_of`` those of generated text. All work on array columns inside th
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,15 +107,22 @@ def _smuggled_last(accepted: Column, text: Column) -> Column:
     return F.concat(accepted, F.filter(find_smuggled(text), clear))
 
 
-def with_passes(df: DataFrame, config: ScanConfig = ScanConfig(), text_col: str = "text", prefix: str = "_") -> DataFrame:
-    """``df`` with the findings of the three passes, each free of overlaps in itself."""
+@lru_cache(maxsize=32)
+def _candidates(application: str, config: ScanConfig, text_col: str) -> dict[str, Column]:
+    """The passes' candidates. Building the expressions takes longer than planning them, so they are kept for the session."""
     text = F.col(text_col)
     pii = [d for d in PII if not (d.switch and not getattr(config, d.switch))]
-    cands = {
+    return {
         "secrets": _pass(text, SECRETS, [find_assigned(text)]) if config.secrets else nothing_of(FINDING),
         "pii": _pass(text, pii, []),
         "injections": _pass(text, INJECTIONS, []) if config.injections else nothing_of(FINDING),
     }
+
+
+def with_passes(df: DataFrame, config: ScanConfig = ScanConfig(), text_col: str = "text", prefix: str = "_") -> DataFrame:
+    """``df`` with the findings of the three passes, each free of overlaps in itself."""
+    text = F.col(text_col)
+    cands = _candidates(df.sparkSession.sparkContext.applicationId, replace(config, min_confidence=0.0), text_col)
     df = df.withColumns({f"{prefix}{k}": c for k, c in cands.items()})
     df = df.withColumns({f"{prefix}{k}": greedy(F.col(f"{prefix}{k}"), FINDING) for k in cands})
     return df.withColumn(f"{prefix}injections", _smuggled_last(F.col(f"{prefix}injections"), text)) if config.injections else df

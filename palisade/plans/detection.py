@@ -72,7 +72,7 @@ sums AS (SELECT doc_id, {parts}, {_ordered_sum(f"{_SEVERITY}::DOUBLE * {_CREDIT}
 residual AS (SELECT *, greatest(0::DOUBLE, pii * 1.0::DOUBLE + secrets * 1.0::DOUBLE + prompt_injection * 1.0::DOUBLE + internal_assets * 0.75::DOUBLE + unsafe_urls * 0.75::DOUBLE - credit * 0.4::DOUBLE) AS r FROM sums),
 risk AS (
   SELECT t.doc_id, coalesce(n, 0) AS n, coalesce(floor(pii + 0.5::DOUBLE)::BIGINT, 0) AS pii, coalesce(floor(secrets + 0.5::DOUBLE)::BIGINT, 0) AS secrets, coalesce(floor(prompt_injection + 0.5::DOUBLE)::BIGINT, 0) AS prompt_injection,
-    coalesce(floor(internal_assets + 0.5::DOUBLE)::BIGINT, 0) AS internal_assets, coalesce(floor(unsafe_urls + 0.5::DOUBLE)::BIGINT, 0) AS unsafe_urls, coalesce(least(100, floor(r + 0.5::DOUBLE)::BIGINT), 0) AS total, coalesce(r, 0::DOUBLE) AS residual,
+    coalesce(floor(internal_assets + 0.5::DOUBLE)::BIGINT, 0) AS internal_assets, coalesce(floor(unsafe_urls + 0.5::DOUBLE)::BIGINT, 0) AS unsafe_urls, least(100, coalesce(floor(r + 0.5::DOUBLE)::BIGINT, 0)) AS total, coalesce(r, 0::DOUBLE) AS residual,
     CASE WHEN injected AND (critical OR r > 60) THEN 'RESTRICTED' WHEN critical OR regulated OR r >= 55 THEN 'CONFIDENTIAL' WHEN r > 0 THEN 'INTERNAL' ELSE 'PUBLIC' END AS classification
   FROM t LEFT JOIN residual USING (doc_id))"""
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.plans import detection
+from palisade.plans import detection, texts
 
-MODULES = [detection]
+MODULES = [detection, texts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
