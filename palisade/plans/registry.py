@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.plans import detection, texts
+from palisade.plans import detection, ledger, texts
 
-MODULES = [detection, texts]
+MODULES = [detection, texts, ledger]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
