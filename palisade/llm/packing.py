@@ -17,22 +17,37 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm._shared import slices
-from palisade.llm.bpe import CachedEncoder
+from palisade.llm.bpe import CachedEncoder, Generations
+
+#: Words in each of the two generations of a worker's cache; an entry takes about 200 bytes.
+CACHE = 450_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: visible Latin-1 characters for themselves, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted({*range(256)} - {*visible})
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> CachedEncoder:
+def _tokenizer(path: str, pattern: str) -> CachedEncoder:
+    """Texts are cut by the vocabulary's pattern, so their special tokens' strings are ordinary text; the library's model encodes each match."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    one = tokenizer.encode
-    return CachedEncoder(lambda text: np.array(one(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    tokenize, letters, find = Tokenizer.from_file(path).model.tokenize, byte_letters(), regex.compile(pattern).findall
+
+    def match(m: str) -> bytes:
+        return np.array([t.id for t in tokenize(m.encode().decode("latin-1").translate(letters))], dtype="<u4").tobytes()
+
+    known = Generations(match, CACHE // 2).__getitem__
+    return CachedEncoder(lambda text: b"".join(map(known, find(text))), CACHE)
 
 
 def lengths(n: int, longest: int) -> list[int]:
@@ -41,7 +56,7 @@ def lengths(n: int, longest: int) -> list[int]:
     return [longest] * full + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(df: DataFrame, path: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, pattern: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, bucket, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     ``longest`` must be a power of two. ``sequence_id`` is unique in the result; ``offset`` is 0, as
@@ -51,7 +66,7 @@ def pack(df: DataFrame, path: str, end_id: int = 1, longest: int = 2048, id_col:
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
+        one, end = _tokenizer(path, pattern), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
                 rows, start, size, total, ids = [], [], [], [], []
