@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from palisade.llm._shared import int_lists, slices
 
 #: Entries of the two generations of the cache that a Python worker keeps between tasks.
-CACHE = 300_000
+CACHE = 250_000
 
 
 class Vocabulary:
@@ -39,6 +39,13 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.left, self.right = list(range(len(self.bytes))), list(range(len(self.bytes)))
         self.known: dict[tuple[int, int], bool] = {}
+        #: Nodes by the next byte; under -1 the token that ends there.
+        self.trie: dict = {}
+        for token, i in ranks.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[-1] = i
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 self.left[i], self.right[i] = self._last_merge(token)
@@ -61,7 +68,7 @@ class Vocabulary:
         key = (a, b)
         said = self.known.get(key)
         if said is None:
-            if len(self.known) > 4 * CACHE:
+            if len(self.known) > CACHE:
                 self.known.clear()
             said = self.known[key] = self._follows(a, b)
         return said
@@ -83,17 +90,24 @@ class Vocabulary:
                 limit, b = b + 1, self.left[b]
 
     def extend(self, piece: bytes, last: list[int], begin: int) -> list[int]:
-        """Entries of the table for prefixes longer than ``begin``, given those up to it."""
-        get, follows, longest = self.rank.get, self.follows, self.longest
-        del last[begin:]
-        for end in range(begin + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(piece[start:end])
-                if token is not None and (not start or follows(last[start - 1], token)):
-                    last.append(token)
+        """Entries of the table for prefixes longer than ``begin``, given those up to it.
+
+        From each place, tokens that start there are read off the trie; one that may follow the last
+        token before the place is the last token of the prefix that it ends.
+        """
+        follows, trie, n = self.follows, self.trie, len(piece)
+        last[begin:] = [-1] * (n - begin)
+        for start in range(max(0, begin + 1 - self.longest), n):
+            before, node = last[start - 1] if start else -1, trie
+            for end in range(start, n):
+                node = node.get(piece[end])
+                if node is None:
                     break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+                token = node.get(-1)
+                if token is not None and last[end] < 0 and (before < 0 or follows(before, token)):
+                    last[end] = token
+        if -1 in last:
+            raise ValueError("the vocabulary lacks a byte")
         return last
 
     def ids(self, last: list[int]) -> list[int]:
