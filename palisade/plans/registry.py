@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.plans import detection, ledger, texts
+from palisade.plans import detection, ledger, release, texts
 
-MODULES = [detection, texts, ledger]
+MODULES = [detection, texts, ledger, release]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
