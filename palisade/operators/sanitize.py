@@ -89,14 +89,17 @@ def policy_compare(df: DataFrame, names: list[str], policies: DataFrame | None =
     return rows.select("document_id", "profile", preview.alias("preview"), F.size("actions").alias("n_actions"), "risk_before", "risk_after", "blocked")
 
 
-def token_diff(before: Column, after: Column) -> Column:
-    """struct<n_before, n_after, removed, added>: tokens of one text that the other lacks altogether, with repeats."""
-    words = lambda c: F.filter(F.split(c, java(r"\s+")), lambda w: w != "")
-    a, b = words(before), words(after)
-    return F.struct(
-        F.size(a).alias("n_before"), F.size(b).alias("n_after"),
-        F.filter(a, lambda x: ~F.array_contains(b, x)).alias("removed"), F.filter(b, lambda x: ~F.array_contains(a, x)).alias("added"),
-    )
+def token_diff(df: DataFrame, before_col: str, after_col: str) -> DataFrame:
+    """``df`` with n_before, n_after, removed, added: tokens of one text that the other lacks altogether, with repeats.
+
+    The distinct tokens that differ come from hash sets, as columns of their own; only they are looked up token by token.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), java(r"\s+")), lambda w: w != "")
+    df = df.withColumns({"_a": words(before_col), "_b": words(after_col)})
+    df = df.withColumns({"_only_a": F.array_except("_a", "_b"), "_only_b": F.array_except("_b", "_a")})
+    return df.withColumns({
+        "n_before": F.size("_a"), "n_after": F.size("_b"), "removed": F.filter("_a", lambda w: F.array_contains(F.col("_only_a"), w)), "added": F.filter("_b", lambda w: F.array_contains(F.col("_only_b"), w)),
+    }).drop("_a", "_b", "_only_a", "_only_b")
 
 
 def needs_resanitize(content: Column, made_under: Column, policy_name: Column) -> Column:

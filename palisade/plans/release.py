@@ -72,8 +72,8 @@ def profiles(spark, sf_dir):
 
 
 def diffs(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text", F.regexp_replace("text", "[Tt]he", "this").alias("after"), sanitize.token_diff(F.col("text"), F.regexp_replace("text", "[Tt]he", "this")).alias("d"))
-    return docs.select("doc_id", F.col("d.n_before").cast("long").alias("n_before"), F.col("d.n_after").cast("long").alias("n_after"), F.size("d.removed").cast("long").alias("n_removed"), F.size("d.added").cast("long").alias("n_added"))
+    docs = sanitize.token_diff(documents(spark, sf_dir).select("doc_id", "text", F.regexp_replace("text", "[Tt]he", "this").alias("after")), "text", "after")
+    return docs.select("doc_id", F.col("n_before").cast("long").alias("n_before"), F.col("n_after").cast("long").alias("n_after"), F.size("removed").cast("long").alias("n_removed"), F.size("added").cast("long").alias("n_added"))
 
 
 #: Outputs with things to filter, by the id's remainder.
