@@ -33,6 +33,11 @@ def spans(text: Column, pattern: str, hint: str = "") -> Column:
     return F.when(test, found).otherwise(none)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often it is used inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 

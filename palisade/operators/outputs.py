@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.regex import java
-from palisade.functions.spans import replace_spans, spans
+from palisade.functions.spans import let, replace_spans, spans
 from palisade.functions.text import strip
 from palisade.operators import risk, scan
 
@@ -118,10 +118,7 @@ def split_claims(c: Column, most: int = 40) -> Column:
 
 def ground_claims(claims: Column, source: Column) -> Column:
     """array<struct<claim, evidence, grounded>>: a run of words of the claim, or half its long words, must be in the source."""
-    low = F.lower(F.coalesce(source, F.lit("")))
-
-    def one(claim: Column) -> Column:
-        words = F.filter(F.split(claim, java(r"\s+")), lambda w: F.length(w) > 3)
+    def one(claim: Column, words: Column, low: Column) -> Column:
         n = F.size(words)
         runs = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: i + k <= n), lambda i: F.array_join(F.slice(words, i + 1, F.lit(k)), " "))
         five = F.filter(runs(5), lambda r: F.contains(low, F.lower(r)))
@@ -137,7 +134,9 @@ def ground_claims(claims: Column, source: Column) -> Column:
         )
         return F.struct(F.left(claim, F.lit(280)).alias("claim"), evidence.alias("evidence"), (evidence != "none").alias("grounded"))
 
-    return F.transform(claims, one)
+    words_of = lambda c: F.filter(F.split(c, java(r"\s+")), lambda w: F.length(w) > 3)
+    of = lambda low: F.transform(claims, lambda c: let(words_of(c), lambda words: one(c, words, low)))
+    return let(F.lower(F.coalesce(source, F.lit(""))), of)
 
 
 def grounding_status(citations: Column) -> Column:

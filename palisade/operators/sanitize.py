@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.regex import java
-from palisade.functions.spans import replace_spans
+from palisade.functions.spans import let, replace_spans
 from palisade.functions.text import strip
 from palisade.operators import policy, risk, scan
 
@@ -92,14 +92,12 @@ def policy_compare(df: DataFrame, names: list[str], policies: DataFrame | None =
 def token_diff(df: DataFrame, before_col: str, after_col: str) -> DataFrame:
     """``df`` with n_before, n_after, removed, added: tokens of one text that the other lacks altogether, with repeats.
 
-    The distinct tokens that differ come from hash sets, as columns of their own; only they are looked up token by token.
+    The distinct tokens that differ come from hash sets; only they are looked up token by token.
     """
     words = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), java(r"\s+")), lambda w: w != "")
     df = df.withColumns({"_a": words(before_col), "_b": words(after_col)})
-    df = df.withColumns({"_only_a": F.array_except("_a", "_b"), "_only_b": F.array_except("_b", "_a")})
-    return df.withColumns({
-        "n_before": F.size("_a"), "n_after": F.size("_b"), "removed": F.filter("_a", lambda w: F.array_contains(F.col("_only_a"), w)), "added": F.filter("_b", lambda w: F.array_contains(F.col("_only_b"), w)),
-    }).drop("_a", "_b", "_only_a", "_only_b")
+    only = lambda x, y: let(F.array_except(x, y), lambda few: F.filter(x, lambda w: F.array_contains(few, w)))
+    return df.withColumns({"n_before": F.size("_a"), "n_after": F.size("_b"), "removed": only(F.col("_a"), F.col("_b")), "added": only(F.col("_b"), F.col("_a"))}).drop("_a", "_b")
 
 
 def needs_resanitize(content: Column, made_under: Column, policy_name: Column) -> Column:

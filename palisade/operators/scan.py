@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import checks
 from palisade.functions.regex import java
-from palisade.functions.spans import SPAN, greedy, nothing_of, overlap, spans
+from palisade.functions.spans import SPAN, greedy, let, nothing_of, overlap, spans
 from palisade.operators.detectors import ASSIGNED, CONTEXT_WINDOW, FINDING, INJECTIONS, INVISIBLE, PII, SECRET_CONTEXT, SECRETS, SMUGGLED, STOPWORDS, Detector, assigned_value
 
 #: Which category wins where findings overlap.
@@ -62,14 +62,14 @@ def find(text: Column, d: Detector) -> Column:
 
 def find_assigned(text: Column) -> Column:
     """Credentials assigned to a name that says so, by length, entropy and the words around them."""
-    context = F.transform(spans(text, SECRET_CONTEXT), lambda c: c["start"])
-    near = lambda x: F.exists(context, lambda p: F.least(F.abs(p - x["start"]), F.abs(p - x["end"])) < CONTEXT_WINDOW)
+    near = lambda x, context: F.exists(context, lambda p: F.least(F.abs(p["start"] - x["start"]), F.abs(p["start"] - x["end"])) < CONTEXT_WINDOW)
 
-    def judged(x: Column) -> Column:
+    def judged(x: Column, context: Column) -> Column:
         value = assigned_value(x["matched"])
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["matched"].alias("matched"), value.alias("value"), checks.entropy(value).alias("entropy"), near(x).alias("near"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["matched"].alias("matched"), value.alias("value"), checks.entropy(value).alias("entropy"), near(x, context).alias("near"))
 
-    rows = F.transform(spans(text, ASSIGNED), judged)
+    matches = spans(text, ASSIGNED)
+    rows = F.when(F.size(matches) == 0, F.array()).otherwise(let(spans(text, SECRET_CONTEXT), lambda context: F.transform(matches, lambda x: judged(x, context))))
     rows = F.filter(rows, lambda x: ~F.lower(x["value"]).isin(STOPWORDS) & (x["entropy"] >= 2.0) & ((x["entropy"] >= 2.5) | x["near"]))
 
     def said(x: Column) -> Column:
