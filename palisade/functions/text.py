@@ -10,6 +10,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palisade.functions.regex import java
 
@@ -27,7 +28,7 @@ DICTIONARY = r"\b(the|and|or|is|to|of|in|for|with|on|as|by|at|from|this|that|was
 LABELS = {"PUBLIC_RELEASE": "Public Release", "INTERNAL_SUMMARY": "Internal Summary", "EXECUTIVE_BRIEF": "Executive Brief", "HR_SAFE": "HR Safe", "SECURITY_INCIDENT": "Security Incident"}
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _composed(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 

@@ -20,7 +20,7 @@ def decode_text(content: F.Column) -> F.Column:
     """UTF-8; Latin-1 if over 2 % of the characters would be replaced and Latin-1 shows more printable ones."""
     utf8 = content.cast("string")  # invalid bytes stay and are counted below
     valid = F.make_valid_utf8(utf8)
-    latin = F.decode(content, F.lit("ISO-8859-1"))
+    latin = F.decode(content, "ISO-8859-1")
     printable = lambda c: F.regexp_count(c, F.lit(r"[\x20-\x7E\n\r]"))
     bad = F.regexp_count(valid, F.lit("�")) > F.length(valid) * 0.02
     return F.when(bad & (printable(latin) > printable(valid)), latin).otherwise(valid)
