@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions.regex import re2_sql, sql_string
 from palisade.operators import intel, outputs, policy, sanitize, scan
 from palisade.plans.detection import _PLANTED, documents, planted, risk_cte
-from palisade.plans.detector_sql import findings_cte, spans_sql
+from palisade.plans.detector_sql import findings_cte, passes_sql, spans_sql
 
 PROFILES = {n: p[2:] for n, p in (policy.BUILTIN | policy.TEMPLATES).items()}
 
@@ -189,6 +189,20 @@ usable AS (SELECT *, length(trim(regexp_replace(regexp_replace(masked, '\\[([A-Z
 done AS (SELECT *, n > 0 AND NOT injected AND usable_chars < 15 AS blocked FROM usable)"""
 
 
+def _rescanned(profile: str) -> str:
+    """..., risk AS: the risk of every document's sanitized text; a blocked document's text is the original."""
+    return risk_cte(f"SELECT doc_id, CASE WHEN blocked THEN text ELSE masked END AS text, blocked FROM ({_sanitize_cte(_PLANTED, profile)} SELECT * FROM done)")
+
+
+def _leaks_sql() -> str:
+    passes = passes_sql()
+    merged = " UNION ALL ".join(f"SELECT doc_id, s, e, masked, type, category, {i} AS o FROM {n}" for i, n in enumerate(("pii", "secrets", "injections")))
+    fold = "list_reduce(list_concat([{'s': -1, 'e': -1, 'r': t.text}], coalesce(l, [])), lambda a, x: {'s': -1, 'e': -1, 'r': a.r[1:x.s] || x.r || a.r[x.e + 1:]}).r"
+    return f"""WITH t AS MATERIALIZED ({_PLANTED}), {", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in passes.items())}, merged AS ({merged}),
+g AS (SELECT doc_id, list({{'s': s, 'e': e, 'r': CASE WHEN masked <> '' THEN masked ELSE '[REDACTED]' END}} ORDER BY s DESC, o) AS l, count(*) AS n, bool_or(type = 'PASSWORD' OR category = 'PROMPT_INJECTION') AS refused FROM merged GROUP BY doc_id)
+SELECT t.doc_id, n IS NULL AS passed, coalesce(n, 0) AS n_leaks, coalesce(refused, false) AS refused, sha256({fold}) AS repaired_sha256 FROM t LEFT JOIN g ON t.doc_id = g.doc_id"""
+
+
 _TYPES = ", ".join(f"'{x}'" for x in [*policy.TYPES, *policy.CATEGORIES])
 _KNOWN = ", ".join(f"'{x}'" for x in [*policy.TYPES, *policy.CATEGORIES, *policy.CONTENT])
 _NEVER = ", ".join(f"'{x}'" for x in policy.NEVER_ALLOWED)
@@ -283,6 +297,9 @@ SQL = {
 SELECT doc_id, s::BIGINT AS span_start, type, CASE WHEN override IS NULL THEN plain WHEN category = 'PROMPT_INJECTION' THEN 'QUARANTINE' WHEN override = 'ALLOW' AND category = 'SECRET' THEN 'REDACT' ELSE override END AS action FROM o""",
     "sanitize": f"{_sanitize_cte(_PLANTED)} SELECT doc_id, sha256(CASE WHEN blocked THEN text ELSE masked END) AS content_sha256, blocked, usable_chars, n AS n_actions FROM done",
     "usable_prose_block": f"{_sanitize_cte('SELECT p.doc_id, substring(p.text, length(d.text) + 1) AS text FROM (' + _PLANTED + ') p JOIN documents d ON p.doc_id = d.doc_id')} SELECT blocked, usable_chars, count(*) AS n FROM done GROUP BY ALL",
+    "residual_risk": f"{_rescanned('PUBLIC_RELEASE')} SELECT blocked, count(*) AS n, sum(CASE WHEN blocked THEN 100 ELSE total END)::BIGINT AS risk_after FROM risk JOIN t USING (doc_id) GROUP BY blocked",
+    "policy_compare": " UNION ALL ".join(f"SELECT '{p}' AS profile, * FROM ({_rescanned(p)} SELECT blocked, count(*) AS n, sum(total)::BIGINT AS risk_after FROM risk JOIN t USING (doc_id) GROUP BY blocked)" for p in ("PUBLIC_RELEASE", "HR_SAFE", "SECURITY_INCIDENT")),
+    "output_dlp": _leaks_sql(),
     "validate_policies": _bucket_sql(),
     "recommend_profile": """WITH p AS (SELECT *, CASE doc_id % 5 WHEN 1 THEN 'INTERNAL_SUMMARY' WHEN 2 THEN 'EXECUTIVE_BRIEF' WHEN 3 THEN 'SECURITY_INCIDENT' ELSE 'PUBLIC_RELEASE' END AS profile FROM documents)
 SELECT doc_id, profile, doc_id % 7 = 0 OR (CASE WHEN doc_id % 3 > 0 THEN 'HR_SAFE' END) IS DISTINCT FROM profile AS again FROM p""",
