@@ -105,12 +105,13 @@ def _send(trees: Trees, counts: Counts, depth: int, dims: int, enough: int | Non
     return run
 
 
-def _compare(dims: int, k: int, depth: int):
+def _compare(dims: int, k: int):
     """Sorted entries and queries of cells to each query's best ``k`` entries there."""
 
     def best(codes, ids, x, batch: pa.RecordBatch) -> pa.RecordBatch:
         q, asked = matrix(batch.column("v"), dims), batch.column("id").to_numpy()
-        code, shift = batch.column("code").to_numpy(), BITS - np.maximum(batch.column("bits").to_numpy(), depth).astype(np.int64)
+        # a prefix shorter than the cells' holds every cell that the query was sent to, the siblings of its own too
+        code, shift = batch.column("code").to_numpy(), BITS - batch.column("bits").to_numpy().astype(np.int64)
         lo = np.searchsorted(codes, code >> shift << shift)
         hi = np.searchsorted(codes, ((code >> shift) + 1) << shift)
         near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
@@ -188,7 +189,7 @@ def nearest(df: DataFrame, asks: Column, k: int = 5, trees: int = 24, share: flo
     sent = entries.select(F.col("id").cast("long"), "v").mapInArrow(_send(forest, counts, depth, dims, None), schema)
     sent = sent.unionByName(asked.select(F.col("id").cast("long"), "v").mapInArrow(_send(forest, counts, depth, dims, enough), schema))
     cell = ["tree", "cell", "part"]
-    found = sent.repartition(*cell).sortWithinPartitions(*cell, "asks", "code").mapInArrow(_compare(dims, k + 1, depth), "query long, entry long, score double")
+    found = sent.repartition(*cell).sortWithinPartitions(*cell, "asks", "code").mapInArrow(_compare(dims, k + 1), "query long, entry long, score double")
     best = found.groupBy("query", "entry").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query")
     best = best.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "entry"))).filter(F.col("r") <= k + 1)

@@ -198,6 +198,19 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_sibling_cells(spark, monkeypatch):
+    """Cells deeper than the prefixes that queries ascend to, as in large tables: 7 bits against about 4."""
+    monkeypatch.setattr(neighbours, "CELL", 32)
+    x = np.random.default_rng(2).normal(size=(4000, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(rows, F.col("vec_id") % 50 == 0).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(80), np.arange(0, 4000, 50)] = -2
+    best = {(50 * q, int(i)) for q, row in enumerate(np.argsort(-near, axis=1)[:, :5]) for i in row}
+    assert len(got) == len(best) == 400 and len(got & best) >= 0.9 * 400, len(got & best)
+
+
 def test_url_lists(spark):
     ts = "timestamp_ntz"
     changes = spark.createDataFrame([("spam", "domain", "bad.test", 1, "add", False), ("spam", "domain", "bad.test", 5, "remove", False), ("ok", "host", "a.bad.test", 2, "add", True), ("p", "prefix", "x.test/en", 0, "add", False), (None, "host", "x.test", 0, "add", False)], "list string, kind string, value string, day int, action string, allow boolean")
