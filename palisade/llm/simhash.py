@@ -2,8 +2,9 @@
 
 Fingerprints that differ in at most ``radius`` bits of 64 agree on one of ``radius + 1`` blocks of
 bits (or, with more blocks, on several at once), so every link is found among fingerprints that
-share a key of that kind. For a similarity threshold, fingerprints are four words wide and keys are
-spread choices of bits (``spread_keys``), enough of them that similar texts share one.
+share a key of that kind. ``keep_one`` decides by the similarity of shingle sets instead, exactly:
+its candidates come from rare shingles that similar sets must share, as fingerprints estimate a
+similarity too coarsely for short texts and for pairs near the threshold.
 
 Within a key the comparison is bit-sliced: 64 fingerprints are stored as one word per bit; XOR with
 the query's bit gives 64 difference bits at once, which go into carry-save counters one bit wide
@@ -22,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm._shared import Scratch, slices
+from palisade.llm._shared import Scratch, int_lists, slices
 from palisade.llm.components import components
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -180,12 +181,6 @@ def block_keys(radius: int, blocks: int) -> list[list[int]]:
     return [[b for r in pick for b in r] for pick in combinations(cut, blocks - radius)]
 
 
-def spread_keys(words: int, count: int, bits: int) -> list[list[int]]:
-    """``count`` fixed choices of ``bits`` bits."""
-    rng = np.random.default_rng(20)
-    return [sorted(rng.choice(64 * words, bits, replace=False).tolist()) for _ in range(count)]
-
-
 def near_links(nodes: DataFrame, choices: list[list[int]], radius: int, words: int = 1, chunk: int = 2048) -> DataFrame:
     """(u, v): links between nodes (node long, fp0, fp1, ...) whose components are those of all pairs that share a key and are within ``radius``.
 
@@ -272,15 +267,110 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return _grouped(fps, block_keys(radius, blocks), radius, 1, id_col, scratch).withColumnRenamed("fp0", "fp")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 48, words: int = 4, keys: int = 40, bits: int = 14) -> DataFrame:
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, node long, shingles array<long>): XXH64 of the distinct shingles of ``size`` lower-cased words, ascending, and a hash of them all.
+
+    A text of fewer words is one shingle; a null or blank text has none.
+    """
+
+    def hashes(text: bytes) -> np.ndarray:
+        split = text.lower().split()
+        if not split:
+            return np.zeros(0, np.int64)
+        shingles = {b" ".join(split)} if len(split) < size else {b" ".join(s) for s in zip(*(split[i:] for i in range(size)))}
+        return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), ">i8").astype("<i8"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                sets = [hashes(t or b"").tobytes() for t in part.column(text_col).cast(pa.binary()).to_pylist()]
+                nodes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, sets)), ">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(nodes), int_lists(sets, "<i8")], [id_col, "node", "shingles"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, node long, shingles array<long>")
+
+
+def rare_shingles(sets: DataFrame, common: np.ndarray, share: tuple[int, int]) -> DataFrame:
+    """(token, node, pos, size): of every set as many of its first shingles as one of any two similar sets must share.
+
+    common: shingles in the order that they come in, after all others. Any order of all shingles
+    would do; one with the common ones last makes few candidates.
+    """
+    a, b = share
+    by_hash = np.argsort(common, kind="stable")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, node, pos, size = [], [], [], []
+            for n, x in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+                x = x.values.to_numpy()
+                if not len(x):
+                    continue
+                rank = np.zeros(len(x), np.int64)
+                if len(common):
+                    at = by_hash[np.minimum(np.searchsorted(common, x, sorter=by_hash), len(common) - 1)]
+                    rank = np.where(common[at] == x, at + 1, 0)
+                first = np.argsort(rank, kind="stable")[: len(x) + (-a * len(x) // b) + 1]
+                token.append(x[first])
+                node.append(np.full(len(first), n))
+                pos.append(np.arange(len(first), dtype=np.int32))
+                size.append(np.full(len(first), len(x), np.int32))
+            if token:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (token, node, pos, size)], ["token", "node", "pos", "size"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "token long, node long, pos int, size int")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: tuple[int, int] = (4, 5), sample: int = 8192) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their group of similar texts; a null id stays, as nothing names it.
 
-    Texts whose shingle sets have Jaccard similarity s differ in about 256 acos(2 s / (1 + s)) / pi of
-    256 bits: 39 at 0.8, 59 at 0.6, 128 for unrelated texts. The radius of 48 leaves room for the
-    spread of about 6 bits, and 40 keys of 14 bits miss under 2 % of pairs at 0.8, fewer above it.
+    Texts are similar if the Jaccard similarity of their shingle sets is at least ``share``, a
+    fraction; groups are connected by similar pairs. Every such pair is connected: of sets of n
+    shingles in one order, two similar ones share one of the first n - ceil(share n) + 1. Those that
+    share one are compared by their whole sets (of 64-bit hashes), first each with the smallest and the
+    largest node that has the same shingle, then all that these did not connect. Of ``sample`` sets,
+    picked by hash, the common shingles are counted, which only decides how many pairs are compared.
     """
+    a, b = share
     scratch = Scratch(df.sparkSession, "simhash-keep")
-    fps = scratch.save(fingerprints(df, id_col, text_col, size, words), "fingerprints")
-    grouped = _grouped(fps, spread_keys(words, keys, bits), radius, words, id_col, scratch)
-    kept = scratch.save(grouped.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept")
+    sets = scratch.save(shingle_sets(df.filter(F.col(id_col).isNotNull()), id_col, text_col, size), "sets")
+    part = F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < min(1.0, sample / max(1, sets.count())) * 1_000_000
+    counts = sets.filter(part).select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    common = np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(1 << 16).collect()][::-1], np.int64)
+    group = Window.partitionBy("token")
+    one = F.struct("node", "pos", "size")
+    rows = rare_shingles(sets, common, share).withColumns({"least": F.min(one).over(group), "most": F.max(one).over(group)})
+    rows = scratch.save(rows.filter("least.node < most.node"), "rows")
+    scratch.release()
+
+    def can(x: Column, y: Column) -> Column:
+        """Whether two sets can be similar, if this is the first shingle that they share: what is left of the shorter rest is all they share."""
+        return F.least(x["size"] - x["pos"], y["size"] - y["pos"]) * (a + b) >= (x["size"] + y["size"]) * a
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), f"{name}-pairs")
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        ends = scratch.save(ends, f"{name}-nodes")  # a table of known size: while it is small, the sets are not shuffled
+        some = scratch.save(sets.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+        both = pairs.join(some.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(some.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+        links = scratch.save(both.filter(F.size(F.array_intersect("x", "y")) * (a + b) >= a * (F.size("x") + F.size("y"))).select("u", "v"), f"{name}-links")
+        scratch.drop(f"{name}-pairs", f"{name}-nodes", f"{name}-sets")
+        scratch.release()
+        return links
+
+    ends = rows.select(one.alias("x"), F.explode(F.array("least", "most")).alias("y")).filter(can(F.col("x"), F.col("y")))
+    links = similar(ends.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), "ends")
+    roots = scratch.save(components(links, scratch), "ends-roots")
+    rest = rows.select("token", "node", "pos", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = rest.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group)}).filter("least < most").drop("least", "most")
+    rest = scratch.save(rest, "rest")
+    left, right = (rest.select("token", F.struct("node", "pos", "size", "root").alias(c)) for c in "xy")
+    pairs = left.join(right, "token").filter((F.col("x.root") < F.col("y.root")) & can(F.col("x"), F.col("y")))
+    pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    links = links.unionByName(similar(pairs, "rest"))
+    roots = scratch.save(components(links, scratch), "roots")
+    named = sets.select(id_col, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = scratch.save(named.groupBy("root").agg(F.min(id_col).alias(id_col)).select(id_col), "kept")
+    scratch.drop("sets", "rows", "rest")
     return df.join(kept, id_col, "left_semi").select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))

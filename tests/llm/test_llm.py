@@ -136,6 +136,33 @@ def test_near_dedup_of_few(docs, none):
     assert simhash.near_dedup(none).count() == 0 and simhash.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_by_exact_similarity(spark):
+    """Against all pairs: short texts, and similarities on both sides of the threshold, also chained."""
+    rng, texts = np.random.default_rng(4), []
+    some = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    for n in (1, 4, 5, 8, 9, 12, 19, 30, 60, 120, 400):
+        for _ in range(12):
+            base = some(n)
+            texts.append(base)
+            texts.append(base + some(1))
+            texts.append(base + some(max(1, n // rng.integers(4, 9))))
+            texts.append(base[max(1, n // 8) :] + some(max(1, n // 14)))
+    line = some(12)  # common to many that have little else
+    texts += [some(2) + line + some(k % 4) for k in range(60)] + [[], [], line]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} or ({tuple(t)} if t else set()) for t in texts]
+    parent, at = np.arange(len(texts)), []
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                simhash._root(parent, np.array([i]), np.array([j]))
+            at += [len(x & y) / len(x | y)] if x & y else []
+    assert sum(0.65 <= s < 0.8 for s in at) > 20 and sum(0.8 <= s <= 0.85 for s in at) > 20
+    for sample in ({}, {"sample": 20}, {"sample": 0}):
+        kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), **sample).collect()
+        assert sorted(r["doc_id"] for r in kept) == np.unique(parent).tolist()
+
+
 @pytest.fixture(scope="module")
 def reference():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
