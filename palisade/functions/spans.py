@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.regex import java
@@ -12,25 +12,27 @@ from palisade.functions.regex import java
 SPAN = "array<struct<start:int,end:int,matched:string>>"
 
 
-def spans(text: Column, pattern: str, hint: str = "") -> Column:
+def spans(text: Column, pattern: str, test: Column | None = None) -> Column:
     """array<struct<start, end, matched>>: all matches from left to right; 0-based code points, end exclusive.
 
-    Cheap tests come first, as most texts match few patterns. Matched parts and the gaps between
-    them alternate, so offsets are running sums of their lengths.
+    test: a cheap condition without which there can be no match, as most texts match few patterns.
+    Matched parts and the gaps between them alternate, so offsets are running sums of their lengths.
     """
     p = java(pattern)
-    matched = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, p, -1), 1, F.size(matched)), matched, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
     none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
+        end = start + x["size"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("matched")))).alias("out"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    test = text.rlike(hint) & text.rlike(p) if hint else text.rlike(p)
-    return F.when(test, found).otherwise(none)
+    def located(matched: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, p, -1), 1, F.size(matched)), matched, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("m")))
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    found = let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), located)
+    hit = text.rlike(p)
+    return F.when(hit if test is None else test & hit, found).otherwise(none)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -38,6 +40,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def each(df: DataFrame, values: Column, out: str, *keep: str, position: str = "") -> DataFrame:
+    """``keep`` and a row per element. An explode would also test the array for elements, and so compute it again below itself."""
+    rows = df.select(*keep, F.posexplode_outer(values).alias(position, out)) if position else df.select(*keep, F.explode_outer(values).alias(out))
+    return rows.filter(F.col(out).isNotNull())
+
+
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 

@@ -6,6 +6,7 @@ Only Unicode composition runs in Python, on Arrow batches, and only for texts wi
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from palisade.functions.regex import java
+from palisade.functions.spans import let
 
 # Characters that go, what marks a text as worth scanning, printable characters, common words.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -72,50 +74,79 @@ def _share(c: Column, n: Column) -> Column:
     return c.cast("double") / F.greatest(F.lit(1), n)
 
 
+def _count(c: Column, kind: str) -> Column:
+    """How many characters are of a class: what is left without the stretches of all others."""
+    return F.length(F.regexp_replace(c, f"[^{kind[1:-1]}]+", ""))
+
+
+def _measure(c: Column, more: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """A struct of what is counted in a sample, each of it once: n, w, printable, cjk, spaces, average, and ``more`` of the sample and its words."""
+    def measured(sample: Column) -> Column:
+        def counted(words: Column) -> Column:
+            n, w = F.length(sample), F.size(words)
+            cjk = F.when(F.octet_length(sample) > n, _share(_count(sample, CJK), n)).otherwise(0.0)
+            own = {
+                "n": n, "w": w, "printable": _share(n - F.length(F.regexp_replace(sample, f"{PRINTABLE}+", "")), n), "cjk": cjk,
+                "spaces": _share(n - F.length(F.replace(sample, F.lit(" "), F.lit(""))), n), "average": F.when(w > 0, n.cast("double") / w).otherwise(0.0),
+            }
+            return F.struct(*(v.alias(k) for k, v in (own | more(sample, words)).items()))
+
+        return let(words_of(sample), counted)
+
+    return let(c, measured)
+
+
 def looks_binary(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
-    sample = F.left(c, F.lit(4000))
-    n, w = F.length(sample), F.size(words_of(sample))
-    spaces = _share(F.regexp_count(sample, F.lit(" ")), n)
-    average = F.when(w > 0, n.cast("double") / w).otherwise(0.0)
-    return (
-        F.when((F.length(strip(c)) < 20) | c.rlike(java(SECRET_SHAPES)), False)
-        .when(_share(F.regexp_count(sample, F.lit(CJK)), n) > 0.2, False)
-        .when(_share(F.regexp_count(sample, F.lit(PRINTABLE)), n) < 0.72, True)
-        .when(w < 4, ((average > 15) & (spaces < 0.05)) | ((n > 60) & (spaces < 0.03)))
-        .otherwise(((spaces < 0.06) & (average > 12)) | (spaces < 0.04) | (average > 18) | (~sample.rlike("(?i)" + java(COMMON)) & (w > 5) & (spaces < 0.08)))
-    )
+
+    def judged(m: Column) -> Column:
+        n, w, spaces, average = m["n"], m["w"], m["spaces"], m["average"]
+        # fixed values: the limits, as in text_quality
+        return (
+            F.when(m["cjk"] > 0.2, False).when(m["printable"] < 0.72, True)
+            .when(w < 4, ((average > 15) & (spaces < 0.05)) | ((n > 60) & (spaces < 0.03)))
+            .otherwise(((spaces < 0.06) & (average > 12)) | (spaces < 0.04) | (average > 18) | (~m["common"] & (w > 5) & (spaces < 0.08)))
+        )
+
+    sample = _measure(F.left(c, F.lit(4000)), lambda sample, words: {"common": sample.rlike("(?i)" + java(COMMON))})
+    return F.when((F.length(strip(c)) < 20) | c.rlike(java(SECRET_SHAPES)), False).otherwise(let(sample, judged))
+
+
+QUALITY = ("printable_ratio", "space_ratio", "avg_word_len", "word_count", "dictionary_ratio", "score", "is_garbage")
 
 
 def text_quality(c: Column) -> Column:
     """struct<printable_ratio, space_ratio, avg_word_len, word_count, dictionary_ratio, score, is_garbage>."""
     c = F.coalesce(c, F.lit(""))
-    sample = F.left(c, F.lit(8000))
-    n, words = F.length(sample), words_of(sample)
-    w = F.size(words)
-    printable, spaces = _share(F.regexp_count(sample, F.lit(PRINTABLE)), n), _share(F.regexp_count(sample, F.lit(" ")), n)
-    average = F.when(w > 0, n.cast("double") / w).otherwise(0.0)
-    known = _share(F.regexp_count(sample, F.lit("(?i)" + java(DICTIONARY))), w)
-    trimmed = F.filter(F.transform(F.slice(words, 1, 200), lambda x: F.regexp_replace(x, r"^[^0-9A-Za-z_]+|[^0-9A-Za-z_]+\z", "")), lambda x: x != "")
-    first = F.least(w, F.lit(200))
-    alpha = _share(F.size(F.filter(trimmed, lambda x: x.rlike("^[a-zA-Z]{2,20}\\z"))), first)
-    odd = lambda x: x.rlike("[^a-zA-Z]") & ~x.rlike("[aeiouAEIOU]") & (F.length(x) > 5)
-    garbled = _share(F.size(F.filter(trimmed, odd)) + F.size(F.filter(trimmed, lambda x: F.length(x) > 25)), first)
-    garbage = (
-        F.when(_share(F.regexp_count(sample, F.lit(CJK)), n) > 0.2, printable < 0.5)
-        .otherwise(
-            (printable < 0.72) | ((spaces < 0.04) & (w > 5)) | ((spaces < 0.06) & (average > 14)) | (average > 20) | (garbled > 0.35)
-            | ((alpha < 0.15) & (w > 10) & (known < 0.03)) | ((w < 8) & (average > 12) & (known == 0))
-        )
-    )
-    score = printable * 0.35 + F.least(F.lit(1.0), spaces * 6) * 0.25 + F.least(F.lit(1.0), known * 8) * 0.2 + (1 - F.least(F.lit(1.0), garbled * 2)) * 0.2
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-    make = lambda *x: F.struct(*(v.alias(k) for k, v in zip(("printable_ratio", "space_ratio", "avg_word_len", "word_count", "dictionary_ratio", "score", "is_garbage"), x)))
+    make = lambda *x: F.struct(*(v.alias(k) for k, v in zip(QUALITY, x)))
     d = lambda x: F.lit(float(x))
+
+    def words_too(sample: Column, words: Column) -> dict[str, Column]:
+        first = F.least(F.size(words), F.lit(200))
+        trimmed = F.filter(F.transform(F.slice(words, 1, 200), lambda x: F.regexp_replace(x, r"^[^0-9A-Za-z_]+|[^0-9A-Za-z_]+\z", "")), lambda x: x != "")
+        odd = lambda x: ((F.length(x) > 5) & x.rlike("[^a-zA-Z]") & ~x.rlike("[aeiouAEIOU]")).cast("int") + (F.length(x) > 25).cast("int")
+        kinds = let(trimmed, lambda t: F.struct(F.size(F.filter(t, lambda x: x.rlike("^[a-zA-Z]{2,20}\\z"))).alias("plain"), F.aggregate(t, F.lit(0), lambda acc, x: acc + odd(x)).alias("odd")))
+        return {"known": _share(F.regexp_count(sample, F.lit("(?i)" + java(DICTIONARY))), F.size(words)), "kinds": kinds, "first": first}
+
+    def judged(m: Column) -> Column:
+        w, printable, spaces, average, known = m["w"], m["printable"], m["spaces"], m["average"], m["known"]
+        alpha, garbled = _share(m["kinds"]["plain"], m["first"]), _share(m["kinds"]["odd"], m["first"])
+        # fixed values: the limits and weights that results depend on
+        garbage = (
+            F.when(m["cjk"] > 0.2, printable < 0.5)
+            .otherwise(
+                (printable < 0.72) | ((spaces < 0.04) & (w > 5)) | ((spaces < 0.06) & (average > 14)) | (average > 20) | (garbled > 0.35)
+                | ((alpha < 0.15) & (w > 10) & (known < 0.03)) | ((w < 8) & (average > 12) & (known == 0))
+            )
+        )
+        score = printable * 0.35 + F.least(F.lit(1.0), spaces * 6) * 0.25 + F.least(F.lit(1.0), known * 8) * 0.2 + (1 - F.least(F.lit(1.0), garbled * 2)) * 0.2
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+        return let(garbage, lambda bad: make(printable, spaces, average, w, known, F.when(bad, F.least(score, F.lit(0.35))).otherwise(score), bad))
+
     return (
         F.when(F.length(strip(c)) == 0, make(d(0), d(0), d(0), F.lit(0), d(0), d(0), F.lit(True)))
         .when(F.left(c, F.lit(4000)).rlike(java(SECRET_SHAPES)), make(d(1), d(0.15), d(10), F.lit(10), d(0.1), d(0.8), F.lit(False)))
-        .otherwise(make(printable, spaces, average, w, known, F.when(garbage, F.least(score, F.lit(0.35))).otherwise(score), garbage))
+        .otherwise(let(_measure(F.left(c, F.lit(8000)), words_too), judged))
     )
 
 
@@ -196,6 +227,6 @@ def is_placeholder(c: Column) -> Column:
 
 def quality_gate(c: Column) -> tuple[Column, Column]:
     """(text, warning): a text that is garbage or scores under 0.3 becomes empty; placeholders pass. The warning is null for a text that stays."""
-    q, blank = text_quality(c), F.length(strip(c)) == 0
-    bad = ~is_placeholder(c) & (q["is_garbage"] | (q["score"] < 0.3))
+    blank = F.length(strip(c)) == 0
+    bad = ~is_placeholder(c) & let(text_quality(c), lambda q: q["is_garbage"] | (q["score"] < 0.3))
     return F.when(blank | bad, "").otherwise(c), F.when(blank, "No extractable text").when(bad, "Low text quality")

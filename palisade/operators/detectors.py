@@ -62,8 +62,10 @@ class Detector:
     switch: str = ""
     cut: int = 0
     extra: dict = field(default_factory=dict)
-    #: A cheap pattern without which there can be no match.
-    hint: str = ""
+    #: Cheap conditions without which there can be no match: see NEEDS and DIGITS.
+    needs: tuple[tuple[str, ...], ...] = ()
+    digits: int = 0
+    digit_run: int = 0
 
 
 def _near_sql(words: list[str], window: int) -> str:
@@ -153,11 +155,11 @@ PII = [
     Detector("internal_url", "INTERNAL_ASSET", "INTERNAL_URL", "HIGH", 0.9, "REDACT", "[INTERNAL_URL_REDACTED]", "Internal host or URL.",
              (r"""(?i)\bhttps?:\/\/(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|internal\.|intranet\.)[^\s"']+""",
               r"""(?i)(?:https?:\/\/)?(?:localhost|127\.\d+\.\d+\.\d+|0\.0\.0\.0|\[?::1\]?)(?::\d{1,5})?(?:\/[^\s"']*)?""",
-              r"""(?i)(?<![\w@/:])(?:[a-z0-9-]+\.)+(?:internal|intranet|local|corp)(?::\d{1,5})?(?:\/[^\s"']*)?"""),
+              r"""(?i)(?<![\w@/:/])(?:[a-z0-9-]+\.)+(?:internal|intranet|local|corp)(?::\d{1,5})?(?:\/[^\s"']*)?"""),
              gate=_long(4), gate_sql="e - s >= 4", switch="internal_assets", extra={"lead": 2},
              sql_patterns=(r"""(?i)\bhttps?:\/\/(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|internal\.|intranet\.)[^\s"']+""",
                            r"""(?i)(?:https?:\/\/)?(?:localhost|127\.\d+\.\d+\.\d+|0\.0\.0\.0|\[?::1\]?)(?::\d{1,5})?(?:\/[^\s"']*)?""",
-                           r"""(?i)(?:^|[^\w@/:])(?:[a-z0-9-]+\.)+(?:internal|intranet|local|corp)(?::\d{1,5})?(?:\/[^\s"']*)?""")),
+                           r"""(?i)(?:^|[^\w@/:/])(?:[a-z0-9-]+\.)+(?:internal|intranet|local|corp)(?::\d{1,5})?(?:\/[^\s"']*)?""")),
     Detector("unsafe_url", "UNSAFE_URL", "UNSAFE_URL", "HIGH", 0.9, "REDACT", "[URL_REMOVED]", "URL scheme that can run or read things.",
              (r"""(?i)(?:javascript\s*:|vbscript\s*:|data\s*:\s*text\/html|file\s*:\/\/[^\s"']+)""",), switch="unsafe_urls"),
     Detector("project", "INTERNAL_ASSET", "INTERNAL_PROJECT", "MEDIUM", 0.68, "REPLACE", "[INTERNAL_PROJECT]", "Internal project or code name.",
@@ -172,7 +174,9 @@ def _secret(name, type, label, confidence, reason, pattern, **more) -> Detector:
     return Detector(name, "SECRET", type, "CRITICAL" if severe else "HIGH", confidence, "REDACT", f"[{label}_REDACTED]", reason, (pattern,), **more)
 
 
+# Assignments, and what they need.
 ASSIGNED = r"""(?i)\b(?:api[_-]?key|secret|token|password|passwd|pwd|access[_-]?token|client[_-]?secret)["'\s:=]+([A-Za-z0-9_\-./+]{12,})"""
+ASSIGNED_NEEDS = ("key", "secret", "token", "passw", "pwd")
 #: Characters a context word may be away from an assignment.
 CONTEXT_WINDOW = 80
 
@@ -245,8 +249,34 @@ INJECTIONS = [
     _injection("active_link", "HIDDEN_INSTRUCTION", "HIGH", 0.85, _REMOVED, "Link that runs code.", r"(?i)\[([^\]]+)\]\((?:javascript|data):[^)]+\)"),
 ]
 
-_HINTS = {"email": "@", "upi": "@", "person": "[:\\-]", "project": "roject|peration|ode", "unsafe_url": ":", "address": "[0-9]", "internal_url": "[.:]|ost"}
-_HINTS |= {d.name: "[0-9]" for d in PII if d.name not in (*_HINTS, "ipv6")} | {"ipv6": ":"}
-PII = [replace(d, hint=_HINTS[d.name]) for d in PII]
-INJECTIONS = [replace(d, hint=h) if (h := {"hidden_comment": "<!--", "hidden_fence": "```", "active_link": "\\]\\("}.get(d.name)) else d for d in INJECTIONS]
+#: Literals of which a text must hold one for a pattern to match it, for each pattern of a detector; those without capitals in any case.
+NEEDS = {
+    "email": [["@"]], "upi": [["@"]], "address": [["Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Dr", "Boulevard", "Blvd", "Court", "Ct", "Circle", "Cir", "Parkway", "Pkwy", "Terrace", "Place", "Plaza"], ["box"]],
+    "ssn": [["-"]], "cvv": [["cvv"]], "expiry": [["exp", "valid"]], "birth_month": [["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]],
+    "phone": [[], [], ["+44"], ["+"]], "ip": [["."]], "ipv6": [[":"]], "org_id": [["emp", "id-", "staff-"]], "passport_in": [["passport"]],
+    "internal_url": [["http://", "https://"], ["localhost", "127.", "0.0.0.0", "::1"], [".internal", ".intranet", ".local", ".corp"]],
+    "unsafe_url": [["javascript", "vbscript", "data", "file"]], "project": [["Project", "Operation", "Codename", "Code-name", "Internal project"]], "person": [[":", "-"]],
+    "aws_key_id": [["AKIA", "ASIA"]], "aws_secret": [["secret"]], "github": [["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]], "github_fine": [["github_pat_"]], "gitlab": [["glpat-"]], "npm": [["npm_"]], "slack": [["xox"]],
+    "stripe": [["_live_", "_test_", "whsec_"]], "gcp_api": [["AIza"]], "jwt": [["eyJ"]], "pem": [["PRIVATE KEY"]], "pgp": [["PGP PRIVATE KEY"]], "ssh": [["ssh-"]], "db_uri": [["://"]], "azure_connection": [["accountkey"]],
+    "azure_key": [["accountkey"]], "gcp_service_account": [["service_account"]], "bearer": [["Bearer"]], "basic": [["Basic"]], "sk_key": [["sk-"]],
+    "ignore_instructions": [["ignore "]], "disregard_instructions": [["disregard "]], "forget_instructions": [["forget "]], "reveal_prompt": [["reveal "]], "privileged_mode": [["you are now"]], "no_longer_bound": [["no longer bound"]],
+    "stop_summarizing": [["stop summarizing"]], "override_complete": [["override complete"]], "release_data": [["release all data"]], "do_anything": [["do anything now"]], "jailbreak": [["jailbreak"]], "developer_mode": [["developer mode"]],
+    "bypass": [["bypass "]], "exfiltrate": [["exfiltrat"]], "output_secret": [["output "]],
+    "role_manipulation": [["you are "], ["mode"], ["act as "], ["pretend "]],
+    "tool_invocation": [[" tool"], [" tool"], ["execute_sql", "send_email", "web_search("], ["email "], ["curl"], ["wget"], ["send "]],
+    "conflicting": [["instead"], ["raw source"], ["full token list"]], "hidden_comment": [["<!--"]], "hidden_fence": [["```"]], "active_link": [["](javascript:", "](data:"]],
+}
+#: Digits that a text must have, in all and in one run.
+DIGITS = {
+    "card": (13, 1), "aadhaar": (12, 4), "pan": (4, 4), "ssn": (9, 4), "passport_us": (8, 8), "passport_in": (7, 7), "drivers_license": (13, 7), "zip": (5, 5), "pin": (6, 6), "address": (1, 1), "iban": (2, 2), "ifsc": (1, 1), "cvv": (3, 3),
+    "expiry": (4, 2), "bank_account": (9, 9), "phone": (8, 1), "birth_month": (5, 4), "birth_date": (6, 4), "ip": (4, 1), "org_id": (3, 3),
+}
+
+
+def _gated(d: Detector) -> Detector:
+    total, run = DIGITS.get(d.name, (0, 0))
+    return replace(d, needs=tuple(map(tuple, NEEDS.get(d.name, [[]] * len(d.patterns)))), digits=total, digit_run=run)
+
+
+PII, SECRETS, INJECTIONS = (list(map(_gated, ds)) for ds in (PII, SECRETS, INJECTIONS))
 ALL = {d.name: d for d in (*PII, *SECRETS, *INJECTIONS)}

@@ -20,7 +20,7 @@ EVENT = r"""(?i)\son\w+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 DANGEROUS = r"""(?i)\s(?:href|src|xlink:href|srcdoc|action|formaction)\s*=\s*(?:"\s*(?:javascript|data|vbscript|file|blob):[^"]*"|'\s*(?:javascript|data|vbscript|file|blob):[^']*'|(?:javascript|data|vbscript|file|blob):[^\s>]*)"""
 COMMENT = r"(?s)<!--.*?-->"
 HIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{200B}-\x{200D}\x{FEFF}\x{FFFD}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{AD}]"
-INTERNAL = r"(?i)^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|127\.|0\.0\.0\.0|localhost$|::1$|internal\.|intranet\.)"
+INTERNAL = r"(?i)^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|127\.|0\.0\.0\.0|localhost$|::1$|internal\.|intranet\.)"
 REDIRECTS = ["url", "next", "redirect", "target", "dest", "destination", "u"]
 ROLES = ["system", "assistant", "user"]
 

@@ -13,6 +13,8 @@ SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 CATEGORIES = ["PII", "SECRET", "PROMPT_INJECTION", "INTERNAL_ASSET", "UNSAFE_URL"]
 STATUSES = ["UPLOADED", "SCANNED", "SANITIZED", "TRANSFORMED", "BLOCKED"]
 DONE = ["SANITIZED", "TRANSFORMED"]
+#: Fixed value: characters of a report's preview.
+PREVIEW = 600
 OUTCOMES = ["ingested", "pipelined", "skipped", "blocked", "pipeline-failed", "failed", "cancelled"]
 
 
@@ -76,6 +78,27 @@ def category_breakdown(findings: DataFrame, transformations: DataFrame) -> DataF
     return rows.join(last, "document_id", "left").withColumn("output_leakage", F.col("_out") + F.coalesce("_leaks", F.lit(0))).drop("_out", "_leaks")
 
 
+def security_report(documents: DataFrame, findings: DataFrame, transformations: DataFrame) -> DataFrame:
+    """One row per document: stored risk, counts by category and severity, the newest output's statuses, top findings, and a preview of the working copy, never of the raw text.
+
+    documents: document_id, classification, risk_score, risk_before, risk_after, sanitized_content.
+    Children are grouped before the joins, each of which is on the document's id.
+    """
+    count = lambda c, v: F.count_if((F.col(c) == v) & (F.col("stage") == "INPUT")).alias(v.lower())
+    counts = findings.groupBy("document_id").agg(*(count("category", c) for c in CATEGORIES), *(count("severity", s) for s in SEVERITIES), F.count_if(F.col("stage") == "OUTPUT").alias("_out"))
+    last = latest_transformation(transformations).select("document_id", "grounding", "policy_status", "output_dlp", "leakage_count")
+    top = top_findings(findings).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "category", "type", "severity", "confidence", "shown"))).alias("top_findings"))
+    rows = documents.join(counts, "document_id", "left").join(last, "document_id", "left").join(top, "document_id", "left")
+    text = F.col("sanitized_content")
+    preview = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "Awaiting sanitization — run Sanitize to generate the working copy preview.").when(F.length(text) > PREVIEW, F.concat(F.left(text, F.lit(PREVIEW)), F.lit("…"))).otherwise(text)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return rows.select(
+        "document_id", "classification", "risk_score", "risk_before", "risk_after", *(zero(c.lower()) for c in CATEGORIES), *(zero(s.lower()) for s in SEVERITIES),
+        (F.coalesce("_out", F.lit(0)) + F.coalesce("leakage_count", F.lit(0))).alias("output_leakage"),
+        *(F.coalesce(F.col(c), F.lit("SKIPPED")).alias(c) for c in ("grounding", "policy_status", "output_dlp")), F.coalesce("top_findings", F.array()).alias("top_findings"), preview.alias("sanitized_preview"),
+    )
+
+
 def bulk_summary(items: DataFrame) -> DataFrame:
     """Per batch the items of each outcome; failed counts failed pipelines too."""
     count = lambda o: F.count_if(F.col("outcome") == o).alias(o.replace("-", "_"))
@@ -167,10 +190,17 @@ def skip_duplicates(batch: DataFrame, corpus: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", F.when(F.col("_known") | (F.col("seq") != F.col("_first")), "skipped").otherwise("ingested")).drop("_known", "_first")
 
 
-def stored_or_live(documents: DataFrame, stored: DataFrame, live: DataFrame) -> DataFrame:
-    """Stored findings of documents that have any, live ones of the others, and live ones at places not stored."""
-    keys = ["document_id", "location", "type"]
-    return stored.unionByName(live.join(stored.select(*keys), keys, "left_anti"))
+def stored_or_live(documents: DataFrame, stored: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings to go on with, live ones to be stored).
+
+    The stored input findings of documents that have any; of the other documents the live ones, all of
+    which are used and of which those are stored whose place and type no stored finding has.
+    """
+    inputs = stored.filter("stage = 'INPUT'")
+    without = documents.select("document_id").distinct().join(inputs, "document_id", "left_anti")
+    fresh = live.join(without, "document_id", "left_semi")
+    used = inputs.join(documents, "document_id", "left_semi").unionByName(fresh)
+    return used, fresh.join(stored.select("document_id", "location", "type"), ["document_id", "location", "type"], "left_anti")
 
 
 def bulk_delete(documents: DataFrame, ids: DataFrame, children: list[DataFrame], audit: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame], DataFrame]:

@@ -102,3 +102,29 @@ def token_diff(df: DataFrame, before_col: str, after_col: str) -> DataFrame:
 
 def needs_resanitize(content: Column, made_under: Column, policy_name: Column) -> Column:
     return content.isNull() | ~made_under.eqNullSafe(policy_name)
+
+
+#: The policy that a benchmark's category of documents is held to.
+BENCHMARK_PROFILES = {"INJECTION": "SECURITY_INCIDENT", "MIXED": "SECURITY_INCIDENT", "SECRET_HEAVY": "SECURITY_INCIDENT", "PII_HEAVY": "PUBLIC_RELEASE"}
+
+
+def benchmark(df: DataFrame, profile_of: dict[str, str] = BENCHMARK_PROFILES, other: str = "INTERNAL_SUMMARY") -> DataFrame:
+    """What sanitizing does to each document (id, category, text): document_id, category, profile, n_findings, risk_before, risk_after, delta, leakage, blocked."""
+    profile = F.lit(other)
+    for category, name in profile_of.items():
+        profile = F.when(F.col("category") == category, name).otherwise(profile)
+    rows = with_policy(scan.scan_array(df), profile)
+    rows = residual_risk(sanitize(rows.withColumn("risk_before", risk.risk(F.col("findings"))["total"])))
+    rows = scan.leaks_array(rows, "sanitized_content", "leaks")
+    return rows.select(
+        "document_id", "category", F.col("policy.name").alias("profile"), F.size("findings").alias("n_findings"), "risk_before", "risk_after", (F.col("risk_before") - F.col("risk_after")).alias("delta"), F.size("leaks").alias("leakage"), "blocked"
+    )
+
+
+def benchmark_summary(rows: DataFrame) -> DataFrame:
+    """One row over all documents of ``benchmark``: totals, averages, and leaks in percent of the findings."""
+    average = lambda c: F.round(F.avg(c), 1)
+    return rows.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("n_findings").alias("n_findings"), average("risk_before").alias("risk_before"), average("risk_after").alias("risk_after"), average("delta").alias("delta"), F.sum("leakage").alias("leakage"),
+        F.round(F.sum("leakage") / F.greatest(F.lit(1), F.sum("n_findings")) * 100, 2).alias("leakage_rate"), F.count_if("blocked").alias("blocked"),
+    )

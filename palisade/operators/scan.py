@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from palisade.functions import checks
 from palisade.functions.regex import java
-from palisade.functions.spans import SPAN, greedy, let, nothing_of, overlap, spans
-from palisade.operators.detectors import ASSIGNED, CONTEXT_WINDOW, FINDING, INJECTIONS, INVISIBLE, PII, SECRET_CONTEXT, SECRETS, SMUGGLED, STOPWORDS, Detector, assigned_value
+from palisade.functions.spans import SPAN, each, greedy, let, nothing_of, overlap, spans
+from palisade.operators.detectors import ASSIGNED, ASSIGNED_NEEDS, CONTEXT_WINDOW, FINDING, INJECTIONS, INVISIBLE, PII, SECRET_CONTEXT, SECRETS, SMUGGLED, STOPWORDS, Detector, assigned_value
 
 #: Which category wins where findings overlap.
 PRIORITY = {"SECRET": 5, "PROMPT_INJECTION": 4, "UNSAFE_URL": 3, "INTERNAL_ASSET": 2, "PII": 1}
@@ -46,9 +46,40 @@ def _struct(d: Detector, text: Column, x: Column) -> Column:
     )
 
 
-def find(text: Column, d: Detector) -> Column:
-    """The detector's findings before overlaps with others are looked at."""
-    found = [spans(text, p, d.hint) for p in d.patterns]
+@dataclass(frozen=True)
+class Seen:
+    """What the cheap tests look at: the text in lower case, and its digits in all and in the longest run."""
+
+    low: Column
+    digits: Column
+    digit_run: Column
+
+    @classmethod
+    def of(cls, text: Column) -> Seen:
+        runs = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
+        return cls(F.lower(text), F.regexp_count(text, F.lit("[0-9]")), F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)))
+
+    def holds(self, text: Column, words: tuple[str, ...]) -> Column | None:
+        """Whether the text has one of the words; those with capitals as they are."""
+        out = None
+        for w in words:
+            one = F.contains(text if w != w.lower() else self.low, F.lit(w))
+            out = one if out is None else out | one
+        return out
+
+    def test(self, text: Column, d: Detector, pattern: int) -> Column | None:
+        parts = [self.digits >= d.digits if d.digits else None, self.digit_run >= d.digit_run if d.digit_run > 1 else None, self.holds(text, d.needs[pattern]) if d.needs else None]
+        out = None
+        for p in parts:
+            if p is not None:
+                out = p if out is None else out & p
+        return out
+
+
+def find(text: Column, d: Detector, seen: Seen | None = None) -> Column:
+    """The detector's findings before overlaps with others are looked at. seen: the cheap tests' columns, where they are at hand."""
+    seen = seen or Seen.of(text)
+    found = [spans(text, p, seen.test(text, d, i)) for i, p in enumerate(d.patterns)]
     out = F.concat(*found) if len(found) > 1 else found[0]
     if d.extra.get("apart"):  # its own patterns shadow each other before any other condition
         out = greedy(out, SPAN)
@@ -60,7 +91,14 @@ def find(text: Column, d: Detector) -> Column:
     return F.transform(out, lambda x: _struct(d, text, x)).cast(FINDING)
 
 
-def find_assigned(text: Column) -> Column:
+def find_in(df: DataFrame, d: Detector, text_col: str = "text", out: str = "found") -> DataFrame:
+    """``df`` with one detector's findings; what the cheap tests look at is computed once a row."""
+    seen = Seen.of(F.col(text_col))
+    df = df.withColumns({"_low": seen.low, "_digits": seen.digits, "_digit_run": seen.digit_run})
+    return df.withColumn(out, find(F.col(text_col), d, Seen(F.col("_low"), F.col("_digits"), F.col("_digit_run")))).drop("_low", "_digits", "_digit_run")
+
+
+def find_assigned(text: Column, seen: Seen | None = None) -> Column:
     """Credentials assigned to a name that says so, by length, entropy and the words around them."""
     near = lambda x, context: F.exists(context, lambda p: F.least(F.abs(p["start"] - x["start"]), F.abs(p["start"] - x["end"])) < CONTEXT_WINDOW)
 
@@ -68,8 +106,9 @@ def find_assigned(text: Column) -> Column:
         value = assigned_value(x["matched"])
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["matched"].alias("matched"), value.alias("value"), checks.entropy(value).alias("entropy"), near(x, context).alias("near"))
 
-    matches = spans(text, ASSIGNED)
-    rows = F.when(F.size(matches) == 0, F.array()).otherwise(let(spans(text, SECRET_CONTEXT), lambda context: F.transform(matches, lambda x: judged(x, context))))
+    seen = seen or Seen.of(text)
+    with_context = lambda matches: F.when(F.size(matches) > 0, let(spans(text, SECRET_CONTEXT), lambda context: F.transform(matches, lambda x: judged(x, context))))
+    rows = F.coalesce(let(spans(text, ASSIGNED, seen.holds(text, ASSIGNED_NEEDS)), with_context), F.array())
     rows = F.filter(rows, lambda x: ~F.lower(x["value"]).isin(STOPWORDS) & (x["entropy"] >= 2.0) & ((x["entropy"] >= 2.5) | x["near"]))
 
     def said(x: Column) -> Column:
@@ -85,20 +124,26 @@ def find_assigned(text: Column) -> Column:
 def find_smuggled(text: Column) -> Column:
     """One finding at the first invisible character of a text that, without such characters, holds a directive."""
     chars = f"[{INVISIBLE}]"
-    clean = F.lower(F.regexp_replace(text, chars, ""))
-    says = F.lit(False)
-    for words in SMUGGLED:
-        says = says | F.contains(clean, F.lit(words))
+
+    def directive(clean: Column) -> Column:
+        says = F.lit(False)
+        for words in SMUGGLED:
+            says = says | F.contains(clean, F.lit(words))
+        return says
+
+    # most texts have no invisible character, many none beyond ASCII
+    hidden = (F.octet_length(text) > F.length(text)) & text.rlike(chars)
+    says = let(F.lower(F.regexp_replace(text, chars, "")), directive)
     first = F.length(F.split(text, chars, 2)[0])
     one = F.struct(
         F.lit("PROMPT_INJECTION").alias("category"), F.lit("HIDDEN_INSTRUCTION").alias("type"), F.lit("HIGH").alias("severity"), F.lit(0.7).alias("confidence"), F.lit("QUARANTINE").alias("default_action"),
         first.alias("start"), F.least(F.length(text), first + 8).alias("end"), F.lit("[invisible-chars]").alias("matched_text"), F.lit("").alias("masked_text"), F.lit("Invisible characters near a directive.").alias("reason"),
     )
-    return F.when(text.rlike(chars) & says, F.array(one)).otherwise(nothing_of(FINDING)).cast(FINDING)
+    return F.when(hidden & says, F.array(one)).otherwise(nothing_of(FINDING)).cast(FINDING)
 
 
-def _pass(text: Column, detectors: list[Detector], more: list[Column]) -> Column:
-    return F.concat(*(find(text, d) for d in detectors), *more)
+def _pass(text: Column, detectors: list[Detector], seen: Seen, more: list[Column]) -> Column:
+    return F.concat(*(find(text, d, seen) for d in detectors), *more)
 
 
 def _smuggled_last(accepted: Column, text: Column) -> Column:
@@ -110,12 +155,12 @@ def _smuggled_last(accepted: Column, text: Column) -> Column:
 @lru_cache(maxsize=32)
 def _candidates(application: str, config: ScanConfig, text_col: str) -> dict[str, Column]:
     """The passes' candidates. Building the expressions takes longer than planning them, so they are kept for the session."""
-    text = F.col(text_col)
+    text, seen = F.col(text_col), Seen(F.col("_seen_low"), F.col("_seen_digits"), F.col("_seen_digit_run"))
     pii = [d for d in PII if not (d.switch and not getattr(config, d.switch))]
     return {
-        "secrets": _pass(text, SECRETS, [find_assigned(text)]) if config.secrets else nothing_of(FINDING),
-        "pii": _pass(text, pii, []),
-        "injections": _pass(text, INJECTIONS, []) if config.injections else nothing_of(FINDING),
+        "secrets": _pass(text, SECRETS, seen, [find_assigned(text, seen)]) if config.secrets else nothing_of(FINDING),
+        "pii": _pass(text, pii, seen, []),
+        "injections": _pass(text, INJECTIONS, seen, []) if config.injections else nothing_of(FINDING),
     }
 
 
@@ -123,7 +168,9 @@ def with_passes(df: DataFrame, config: ScanConfig = ScanConfig(), text_col: str
     """``df`` with the findings of the three passes, each free of overlaps in itself."""
     text = F.col(text_col)
     cands = _candidates(df.sparkSession.sparkContext.applicationId, replace(config, min_confidence=0.0), text_col)
-    df = df.withColumns({f"{prefix}{k}": c for k, c in cands.items()})
+    seen = Seen.of(text)
+    df = df.withColumns({"_seen_low": seen.low, "_seen_digits": seen.digits, "_seen_digit_run": seen.digit_run})
+    df = df.withColumns({f"{prefix}{k}": c for k, c in cands.items()}).drop("_seen_low", "_seen_digits", "_seen_digit_run")
     df = df.withColumns({f"{prefix}{k}": greedy(F.col(f"{prefix}{k}"), FINDING) for k in cands})
     return df.withColumn(f"{prefix}injections", _smuggled_last(F.col(f"{prefix}injections"), text)) if config.injections else df
 
@@ -172,7 +219,7 @@ def scan_array(df: DataFrame, config: ScanConfig = ScanConfig(), text_col: str =
 def scan(df: DataFrame, config: ScanConfig = ScanConfig(), id_col: str = "document_id", text_col: str = "text", stage: str = "INPUT") -> DataFrame:
     """One row per finding."""
     rows = scan_array(df.select(id_col, text_col), config, text_col)
-    return rows.select(id_col, F.explode("findings").alias("f")).select(id_col, "f.*", F.lit(stage).alias("stage"))
+    return each(rows, F.col("findings"), "f", id_col).select(id_col, "f.*", F.lit(stage).alias("stage"))
 
 
 def leaks_array(df: DataFrame, text_col: str = "text", out: str = "leaks") -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.spans import each
 from palisade.operators import risk, scan
-from palisade.operators.detectors import ALL
+from palisade.operators.detectors import ALL, INVISIBLE
+from palisade.operators.detectors import SMUGGLED as SMUGGLE_MARKS
 from palisade.plans.detector_sql import PLANTED, detector_sql, findings_cte
 
 
@@ -14,28 +16,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over as many tasks as there are cores. Reading takes milliseconds a MB and what follows seconds, so a table of fewer row groups is dealt out; a larger one is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with a snippet behind each text, so that every detector has something to find."""
-    return documents(spark, sf_dir).select("doc_id", F.expr(PLANTED).alias("text"), "lang", "source")
+    return spread(documents(spark, sf_dir)).select("doc_id", F.expr(PLANTED).alias("text"), "lang", "source")
+
+
+#: Texts with invisible characters, in some of which a directive hides.
+SMUGGLED = "CASE doc_id % 4 WHEN 0 THEN concat(text, ' dis{{z}}regard', ' it') WHEN 1 THEN concat('jail', {zero}, 'break ', text) WHEN 2 THEN concat(text, ' sys', {zero}, 'tem over', {zero}, 'ride') ELSE concat(text, {zero}, ' nothing') END".replace("{{z}}", "', {zero}, '")
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.explode("f").alias("f")).select(
+    return each(df, F.col("f"), "f", "doc_id").select(
         "doc_id", "f.type", F.col("f.start").alias("span_start"), F.col("f.end").alias("span_end"), "f.matched_text", "f.masked_text", F.round("f.confidence", 6).alias("confidence")
     )
 
 
 def _detector(d):
-    return lambda spark, sf_dir: _flat(planted(spark, sf_dir).select("doc_id", scan.find(F.col("text"), d).alias("f")))
+    return lambda spark, sf_dir: _flat(scan.find_in(planted(spark, sf_dir), d).select("doc_id", F.col("found").alias("f")))
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(planted(spark, sf_dir).select("doc_id", scan.find_assigned(F.col("text")).alias("f")))
 
 
+def smuggled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr(SMUGGLED.format(zero="'\\u200B'"))
+    return _flat(documents(spark, sf_dir).select("doc_id", text.alias("text")).select("doc_id", scan.find_smuggled(F.col("text")).alias("f")))
+
+
 def _scan(config: scan.ScanConfig):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = scan.scan_array(planted(spark, sf_dir).select("doc_id", "text"), config).select("doc_id", F.explode("findings").alias("f"))
+        rows = each(scan.scan_array(planted(spark, sf_dir).select("doc_id", "text"), config), F.col("findings"), "f", "doc_id")
         return rows.select("doc_id", "f.category", "f.type", F.col("f.start").alias("span_start"), F.col("f.end").alias("span_end"), "f.matched_text", "f.masked_text")
 
     return run
@@ -47,7 +64,7 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    docs = spread(documents(spark, sf_dir).select("doc_id", "lang", "text"))
     rows = scan.scan_array(docs).select("lang", risk.risk(F.col("findings")).alias("r"), F.size("findings").alias("n"))
     return rows.groupBy("lang", F.col("r.classification").alias("classification")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").cast("long").alias("n_findings"), F.sum("r.total").cast("long").alias("total_risk"))
 
@@ -82,6 +99,7 @@ _SPANS = "SELECT doc_id, category, type, s AS span_start, e AS span_end, m AS ma
 
 QUERIES = {f"detect_{name}": _detector(d) for name, d in ALL.items()} | {
     "detect_assigned_credential": assigned,
+    "detect_smuggled": smuggled,
     "scan": _scan(scan.ScanConfig()),
     "scan_confident": _scan(scan.ScanConfig(min_confidence=0.9)),
     "scan_without_pii": _scan(scan.ScanConfig(pii=False)),
@@ -90,6 +108,8 @@ QUERIES = {f"detect_{name}": _detector(d) for name, d in ALL.items()} | {
 }
 SQL = {f"detect_{name}": detector_sql(d) for name, d in ALL.items()} | {
     "detect_assigned_credential": detector_sql(None),
+    "detect_smuggled": f"""WITH t AS (SELECT doc_id, {SMUGGLED.format(zero="chr(8203)")} AS text FROM documents), f AS (SELECT *, length(regexp_extract(text, '^[^{INVISIBLE}]*'))::INT AS s, lower(regexp_replace(text, '[{INVISIBLE}]', '', 'g')) AS clean FROM t WHERE regexp_matches(text, '[{INVISIBLE}]'))
+SELECT doc_id, 'HIDDEN_INSTRUCTION' AS type, s AS span_start, least(length(text), s + 8)::INT AS span_end, '[invisible-chars]' AS matched_text, '' AS masked_text, 0.7::DOUBLE AS confidence FROM f WHERE {" OR ".join(f"contains(clean, '{w}')" for w in SMUGGLE_MARKS)}""",
     "scan": f"{findings_cte()} {_SPANS}",
     "scan_confident": f"{findings_cte('confidence >= 0.9')} {_SPANS}",
     "scan_without_pii": f"""{findings_cte("category <> 'PII'")} {_SPANS}""",

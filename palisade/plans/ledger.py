@@ -15,20 +15,20 @@ STORE = {
         "document_id": "doc_id", "filename": "concat('file-', CAST(doc_id AS STRING), '.txt')", "title": "substr(text, 1, 20)", "size_bytes": "n_chars", "sha256": "md5(text)", "seq": "doc_id",
         "status": "CASE doc_id % 5 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'SCANNED' WHEN 2 THEN 'SANITIZED' WHEN 3 THEN 'TRANSFORMED' ELSE 'BLOCKED' END",
         "classification": "CASE doc_id * 7 % 11 % 4 WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'INTERNAL' WHEN 2 THEN 'CONFIDENTIAL' ELSE 'RESTRICTED' END",
-        "risk_score": "n_chars % 101", "risk_before": "n_chars % 101", "risk_after": "n_chars % 37", "created_at": "doc_id * 7919 % 100003", "sanitized_content": "substr(text, 1, 40)",
+        "risk_score": "n_chars % 101", "risk_before": "n_chars % 101", "risk_after": "n_chars % 37", "created_at": "doc_id * 7919 % 100003", "sanitized_content": "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN substr(text, 1, 600) ELSE text END",
     }),
     "store_findings": ("conversations", {
         "document_id": "conv_id", "finding_id": "conv_id * 1000 + turn", "start": "turn * 10", "end": "turn * 10 + 5", "location": "CAST(turn * 10 AS STRING)", "stage": "CASE WHEN turn % 4 = 3 THEN 'OUTPUT' ELSE 'INPUT' END",
         "category": "CASE length(text) % 5 WHEN 0 THEN 'PII' WHEN 1 THEN 'SECRET' WHEN 2 THEN 'PROMPT_INJECTION' WHEN 3 THEN 'INTERNAL_ASSET' ELSE 'UNSAFE_URL' END", "type": "concat('T', CAST(length(text) % 7 AS STRING))",
-        "severity": "CASE length(text) % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END", "confidence": "CAST(length(text) % 100 AS DOUBLE) / 100", "matched_text": "substr(text, 1, 60)", "applied_action": "CASE WHEN turn % 3 = 0 THEN 'MASK' END",
+        "severity": "CASE length(text) % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END", "confidence": "CAST(length(text) % 100 AS DOUBLE) / 100", "matched_text": "text", "applied_action": "CASE WHEN turn % 3 = 0 THEN 'MASK' END",
     }),
     "store_transformations": ("documents", {
-        "document_id": "doc_id % 400", "transformation_id": "doc_id", "created_at": "doc_id * 31 % 97", "output_type": "CASE doc_id % 3 WHEN 0 THEN 'FAQ' WHEN 1 THEN 'BLOG_POST' ELSE 'NEWSLETTER' END",
-        "profile": "CASE doc_id % 2 WHEN 0 THEN 'HR_SAFE' ELSE 'PUBLIC_RELEASE' END", "output_dlp": "CASE WHEN n_chars % 3 = 0 THEN 'FAIL' ELSE 'PASS' END", "leakage_count": "n_chars % 3",
+        "document_id": "CAST(floor(doc_id / 3) AS BIGINT)", "transformation_id": "doc_id", "created_at": "doc_id * 31 % 97", "output_type": "CASE doc_id % 3 WHEN 0 THEN 'FAQ' WHEN 1 THEN 'BLOG_POST' ELSE 'NEWSLETTER' END",
+        "profile": "CASE doc_id % 2 WHEN 0 THEN 'HR_SAFE' ELSE 'PUBLIC_RELEASE' END", "output_dlp": "CASE WHEN n_chars % 3 = 0 THEN 'FAIL' ELSE 'PASS' END", "leakage_count": "n_chars % 3", "grounding": "CASE WHEN n_chars % 5 = 0 THEN 'FAIL' ELSE 'PASS' END", "policy_status": "CASE WHEN n_chars % 15 > 3 THEN 'PASS' ELSE 'FAIL' END",
     }),
     "store_audit": ("events", {"audit_id": "event_id", "document_id": "user_id", "actor": "concat('u', CAST(user_id % 7 AS STRING))", "action": "upper(event_type)", "detail": "props", "timestamp": "ts"}),
     "store_items": ("documents", {
-        "batch_id": "doc_id % 60", "seq": "doc_id", "size_bytes": "n_chars * 2000", "error": "CASE WHEN doc_id % 13 = 0 THEN 'unreadable' END", "duplicate": "doc_id % 9 = 1", "blocked": "doc_id % 11 = 2", "pipeline": "doc_id % 2 = 0", "pipeline_error": "CASE WHEN doc_id % 17 = 4 THEN 'x' END",
+        "batch_id": "CAST(floor(doc_id / 12) AS BIGINT) - CASE WHEN CAST(floor(doc_id / 12) AS BIGINT) % 7 = 1 THEN 1 ELSE 0 END", "seq": "doc_id", "size_bytes": "n_chars * 2000", "error": "CASE WHEN doc_id % 13 = 0 THEN 'unreadable' END", "duplicate": "doc_id % 9 = 1", "blocked": "doc_id % 11 = 2", "pipeline": "doc_id % 2 = 0", "pipeline_error": "CASE WHEN doc_id % 17 = 4 THEN 'x' END",
     }),
     "store_overrides": ("conversations", {
         "document_id": "conv_id", "seq": "turn", "finding_id": "CASE WHEN turn % 2 = 0 THEN conv_id * 1000 + turn % 3 END", "location": "CAST(turn % 3 * 10 AS STRING)", "type": "concat('T', CAST(length(text) % 7 AS STRING))",
@@ -68,13 +68,30 @@ def _deleted(spark, sf_dir):
 
 
 def _duplicates(spark, sf_dir):
+    """One half of the documents comes as a batch to the other."""
     docs = store(spark, sf_dir, "documents")
-    return R.skip_duplicates(docs.filter("document_id % 2 = 1"), docs.filter("document_id % 10 = 0")).select("document_id", "outcome")
+    return R.skip_duplicates(docs.filter("document_id % 2 = 1"), docs.filter("document_id % 2 = 0")).select("document_id", "outcome")
 
 
 def _stored_or_live(spark, sf_dir):
-    rows = store(spark, sf_dir, "findings").select("document_id", "location", "type", "category")
-    return R.stored_or_live(None, rows.filter("category in ('PII', 'SECRET')"), rows.filter("category not in ('PII', 'SECRET')"))
+    """Findings of credentials are stored, all others live; documents with stored ones of their input use those alone."""
+    rows = store(spark, sf_dir, "findings").select("document_id", "location", "type", "category", "stage")
+    docs = rows.select("document_id").distinct()
+    used, fresh = R.stored_or_live(docs, rows.filter("category = 'SECRET'"), rows.filter("category <> 'SECRET' AND stage = 'INPUT'"))
+    return used.withColumn("to_store", F.lit(False)).unionByName(fresh.select(*used.columns).withColumn("to_store", F.lit(True)))
+
+
+def _security(spark, sf_dir):
+    rows = R.security_report(*(store(spark, sf_dir, t) for t in ("documents", "findings", "transformations")))
+    top = F.array_join(F.transform("top_findings", lambda f: F.concat_ws(":", f["rank"].cast("string"), f["type"], F.length(f["shown"]).cast("string"))), ",")
+    return _longs(rows.withColumns({"top_findings": top, "sanitized_preview": F.sha2(F.col("sanitized_preview").cast("binary"), 256)}))
+
+
+def _reports(spark, sf_dir):
+    """Stored reports with as many entities, indicators and techniques as lengths say."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    some = lambda n: F.transform(F.sequence(F.lit(1), (F.col("n_chars") % n) + 1), lambda i: i)
+    return docs.select(F.col("doc_id").alias("document_id"), some(7).alias("entities"), some(5).alias("iocs"), F.when(F.col("doc_id") % 9 > 0, some(3)).alias("ttps"))
 
 
 def _upserted(spark, sf_dir):
@@ -107,6 +124,9 @@ def _evaluated(spark, sf_dir):
 
 
 QUERIES = {
+    "security_report": _security,
+    "intel_totals": lambda spark, sf_dir: _longs(R.intel_totals(_reports(spark, sf_dir))),
+    "dashboard": lambda spark, sf_dir: _longs(R.dashboard(*(store(spark, sf_dir, t) for t in ("documents", "findings", "transformations")), _reports(spark, sf_dir))),
     "status_counts": _q(R.status_counts, "documents"),
     "findings_by_category": _q(R.findings_by_category, "findings"),
     "documents_by_classification": _q(R.documents_by_classification, "documents"),
@@ -143,7 +163,19 @@ _OUTCOME = "CASE WHEN bad THEN 'failed' WHEN duplicate THEN 'skipped' WHEN pipel
 _BAD = "SELECT *, count(*) OVER b > 20 OR sum(size_bytes) OVER b > 104857600 OR error IS NOT NULL AS bad FROM store_items WINDOW b AS (PARTITION BY batch_id)"
 _LAST = "(SELECT * FROM store_transformations QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, transformation_id DESC) = 1)"
 _GONE = "(SELECT DISTINCT doc_id * 2 AS document_id FROM labels WHERE toxic = 1 AND doc_id * 2 IN (SELECT doc_id FROM documents))"
+_TOTALS = "SELECT count(*) AS reports, sum(n_chars % 7 + 1)::BIGINT AS n_entities, sum(n_chars % 5 + 1)::BIGINT AS n_iocs, sum(CASE WHEN doc_id % 9 > 0 THEN n_chars % 3 + 1 ELSE 0 END)::BIGINT AS n_ttps FROM documents"
+_STATUS = "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in R.STATUSES) + ", count(*) FILTER (risk_score >= 50) AS high_risk FROM store_documents"
 SQL = {
+    "intel_totals": _TOTALS,
+    "dashboard": f"""SELECT * FROM ({_STATUS}), (SELECT coalesce(floor(avg(risk_before - risk_after) + 0.5)::BIGINT, 0) AS reduction FROM store_documents WHERE status IN ('SANITIZED', 'TRANSFORMED')),
+(SELECT count(*) FILTER (stage = 'INPUT') AS findings, {_CATS} FROM store_findings), (SELECT count(*) FILTER (output_dlp = 'PASS') AS released FROM store_transformations), ({_TOTALS})""",
+    "security_report": f""", c AS (SELECT document_id, {_CATS}, {_SEV.replace("severity = ", "stage = 'INPUT' AND severity = ")}, count(*) FILTER (stage = 'OUTPUT') AS n_out FROM store_findings GROUP BY document_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, start, type) AS rank FROM store_findings WHERE stage = 'INPUT'),
+top AS (SELECT document_id, string_agg(rank || ':' || type || ':' || length(CASE WHEN category = 'SECRET' THEN '[withheld]' ELSE left(matched_text, 48) END), ',' ORDER BY rank) AS top_findings FROM ranked WHERE rank <= 8 GROUP BY document_id)
+SELECT d.document_id, classification, risk_score, risk_before, risk_after, {", ".join(f"coalesce({x.lower()}, 0) AS {x.lower()}" for x in (*R.CATEGORIES, *R.SEVERITIES))}, coalesce(n_out, 0) + coalesce(leakage_count, 0) AS output_leakage,
+  coalesce(grounding, 'SKIPPED') AS grounding, coalesce(policy_status, 'SKIPPED') AS policy_status, coalesce(output_dlp, 'SKIPPED') AS output_dlp, coalesce(top_findings, '') AS top_findings,
+  sha256(CASE WHEN coalesce(sanitized_content, '') = '' THEN 'Awaiting sanitization — run Sanitize to generate the working copy preview.' WHEN length(sanitized_content) > 600 THEN left(sanitized_content, 600) || '…' ELSE sanitized_content END) AS sanitized_preview
+FROM store_documents d LEFT JOIN c ON d.document_id = c.document_id LEFT JOIN {_LAST} t ON d.document_id = t.document_id LEFT JOIN top ON d.document_id = top.document_id""",
     "status_counts": "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in R.STATUSES) + ", count(*) FILTER (risk_score >= 50) AS high_risk FROM store_documents",
     "findings_by_category": "SELECT category, count(*) AS n FROM store_findings WHERE stage = 'INPUT' GROUP BY category",
     "documents_by_classification": "SELECT classification, count(*) AS n, floor(100.0::DOUBLE * count(*) / sum(count(*)) OVER () + 0.5)::BIGINT AS share, list_position(['PUBLIC', 'INTERNAL', 'CONFIDENTIAL', 'RESTRICTED', 'UNCLASSIFIED'], classification)::BIGINT AS rank FROM store_documents GROUP BY classification",
@@ -165,9 +197,10 @@ LEFT JOIN (SELECT document_id, string_agg(output_type, ',' ORDER BY created_at D
     "resolve_overrides": """, i AS (SELECT document_id, finding_id, arg_max(action, seq) AS a FROM store_overrides WHERE finding_id IS NOT NULL GROUP BY ALL), p AS (SELECT document_id, location, type, arg_max(action, seq) AS a FROM store_overrides WHERE finding_id IS NULL GROUP BY ALL)
 SELECT f.finding_id, coalesce(i.a, p.a) AS override, coalesce(coalesce(i.a, p.a) = 'ALLOW' AND category IN ('PROMPT_INJECTION', 'SECRET'), false) AS override_error
 FROM store_findings f LEFT JOIN i ON f.document_id = i.document_id AND f.finding_id = i.finding_id LEFT JOIN p ON f.document_id = p.document_id AND f.location = p.location AND f.type = p.type""",
-    "skip_duplicates": "SELECT document_id, CASE WHEN sha256 IN (SELECT sha256 FROM store_documents WHERE document_id % 10 = 0) OR row_number() OVER (PARTITION BY sha256 ORDER BY seq) > 1 THEN 'skipped' ELSE 'ingested' END AS outcome FROM store_documents WHERE document_id % 2 = 1",
-    "stored_or_live": """, s AS (SELECT document_id, location, type, category FROM store_findings WHERE category IN ('PII', 'SECRET'))
-SELECT * FROM s UNION ALL SELECT document_id, location, type, category FROM store_findings f WHERE category NOT IN ('PII', 'SECRET') AND NOT EXISTS (SELECT 1 FROM s WHERE s.document_id = f.document_id AND s.location = f.location AND s.type = f.type)""",
+    "skip_duplicates": "SELECT document_id, CASE WHEN sha256 IN (SELECT sha256 FROM store_documents WHERE document_id % 2 = 0) OR row_number() OVER (PARTITION BY sha256 ORDER BY seq) > 1 THEN 'skipped' ELSE 'ingested' END AS outcome FROM store_documents WHERE document_id % 2 = 1",
+    "stored_or_live": """, s AS (SELECT document_id, location, type, category, stage FROM store_findings WHERE category = 'SECRET'), i AS (SELECT * FROM s WHERE stage = 'INPUT'),
+f AS (SELECT document_id, location, type, category, stage FROM store_findings WHERE category <> 'SECRET' AND stage = 'INPUT' AND document_id NOT IN (SELECT document_id FROM i))
+SELECT *, false AS to_store FROM i UNION ALL SELECT *, false FROM f UNION ALL SELECT *, true FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.document_id = f.document_id AND s.location = f.location AND s.type = f.type)""",
     "bulk_delete": f"""SELECT 'deleted' AS what, count(*) AS n FROM {_GONE} UNION ALL SELECT 'documents', count(*) FROM store_documents WHERE document_id NOT IN {_GONE} UNION ALL SELECT 'findings', count(*) FROM store_findings WHERE document_id NOT IN {_GONE}
 UNION ALL SELECT 'transformations', count(*) FROM store_transformations WHERE document_id NOT IN {_GONE} UNION ALL SELECT 'audit without document', count(*) FROM store_audit WHERE document_id IN {_GONE}""",
     "upsert": f"SELECT document_id, CASE WHEN leakage_count > 0 THEN 'RECHECKED' ELSE output_dlp END AS output_dlp, leakage_count FROM {_LAST}",

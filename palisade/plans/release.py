@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.regex import re2_sql, sql_string
-from palisade.operators import intel, outputs, policy, sanitize, scan
-from palisade.plans.detection import _PLANTED, documents, planted, risk_cte
-from palisade.plans.detector_sql import findings_cte, passes_sql, spans_sql
+from palisade.functions.spans import each
+from palisade.operators import intel, outputs, policy, risk, sanitize, scan
+from palisade.plans.detection import _PLANTED, documents, planted, risk_cte, spread
+from palisade.plans.detector_sql import PLANTED, findings_cte, passes_sql, spans_sql
+from palisade.plans.texts import LONG
 
 PROFILES = {n: p[2:] for n, p in (policy.BUILTIN | policy.TEMPLATES).items()}
 
@@ -19,7 +21,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def actions_by_policy(spark, sf_dir):
     """What each policy does with the corpus's findings; findings are counted by kind before they meet the policies."""
-    kinds = _scanned(spark, sf_dir).select(F.explode("findings").alias("f")).groupBy("f.category", "f.type", "f.default_action").agg(F.count(F.lit(1)).alias("n"))
+    kinds = each(_scanned(spark, sf_dir), F.col("findings"), "f").groupBy("f.category", "f.type", "f.default_action").agg(F.count(F.lit(1)).alias("n"))
     all_ = policy.policies(spark, templates=True).select(F.col("name").alias("profile"), F.struct(*policy.BUCKETS).alias("b"))
     rows = kinds.join(F.broadcast(all_)).withColumn("action", policy.decide_action(F.col("category"), F.col("type"), F.col("default_action"), F.col("b")))
     return rows.groupBy("profile", "type", "action").agg(F.sum("n").alias("n"))
@@ -27,7 +29,7 @@ def actions_by_policy(spark, sf_dir):
 
 def overridden_actions(spark, sf_dir):
     b = sanitize.with_policy(planted(spark, sf_dir).select("doc_id", "text"), "HR_SAFE")
-    rows = scan.scan_array(b).select("doc_id", F.explode("findings").alias("f"), "policy")
+    rows = each(scan.scan_array(b), F.col("findings"), "f", "doc_id", "policy")
     override = F.when(F.col("doc_id") % 4 == 0, "ALLOW").when(F.col("doc_id") % 4 == 1, "MASK").when(F.col("doc_id") % 4 == 2, "REPLACE")
     action = policy.decide_action(F.col("f.category"), F.col("f.type"), F.col("f.default_action"), F.col("policy"), override)
     return rows.select("doc_id", F.col("f.start").cast("long").alias("span_start"), F.col("f.type").alias("type"), action.alias("action"))
@@ -38,12 +40,14 @@ def sanitized(spark, sf_dir):
     return rows.select("doc_id", F.sha2(F.col("sanitized_content").cast("binary"), 256).alias("content_sha256"), "blocked", F.col("usable_chars").cast("long").alias("usable_chars"), F.size("actions").cast("long").alias("n_actions"))
 
 
+#: Every other document holds nothing but what is planted, so that hardly any prose is left after masking.
+BARE = PLANTED.replace("concat(text, CASE", "concat(CASE WHEN doc_id % 2 = 1 THEN '' ELSE text END, CASE", 1)
+
+
 def only_findings(spark, sf_dir):
-    """Of each text only what follows its prose, so that hardly any prose is left after masking."""
-    rows = planted(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", F.length("text").alias("n")), "doc_id")
-    rows = rows.select("doc_id", F.substr("text", F.col("n") + 1).alias("text"))
+    rows = spread(documents(spark, sf_dir)).select("doc_id", F.expr(BARE).alias("text"))
     out = sanitize.sanitize(sanitize.with_policy(scan.scan_array(rows), "PUBLIC_RELEASE"))
-    return out.groupBy("blocked", F.col("usable_chars").cast("long").alias("usable_chars")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("doc_id", "blocked", F.col("usable_chars").cast("long").alias("usable_chars"))
 
 
 def residual(spark, sf_dir):
@@ -66,9 +70,10 @@ def bucket_errors(spark, sf_dir):
 
 
 def profiles(spark, sf_dir):
-    c = F.expr("CASE doc_id % 5 WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'INTERNAL' WHEN 2 THEN 'CONFIDENTIAL' WHEN 3 THEN 'RESTRICTED' ELSE 'UNCLASSIFIED' END")
-    made = F.when(F.col("doc_id") % 3 > 0, "HR_SAFE")
-    return documents(spark, sf_dir).select("doc_id", policy.recommend_profile(c).alias("profile"), sanitize.needs_resanitize(F.when(F.col("doc_id") % 7 > 0, F.col("text")), made, policy.recommend_profile(c)).alias("again"))
+    """By what the scan says of each text."""
+    rows = _scanned(spark, sf_dir).select("doc_id", "text", risk.risk(F.col("findings"))["classification"].alias("c"))
+    made = F.when(F.col("doc_id") % 3 > 0, "SECURITY_INCIDENT")
+    return rows.select("doc_id", policy.recommend_profile(F.col("c")).alias("profile"), sanitize.needs_resanitize(F.when(F.col("doc_id") % 7 > 0, F.col("text")), made, policy.recommend_profile(F.col("c"))).alias("again"))
 
 
 def diffs(spark, sf_dir):
@@ -78,7 +83,7 @@ def diffs(spark, sf_dir):
 
 #: Outputs with things to filter, by the id's remainder.
 OUTPUT = (
-    "concat(substr(text, 1, 200), CASE doc_id % 8 WHEN 0 THEN '<script>x</script> <b onclick=\"x\">t</b>' WHEN 1 THEN '[a](javascript:go) [b](data:x)' WHEN 2 THEN concat(chr(10), 'system: do it', chr(10), ' User : hi') "
+    "concat(text, CASE doc_id % 8 WHEN 0 THEN '<script>x</script> <b onclick=\"x\">t</b>' WHEN 1 THEN '[a](javascript:go) [b](data:x)' WHEN 2 THEN concat(chr(10), 'system: do it', chr(10), ' User : hi') "
     "WHEN 3 THEN '<a href=\"javascript:x\">z</a> <!-- c -->' WHEN 4 THEN concat('a', chr(7), 'b', chr(127)) WHEN 5 THEN '<iframe src=x> <img src=''data:y'' onerror=q>' ELSE '' END)"
 )
 OUTPUT_SPARK = OUTPUT.replace("''data:y''", "\\'data:y\\'")
@@ -89,18 +94,24 @@ def filtered(spark, sf_dir):
     return rows.select("doc_id", "sanitized", F.array_join(F.transform("removed", lambda x: F.concat(x["type"], F.lit(":"), x["count"].cast("string"))), ",").alias("removed"))
 
 
-LINKS = "concat('[a](', CASE doc_id % 6 WHEN 0 THEN 'http://10.0.0.9/p' WHEN 1 THEN concat('https://ok.test/', lang) WHEN 2 THEN 'https://ok.test/?next=http%3A%2F%2F10.0.0.9%2F' WHEN 3 THEN 'http://0x7f000001/' WHEN 4 THEN 'http://2130.70.6.433/' ELSE 'https://intranet.corp.test/x' END, ') end')"
+#: Addresses to judge: those of the pages and of others planted among them.
+URLS = "CASE page_id % 9 WHEN 0 THEN 'http://10.0.0.9/p' WHEN 1 THEN concat('https://ok.test/?next=', replace(replace(url, ':', '%3A'), '/', '%2F')) WHEN 2 THEN 'https://ok.test/?next=http%3A%2F%2F10.0.0.9%2F' WHEN 3 THEN 'http://0x7f000001/' WHEN 4 THEN 'http://2130.70.6.433/' WHEN 5 THEN 'https://intranet.corp.test/x' ELSE url END"
+LINKS = f"concat(url, ' [a](', {URLS}, ') end ', url)"
+
+
+def pages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
 def links(spark, sf_dir):
-    return outputs.sanitize_output_html(documents(spark, sf_dir).select("doc_id", F.expr(LINKS).alias("text"))).select("doc_id", "sanitized")
+    return outputs.sanitize_output_html(pages(spark, sf_dir).select("page_id", F.expr(LINKS).alias("text"))).select("page_id", "sanitized")
 
 
-HOSTS = "CASE doc_id % 7 WHEN 0 THEN '10.1.2.3' WHEN 1 THEN 'localhost' WHEN 2 THEN '0x7f' WHEN 3 THEN '172.20.1.1' WHEN 4 THEN '8.8' WHEN 5 THEN concat('www.', source, '.test') ELSE '172.40.test' END"
+HOSTS = f"CASE page_id % 11 WHEN 0 THEN 'localhost' WHEN 1 THEN '172.20.1.1' WHEN 2 THEN '8.8' WHEN 3 THEN '172.40.test' ELSE regexp_extract({URLS}, '^https?://([^/:?#]+)', 1) END"
 
 
 def hosts(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", outputs.is_internal_host(F.expr(HOSTS)).alias("internal"))
+    return pages(spark, sf_dir).select("page_id", outputs.is_internal_host(F.expr(HOSTS)).alias("internal"))
 
 
 def leaks(spark, sf_dir):
@@ -108,7 +119,8 @@ def leaks(spark, sf_dir):
     return rows.select("doc_id", "passed", F.size("leaks").cast("long").alias("n_leaks"), F.element_at("reasons", -1).startswith("A blocked").alias("refused"), F.sha2(F.col("repaired").cast("binary"), 256).alias("repaired_sha256"))
 
 
-CLAIMS = "concat('- ', replace(substr(text, 1, 500), ',', chr(10)), chr(10), '* nothing of this kind is [unsupported] here.')"
+#: Outputs made of whole texts, some of them altered, between claims that nothing supports.
+CLAIMS = "concat('* nothing of this kind is [unsupported] here.', chr(10), '- ', replace(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, 'e', 'x') ELSE replace(text, 'th', 'z') END, ',', chr(10)))"
 
 
 def claims(spark, sf_dir):
@@ -116,37 +128,44 @@ def claims(spark, sf_dir):
 
 
 def grounded(spark, sf_dir):
-    source = F.expr("concat(substr(text, 1, 250), ' ', lang)")
+    source = F.expr("concat(text, ' ', lang)")
     rows = documents(spark, sf_dir).select("doc_id", outputs.ground_claims(outputs.split_claims(F.expr(CLAIMS)), source).alias("c"))
     return rows.select("doc_id", F.size("c").cast("long").alias("n_claims"), F.size(F.filter("c", lambda x: x["grounded"])).cast("long").alias("n_grounded"), outputs.grounding_status(F.col("c")).alias("grounding"))
 
 
 def context(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.sha2(outputs.truncate_for_context(F.col("text"), 2000).cast("binary"), 256).alias("content_sha256"))
+    return documents(spark, sf_dir).select("doc_id", F.expr(LONG).alias("text")).select("doc_id", F.sha2(outputs.truncate_for_context(F.col("text")).cast("binary"), 256).alias("content_sha256"))
 
 
 def artefacts(spark, sf_dir):
     rows = planted(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit("Report").alias("title"), F.lit("HR_SAFE").alias("profile"), F.col("text").alias("sanitized_content"))
-    return outputs.offline_artefacts(rows).groupBy("output_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("output")).cast("long").alias("chars"))
+    return outputs.offline_artefacts(rows).select("document_id", "output_type", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"))
 
 
 def validated(spark, sf_dir):
-    rows = planted(spark, sf_dir).select("doc_id", F.col("text").alias("output"), F.expr("substr(text, 1, 300)").alias("source"), F.lit(50).alias("risk_before"))
-    return outputs.validate_outputs(rows).groupBy("output_dlp", "grounding", "policy_status").agg(F.count(F.lit(1)).alias("n"), F.sum("leakage_count").cast("long").alias("leaks"), F.sum("risk_delta").cast("long").alias("risk_delta"))
+    rows = planted(spark, sf_dir).select("doc_id", F.col("text").alias("output"), F.expr("replace(text, 'e', 'x')").alias("source"), F.lit(50).alias("risk_before"))
+    return outputs.validate_outputs(rows).select("doc_id", F.sha2(F.col("final_output").cast("binary"), 256).alias("output_sha256"), "output_dlp", "grounding", "policy_status", F.col("leakage_count").cast("long").alias("leakage_count"), F.col("risk_delta").cast("long").alias("risk_delta"))
+
+
+def measured(spark, sf_dir):
+    """Documents by source as categories of a benchmark."""
+    category = F.expr("CASE doc_id % 4 WHEN 0 THEN 'INJECTION' WHEN 1 THEN 'PII_HEAVY' WHEN 2 THEN 'SECRET_HEAVY' ELSE 'SAFE' END")
+    rows = sanitize.benchmark(planted(spark, sf_dir).select(F.col("doc_id").alias("document_id"), category.alias("category"), "text"))
+    return rows.select(*(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in rows.dtypes))
 
 
 def iocs(spark, sf_dir):
-    rows = planted(spark, sf_dir).select("doc_id", F.explode(intel.extract_iocs(F.col("text"))).alias("i"))
+    rows = each(planted(spark, sf_dir), intel.extract_iocs(F.col("text")), "i", "doc_id")
     return rows.select("doc_id", "i.type", "i.value", F.col("i.start").cast("long").alias("span_start"), "i.severity", "i.context")
 
 
 def entities(spark, sf_dir):
-    rows = planted(spark, sf_dir).select("doc_id", F.explode(intel.extract_entities(F.col("text"))).alias("i"))
+    rows = each(planted(spark, sf_dir), intel.extract_entities(F.col("text")), "i", "doc_id")
     return rows.select("doc_id", "i.type", "i.value", F.col("i.start").cast("long").alias("span_start"))
 
 
 def ttps(spark, sf_dir):
-    rows = planted(spark, sf_dir).select("doc_id", F.explode(intel.map_ttps(F.col("text"))).alias("t"))
+    rows = each(planted(spark, sf_dir), intel.map_ttps(F.col("text")), "t", "doc_id")
     return rows.select("doc_id", "t.mitre_id", "t.tactic", "t.keyword", F.col("t.start").cast("long").alias("span_start"), F.round("t.confidence", 6).alias("confidence"))
 
 
@@ -155,18 +174,18 @@ def tactics(spark, sf_dir):
 
 
 def sentences(spark, sf_dir):
-    rows = planted(spark, sf_dir).select("doc_id", F.posexplode(intel.key_findings(F.col("text"))).alias("i", "k"))
+    rows = each(planted(spark, sf_dir), intel.key_findings(F.col("text")), "k", "doc_id", position="i")
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), "k.finding", F.round("k.score", 6).alias("score"), F.col("k.start").cast("long").alias("span_start"))
 
 
 def risks(spark, sf_dir):
-    rows = intel.intelligence_report(_scanned(spark, sf_dir)).select("doc_id", F.explode("risks").alias("r"))
-    return rows.groupBy("r.category", "r.severity").agg(F.count(F.lit(1)).alias("n"), F.sum("r.score").cast("long").alias("score"))
+    rows = each(intel.intelligence_report(_scanned(spark, sf_dir)), F.col("risks"), "r", "doc_id")
+    return rows.select("doc_id", "r.category", "r.severity", F.col("r.score").cast("long").alias("score"), F.col("r.n").cast("long").alias("n"))
 
 
 def report(spark, sf_dir):
     rows = intel.intelligence_report(_scanned(spark, sf_dir))
-    return rows.agg(*(F.sum(F.size(c)).alias(f"n_{c}") for c in ("entities", "iocs", "ttps", "risks", "key_findings")))
+    return rows.select("doc_id", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("entities", "iocs", "ttps", "risks", "key_findings")), "summary")
 
 
 _BUCKETS = ", ".join("('{}', {})".format(n, ", ".join("[" + ", ".join(f"'{x}'" for x in b) + "]" for b in p)) for n, p in PROFILES.items())
@@ -288,34 +307,37 @@ c AS (SELECT doc_id, text, lang, trim(u[j], ' ' || chr(9)) AS claim, row_number(
 QUERIES = {
     "actions_by_policy": actions_by_policy, "decide_action": overridden_actions, "sanitize": sanitized, "usable_prose_block": only_findings, "residual_risk": residual, "policy_compare": compared, "validate_policies": bucket_errors, "recommend_profile": profiles,
     "token_diff": diffs, "sanitize_output_html": filtered, "internal_links": links, "is_internal_host": hosts, "output_dlp": leaks, "split_claims": claims, "ground_claims": grounded, "truncate_for_context": context, "offline_artefacts": artefacts,
-    "validate_outputs": validated, "extract_iocs": iocs, "extract_entities": entities, "map_ttps": ttps, "tactic_counts": tactics, "key_findings": sentences, "synthesize_risks": risks, "intelligence_report": report,
+    "validate_outputs": validated, "benchmark_report": measured, "extract_iocs": iocs, "extract_entities": entities, "map_ttps": ttps, "tactic_counts": tactics, "key_findings": sentences, "synthesize_risks": risks, "intelligence_report": report,
 }
 _INTERNAL = sql_string(outputs.INTERNAL)
+_INSIDE = f"(regexp_matches(h, {_INTERNAL}) OR regexp_matches(h, '(?i)^0x[0-9a-f]+$') OR (regexp_matches(replace(h, '.', ''), '^[0-9]+$') AND contains(h, '.')) OR starts_with(h, '::ffff:'))"
 SQL = {
     "actions_by_policy": f"{findings_cte()}, {_POLICIES} SELECT profile, type, {_action('f.')} AS action, count(*) AS n FROM findings f, policies GROUP BY ALL",
     "decide_action": f"""{findings_cte()}, {_POLICIES}, o AS (SELECT doc_id, s, category, type, {_action('f.')} AS plain, CASE doc_id % 4 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'MASK' WHEN 2 THEN 'REPLACE' END AS override FROM findings f, policies WHERE profile = 'HR_SAFE')
 SELECT doc_id, s::BIGINT AS span_start, type, CASE WHEN override IS NULL THEN plain WHEN category = 'PROMPT_INJECTION' THEN 'QUARANTINE' WHEN override = 'ALLOW' AND category = 'SECRET' THEN 'REDACT' ELSE override END AS action FROM o""",
     "sanitize": f"{_sanitize_cte(_PLANTED)} SELECT doc_id, sha256(CASE WHEN blocked THEN text ELSE masked END) AS content_sha256, blocked, usable_chars, n AS n_actions FROM done",
-    "usable_prose_block": f"{_sanitize_cte('SELECT p.doc_id, substring(p.text, length(d.text) + 1) AS text FROM (' + _PLANTED + ') p JOIN documents d ON p.doc_id = d.doc_id')} SELECT blocked, usable_chars, count(*) AS n FROM done GROUP BY ALL",
+    "usable_prose_block": f"{_sanitize_cte(f'SELECT doc_id, {BARE} AS text FROM documents')} SELECT doc_id, blocked, usable_chars FROM done",
     "residual_risk": f"{_rescanned('PUBLIC_RELEASE')} SELECT blocked, count(*) AS n, sum(CASE WHEN blocked THEN 100 ELSE total END)::BIGINT AS risk_after FROM risk JOIN t USING (doc_id) GROUP BY blocked",
     "policy_compare": " UNION ALL ".join(f"SELECT '{p}' AS profile, * FROM ({_rescanned(p)} SELECT blocked, count(*) AS n, sum(total)::BIGINT AS risk_after FROM risk JOIN t USING (doc_id) GROUP BY blocked)" for p in ("PUBLIC_RELEASE", "HR_SAFE", "SECURITY_INCIDENT")),
     "output_dlp": _leaks_sql(),
     "validate_policies": _bucket_sql(),
-    "recommend_profile": """WITH p AS (SELECT *, CASE doc_id % 5 WHEN 1 THEN 'INTERNAL_SUMMARY' WHEN 2 THEN 'EXECUTIVE_BRIEF' WHEN 3 THEN 'SECURITY_INCIDENT' ELSE 'PUBLIC_RELEASE' END AS profile FROM documents)
-SELECT doc_id, profile, doc_id % 7 = 0 OR (CASE WHEN doc_id % 3 > 0 THEN 'HR_SAFE' END) IS DISTINCT FROM profile AS again FROM p""",
+    "recommend_profile": f"""{risk_cte(_PLANTED)}, p AS (SELECT doc_id, CASE classification WHEN 'INTERNAL' THEN 'INTERNAL_SUMMARY' WHEN 'CONFIDENTIAL' THEN 'EXECUTIVE_BRIEF' WHEN 'RESTRICTED' THEN 'SECURITY_INCIDENT' ELSE 'PUBLIC_RELEASE' END AS profile FROM risk)
+SELECT doc_id, profile, doc_id % 7 = 0 OR (CASE WHEN doc_id % 3 > 0 THEN 'SECURITY_INCIDENT' END) IS DISTINCT FROM profile AS again FROM p""",
     "token_diff": """WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS a, list_filter(string_split_regex(regexp_replace(text, '[Tt]he', 'this', 'g'), '[ \\t\\n\\r]+'), lambda x: x <> '') AS b FROM documents)
 SELECT doc_id, len(a) AS n_before, len(b) AS n_after, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS n_removed, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n_added FROM d""",
     "sanitize_output_html": _filter_sql(),
-    "internal_links": f"SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN {LINKS} ELSE '[a](#internal-url-redacted) end' END AS sanitized FROM documents",
-    "is_internal_host": f"SELECT doc_id, regexp_matches(h, {_INTERNAL}) OR regexp_matches(h, '^0x[0-9a-f]+$') OR (regexp_matches(replace(h, '.', ''), '^[0-9]+$') AND contains(h, '.')) OR starts_with(h, '::ffff:') AS internal FROM (SELECT doc_id, {HOSTS} AS h FROM documents)",
+    "internal_links": f"""WITH l AS (SELECT page_id, url, {URLS} AS link FROM pages), v AS (SELECT *, url_decode(regexp_extract(link, '[?&](?:next)=([^&#]*)', 1)) AS inner_link FROM l),
+g AS (SELECT *, CASE WHEN regexp_matches(inner_link, '(?i)^https?://') THEN inner_link ELSE url_decode(link) END AS target FROM v), h AS (SELECT *, regexp_extract(target, '(?i)^(?:https?://)?([^/:?\\s#]+)', 1) AS h FROM g)
+SELECT page_id, url || ' [a](' || CASE WHEN {_INSIDE} THEN '#internal-url-redacted' ELSE link END || ') end ' || url AS sanitized FROM h""",
+    "is_internal_host": f"SELECT page_id, {_INSIDE} AS internal FROM (SELECT page_id, {HOSTS} AS h FROM pages)",
     "split_claims": f"WITH {_CLAIMS} SELECT doc_id, i, claim FROM c WHERE i < 40",
-    "ground_claims": f"""WITH {_CLAIMS}, w AS (SELECT doc_id, lower(substr(text, 1, 250) || ' ' || lang) AS src, claim, list_filter(string_split_regex(claim, '[ \\t\\n\\r]+'), lambda x: length(x) > 3) AS ws FROM c WHERE i < 40),
+    "ground_claims": f"""WITH {_CLAIMS}, w AS (SELECT doc_id, lower(text || ' ' || lang) AS src, claim, list_filter(string_split_regex(claim, '[ \\t\\n\\r]+'), lambda x: length(x) > 3) AS ws FROM c WHERE i < 40),
 x AS (SELECT *, list_transform(range(1, len(ws) - 3), lambda j: lower(array_to_string(ws[j:j + 4], ' '))) AS five, list_transform(range(1, len(ws) - 1), lambda j: lower(array_to_string(ws[j:j + 2], ' '))) AS three,
   list_filter(list_transform(ws, lambda z: regexp_replace(lower(z), '[^a-z0-9]', '', 'g')), lambda z: length(z) > 4) AS sig FROM w),
 g AS (SELECT doc_id, NOT contains(lower(claim), '[unsupported]') AND (len(list_filter(five, lambda r: contains(src, r))) > 0 OR len(list_filter(three, lambda r: length(r) >= 12 AND contains(src, r))) > 0
   OR (len(sig) >= 3 AND len(list_filter(sig, lambda z: contains(src, z))) >= greatest(3, ceil(len(sig) * 0.5)))) AS ok FROM x)
 SELECT doc_id, count(*) AS n_claims, count(*) FILTER (ok) AS n_grounded, CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END AS grounding FROM g GROUP BY doc_id""",
-    "truncate_for_context": "SELECT doc_id, sha256(CASE WHEN length(text) <= 2000 THEN text ELSE left(text, 2000) || chr(10) || chr(10) || '[NOTICE: the content has ' || length(text) || ' characters; the first 2000 follow the context limit.]' END) AS content_sha256 FROM documents",
+    "truncate_for_context": f"SELECT doc_id, sha256(CASE WHEN length(text) <= 120000 THEN text ELSE left(text, 120000) || chr(10) || chr(10) || '[NOTICE: the content has ' || length(text) || ' characters; the first 120000 follow the context limit.]' END) AS content_sha256 FROM (SELECT doc_id, {LONG} AS text FROM documents)",
     "extract_iocs": _iocs_sql(), "extract_entities": _entities_sql(),
     "map_ttps": f"{_ttp_cte()} SELECT doc_id, mitre_id, tactic, keyword, span_start, CASE WHEN length(keyword) > 10 THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM ttps",
     "tactic_counts": f"{_ttp_cte()} SELECT tactic, count(*) AS n FROM ttps GROUP BY tactic",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import text as T
 from palisade.functions.regex import re2_sql
-from palisade.plans.detection import documents
+from palisade.plans.detection import documents, spread
 from palisade.sources import files
 
 #: Characters that normalization changes, put behind each text: expressions that Spark and DuckDB share.
@@ -16,7 +16,7 @@ NOISE = "concat(text, CASE doc_id % 5 WHEN 0 THEN concat(' e', chr(769), '  ', c
 
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = NOISE.replace("chr(769)", "'\\u0301'").replace("chr(8203)", "'\\u200B'").replace("chr(65279)", "'\\uFEFF'").replace("chr(173)", "'\\u00AD'").replace("chr(65533)", "'\\uFFFD'")
-    return documents(spark, sf_dir).select("doc_id", F.expr(noise).alias("text"), "n_chars")
+    return spread(documents(spark, sf_dir)).select("doc_id", F.expr(noise).alias("text"), "n_chars")
 
 
 def normalized(spark, sf_dir):
@@ -28,12 +28,12 @@ def stats(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", *(c.cast("long").alias(k) if k != "sha256" else c.alias(k) for k, c in cols.items()))
 
 
-#: Texts of odd kinds: without spaces, long words, symbols, very short ones.
-ODD = "CASE doc_id % 7 WHEN 0 THEN replace(text, ' ', '') WHEN 1 THEN regexp_replace(text, '[aeiou]', '7'{g}) WHEN 2 THEN substr(text, 1, 30) WHEN 3 THEN concat('AKIA', repeat('AB12', 4), ' ', text) ELSE text END"
+#: Texts of odd kinds: without spaces, without vowels, with vowels in capitals, with a secret in front.
+ODD = "CASE doc_id % 7 WHEN 0 THEN replace(text, ' ', '') WHEN 1 THEN regexp_replace(text, '[aeiou]', '7'{g}) WHEN 2 THEN translate(text, 'aeiou', 'AEIOU') WHEN 3 THEN concat('AKIA', repeat('AB12', 4), ' ', text) ELSE text END"
 
 
 def _odd(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.expr(ODD.format(g="")).alias("text"))
+    return spread(documents(spark, sf_dir)).select("doc_id", F.expr(ODD.format(g="")).alias("text"))
 
 
 def binary(spark, sf_dir):
@@ -53,8 +53,12 @@ def gate(spark, sf_dir):
     return _odd(spark, sf_dir).select("doc_id", F.length(text).cast("long").alias("char_count"), warning.alias("warning"))
 
 
+#: Some texts longer than the limits on what is shown or sent.
+LONG = "concat(text, CASE WHEN doc_id % 50 = 0 THEN repeat('long words ', 20000) ELSE '' END)"
+
+
 def display(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.sha2(T.truncate_display(F.col("text"), 500).cast("binary"), 256).alias("shown_sha256"), T.safe_truncate(F.col("text"), 100).alias("head"))
+    return documents(spark, sf_dir).select("doc_id", F.expr(LONG).alias("text")).select("doc_id", F.sha2(T.truncate_display(F.col("text")).cast("binary"), 256).alias("shown_sha256"), T.safe_truncate(F.col("text"), 100).alias("head"))
 
 
 def labels(spark, sf_dir):
@@ -72,14 +76,14 @@ def visible(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.sha2(T.html_visible_text(F.col("html")).cast("binary"), 256).alias("text_sha256"), F.length(T.html_visible_text(F.col("html"))).cast("long").alias("char_count"))
 
 
-SVG = "concat('<svg><g>', CASE doc_id % 3 WHEN 0 THEN concat('<text x=\"1\"> ', substr(text, 1, 20), ' </text><tspan>', lang, '</tspan>') WHEN 1 THEN concat('<rect/> ', substr(replace(text, '<', ''), 1, 60)) ELSE '<rect/> one' END, '</g></svg>')"
+SVG = "concat('<svg><g>', CASE doc_id % 3 WHEN 0 THEN concat('<text x=\"1\"> ', replace(text, '<', ''), ' </text><tspan>', lang, '</tspan>') WHEN 1 THEN concat('<rect/> ', replace(text, '<', '')) ELSE '<rect/> one' END, '</g></svg>')"
 
 
 def svg(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.svg_text(F.expr(SVG)).alias("svg_text"))
 
 
-NAMES = "concat('dir/', source, '\\\\', '[', lang, ']', chr(7), substr(text, 1, 150), CASE doc_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '.txt' ELSE '.odd' END)"
+NAMES = "concat('dir/', source, '\\\\', '[', lang, ']', chr(7), text, CASE doc_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '.txt' ELSE '.odd' END)"
 NAMES_SQL = NAMES.replace("'\\\\'", "chr(92)")
 MIMES = "CASE doc_id % 6 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'image/png' WHEN 3 THEN '' WHEN 4 THEN 'Application/PDF' ELSE 'application/x-odd' END"
 
@@ -100,6 +104,16 @@ def placeholders(spark, sf_dir):
     return _uploads(spark, sf_dir).select("doc_id", T.media_placeholder(F.col("filename"), F.col("mime_type"), F.col("size_bytes")).alias("placeholder"))
 
 
+#: Decks of slides, notes and a title out of six documents each.
+PART_PATH = "CASE doc_id % 6 WHEN 5 THEN concat('ppt/notesSlides/notesSlide', CAST(doc_id AS STRING), '.xml') WHEN 4 THEN CASE WHEN doc_id % 12 = 4 THEN 'docProps/core.xml' ELSE 'ppt/media/image.xml' END ELSE concat('ppt/slides/slide', CAST(doc_id AS STRING), '.xml') END"
+PART_XML = "CASE doc_id % 6 WHEN 4 THEN concat('<dc:title lang=\"x\">', lang, '</dc:title>', text) ELSE concat('<p:sld><a:t>', replace(replace(text, '<', ' '), chr(10), '</a:t> 1 <a:t lang=\"en\"> '), '</a:t></p:sld>') END"
+
+
+def slides(spark, sf_dir):
+    parts = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 6).alias("document_id"), F.expr(PART_PATH).alias("path"), F.expr(PART_XML).alias("xml"))
+    return files.slide_xml_text(parts).select("document_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.length("text").cast("long").alias("char_count"))
+
+
 _S = r"\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}-\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _P = "'" + T.PRINTABLE + "'"
 _C = "'" + T.CJK + "'"
@@ -146,7 +160,7 @@ q AS (SELECT doc_id, text,
 
 QUERIES = {
     "normalize_text": normalized, "text_stats": stats, "looks_binary": binary, "text_quality": quality, "quality_gate": gate, "truncate_display": display, "display_labels": labels, "safe_log_detail": log_detail,
-    "html_visible_text": visible, "svg_text": svg, "sanitize_filename": filenames, "validate_upload": uploads, "media_placeholder": placeholders,
+    "html_visible_text": visible, "svg_text": svg, "sanitize_filename": filenames, "validate_upload": uploads, "media_placeholder": placeholders, "slide_xml_text": slides,
 }
 def _name(n: int, d: str) -> str:
     return f"coalesce(nullif(left(trim(regexp_replace(list_last(string_split_regex(filename, '[/\\\\]')), '[\\x00-\\x1F\\x7F\\[\\]]', '', 'g')), {n}), ''), '{d}')"
@@ -154,6 +168,13 @@ def _name(n: int, d: str) -> str:
 
 _UPLOADS = f"(SELECT doc_id, {NAMES_SQL} AS filename, {MIMES} AS mime_type, n_chars * 9000 AS size_bytes FROM documents)"
 SQL = {
+    "slide_xml_text": f"""WITH p AS (SELECT floor(doc_id / 6)::BIGINT AS document_id, {PART_PATH} AS path, {PART_XML} AS xml FROM documents),
+k AS (SELECT *, CASE WHEN path = 'docProps/core.xml' THEN 0 WHEN regexp_matches(path, '^ppt/slides/slide[0-9]+\\.xml$') THEN 1 WHEN starts_with(path, 'ppt/notesSlides/') THEN 2 END AS kind FROM p),
+n AS (SELECT *, CASE WHEN kind = 0 THEN 'Title: ' || regexp_extract(xml, '<dc:title[^>]*>([^<]+)</dc:title>', 1) WHEN kind = 2 OR length(xml) <= 2000000 THEN nullif({_strip("array_to_string(regexp_extract_all(xml, '<a:t[^>]*>([^<]+)</a:t>', 1), ' ')")}, '') END AS t,
+  row_number() OVER (PARTITION BY document_id, kind ORDER BY path) AS i FROM k WHERE kind IS NOT NULL),
+c AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY document_id, kind ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS so_far FROM n),
+u AS (SELECT document_id, string_agg(t, chr(10) || chr(10) ORDER BY kind, path) AS t FROM c WHERE t IS NOT NULL AND (kind = 0 OR (kind = 1 AND i <= 200 AND so_far <= 5000000) OR (kind = 2 AND i <= 10)) GROUP BY document_id)
+SELECT d.document_id, sha256(coalesce(t, '')) AS text_sha256, length(coalesce(t, '')) AS char_count FROM (SELECT DISTINCT document_id FROM p) d LEFT JOIN u ON d.document_id = u.document_id""",
     "normalize_text": f"WITH n AS (SELECT doc_id, {_normal(NOISE)} AS t FROM documents) SELECT doc_id, sha256(t) AS text_sha256, length(t) AS char_count FROM n",
     "text_stats": f"""SELECT doc_id, length(text) AS char_count, len({_words('text')}) AS word_count,
   greatest(1, len(list_filter(string_split_regex(text, '\\n[{_S}]*\\n'), lambda b: length({_strip('b')}) > 0))) AS sections, greatest(1, ceil(len(string_split(text, chr(10))) / 40)::BIGINT) AS pages, sha256(text) AS sha256, strlen(text) AS size_bytes FROM documents""",
@@ -166,7 +187,7 @@ SELECT doc_id, CASE WHEN length({_strip('text')}) < 20 OR regexp_matches(text, {
   length({_strip('text')}) >= 40 AND NOT is_garbage AND score >= 0.42 AND NOT (len({_words('text')}) < 4 AND dictionary_ratio = 0) AS meaningful FROM q""",
     "quality_gate": f"""{_QUALITY}, g AS (SELECT doc_id, text, length({_strip('text')}) = 0 AS blank, NOT (starts_with(text, '[Image:') OR starts_with(text, '[Video/Audio:')) AND (is_garbage OR score < 0.3) AS bad FROM q)
 SELECT doc_id, CASE WHEN blank OR bad THEN 0 ELSE length(text) END AS char_count, CASE WHEN blank THEN 'No extractable text' WHEN bad THEN 'Low text quality' END AS warning FROM g""",
-    "truncate_display": f"SELECT doc_id, sha256(left({_normal('text')}, 500)) AS shown_sha256, CASE WHEN length(text) <= 100 THEN text ELSE left(text, 99) || '…' END AS head FROM documents",
+    "truncate_display": f"SELECT doc_id, sha256(left({_normal('text')}, 200000)) AS shown_sha256, CASE WHEN length(text) <= 100 THEN text ELSE left(text, 99) || '…' END AS head FROM (SELECT doc_id, {LONG} AS text FROM documents)",
     "display_labels": """WITH b AS (SELECT *, n_chars * n_chars AS b, doc_id % 101 AS r FROM documents)
 SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', floor(b / 1024 * 10 + 0.5) / 10) ELSE format('{:.1f} MB', floor(b / 1048576 * 10 + 0.5) / 10) END AS size_shown,
   CASE WHEN r >= 70 THEN 'Critical' WHEN r >= 40 THEN 'High' WHEN r >= 15 THEN 'Medium' WHEN r > 0 THEN 'Low' ELSE 'Safe' END AS risk_label,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.text import strip
+
 # Limits and types.
 MOST_TEXT, MOST_MEDIA = 10 * 1024 * 1024, 25 * 1024 * 1024
 MEDIA = ["mp4", "mov", "webm", "avi", "mp3", "wav", "ogg"]
@@ -49,16 +51,29 @@ def validate_upload(df: DataFrame) -> DataFrame:
     return df.withColumns({"error": F.when(F.col("size_bytes") > most, "File too large"), "warnings": warnings})
 
 
+# Nodes of text, and limits on slides.
+NODE, TITLE = r"<a:t[^>]*>([^<]+)</a:t>", r"<dc:title[^>]*>([^<]+)</dc:title>"
+MOST_SLIDES, MOST_NOTES, MOST_XML, MOST_SLIDE_TEXT = 200, 10, 2_000_000, 5_000_000
+
+
 def slide_xml_text(parts: DataFrame) -> DataFrame:
-    """(document_id, text) from the XML parts of slides (document_id, path, xml), by path as text; at most 200 slides and 10 notes.
+    """(document_id, text) from the XML parts of slides (document_id, path, xml); one row per document.
 
-    Parts over 2 MB are left out, as is what comes after 5 MB of XML.
+    The title comes first, then the first 200 slides by path as text (slide10 before slide2), then the
+    first 10 notes. Slides of over 2,000,000 characters of XML are left out, as are all behind the one
+    whose text brings the slides' texts over 5,000,000 characters. A document without text has an empty one.
     """
-    text = F.array_join(F.filter(F.transform(F.regexp_extract_all("xml", F.lit(r"<a:t>([^<]*)</a:t>"), F.lit(1)), F.trim), lambda x: x != ""), " ")
-    kind = F.when(F.col("path").rlike("notesSlides/"), 1).otherwise(0)
-    rows = parts.filter(F.length("xml") <= 2 * 1024 * 1024).select("document_id", kind.alias("kind"), "path", text.alias("text"), F.length("xml").alias("size"))
+    path = F.col("path")
+    kind = F.when(path == "docProps/core.xml", 0).when(path.rlike(r"^ppt/slides/slide[0-9]+\.xml$"), 1).when(path.rlike("^ppt/notesSlides/"), 2)
+    title = F.regexp_extract("xml", TITLE, 1)
+    nodes = strip(F.array_join(F.regexp_extract_all("xml", F.lit(NODE), F.lit(1)), " "))
+    text = F.when(kind == 0, F.when(title != "", F.concat(F.lit("Title: "), title))).when((kind == 2) | (F.length("xml") <= MOST_XML), F.nullif(nodes, F.lit("")))
     w = Window.partitionBy("document_id", "kind").orderBy("path")
-    total = F.sum("size").over(Window.partitionBy("document_id").orderBy("kind", "path"))
-    rows = rows.withColumn("i", F.row_number().over(w)).withColumn("total", total).filter(((F.col("kind") == 0) & (F.col("i") <= 200) | (F.col("i") <= 10)) & (F.col("total") <= 5 * 1024 * 1024))
-    found = rows.filter("text <> ''").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("kind", "path", "text"))).alias("p"))
-    return found.select("document_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+    rows = parts.select("document_id", kind.alias("kind"), "path", text.alias("text")).withColumn("i", F.row_number().over(w))
+    rows = rows.filter((F.col("kind") == 0) & (F.col("i") == 1) | (F.col("kind") == 1) & (F.col("i") <= MOST_SLIDES) | (F.col("kind") == 2) & (F.col("i") <= MOST_NOTES))
+    # texts are counted as joined by one character
+    before = F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)) - 1
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).filter((F.col("kind") != 1) | (F.col("before") <= MOST_SLIDE_TEXT))
+    found = rows.filter("text is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("kind", "path", "text"))).alias("p"))
+    found = found.select("document_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+    return parts.select("document_id").distinct().join(found, "document_id", "left").withColumn("text", F.coalesce("text", F.lit("")))

@@ -12,14 +12,42 @@ SCHEMAS = {
     "transformations": "document_id string, profile string, output_type string, output_content string, grounding string, policy_status string, output_dlp string, risk_delta int, leakage_count int, citations array<struct<claim:string,evidence:string,grounded:boolean>>, batch_id string, created_at timestamp",
     "audit": "audit_id string, document_id string, actor string, action string, detail string, timestamp timestamp",
     "policies": "name string, classification string, audience string, allow array<string>, mask array<string>, remove array<string>, block array<string>, builtin boolean, active boolean",
+    "intelligence": "document_id string, entities array<struct<type:string,value:string,location:string,confidence:double,context:string>>, iocs array<struct<type:string,value:string,severity:string,confidence:double,context:string>>, "
+    "ttps array<struct<mitre_id:string,technique:string,tactic:string,severity:string,keyword:string,confidence:double,evidence:string>>, risks array<struct<category:string,severity:string,score:int,n:int>>, "
+    "key_findings array<struct<finding:string,score:double,confidence:double>>, evidence array<struct<claim:string,source:string,location:string>>, summary string, risk_score int, classification string, model string, created_at timestamp",
 }
 
 
+def _files(spark: SparkSession, root: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _current(spark: SparkSession, root: str, name: str) -> str | None:
+    """The folder with the table's rows: its newest finished version; null if it was never written."""
+    fs, path = _files(spark, root)
+    folder = f"{root}/{name}"
+    if not fs.exists(path(folder)):
+        return None
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("version=") and fs.exists(path(f"{folder}/{s.getPath().getName()}/_SUCCESS")))
+    return f"{folder}/{versions[-1]}" if versions else folder
+
+
 def read_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables below ``root``; one that was never written is empty."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = lambda name: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"))
-    return {n: spark.read.schema(s).parquet(f"{root}/{n}") if there(n) else spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+    at = {n: _current(spark, root, n) for n in SCHEMAS}
+    return {n: spark.read.schema(s).parquet(at[n]) if at[n] else spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+
+
+def write_table(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
+    """Replace a table by a new version. Readers see the old one until the new one is finished; the one before is kept, older ones go."""
+    fs, path = _files(spark, root)
+    old = _current(spark, root, name)
+    number = int(old.rsplit("=", 1)[1]) + 1 if old and "version=" in old.rsplit("/", 1)[1] else 0
+    rows.write.mode("overwrite").parquet(f"{root}/{name}/version={number:08d}")
+    if number > 1:
+        fs.delete(path(f"{root}/{name}/version={number - 2:08d}"), True)
 
 
 def from_json_text(c: Column, kind: str) -> Column:
@@ -35,15 +63,8 @@ def replace_findings(stored: DataFrame, new: DataFrame, scanned: DataFrame) -> D
 
 
 def write_findings(spark: SparkSession, root: str, new: DataFrame, scanned: DataFrame) -> None:
-    """Replace the scanned documents' input findings; written beside the old table and then put in its place."""
-    fields = read_store(spark, root)["findings"]
-    target, beside = f"{root}/findings", f"{root}/findings.new"
-    replace_findings(fields, new, scanned).write.mode("overwrite").parquet(beside)
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(target)
-    fs = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    fs.rename(a, b)
+    """Replace the scanned documents' input findings, in a new version of the table; a crash leaves the old one."""
+    write_table(spark, root, "findings", replace_findings(read_store(spark, root)["findings"], new, scanned))
 
 
 def slug(title: Column, output_type: Column) -> Column:

@@ -81,7 +81,42 @@ def test_files(spark, tmp_path):
     rows = {r["mime"]: r["text"] for r in files.read_text_files(spark, str(tmp_path)).collect()}
     assert rows == {"text/plain": "grün", "text/markdown": "gr�n �ber �l"}  # Latin-1 shows no more ASCII, so it is no better
     parts = spark.createDataFrame([("d", "ppt/slides/slide2.xml", "<a:t>two</a:t>"), ("d", "ppt/slides/slide10.xml", "<a:t>ten</a:t><a:t> x</a:t>")], "document_id string, path string, xml string")
-    assert files.slide_xml_text(parts).first()["text"] == "ten x\n\ntwo"
+    assert files.slide_xml_text(parts).first()["text"] == "ten  x\n\ntwo"
+
+
+def test_slides(spark):
+    """Digits stay, nodes may have attributes, and titles, notes and limits have their places."""
+    node = lambda *t: "".join(f'<a:t lang="x">{x}</a:t>' for x in t)
+    slide = lambda i: f"ppt/slides/slide{i}.xml"
+    rows = [
+        ("a", slide(1), node("0 of 2020", "1 of 11")), ("a", slide(2), node(" ")), ("a", "ppt/notesSlides/n1.xml", node("note")), ("a", "docProps/core.xml", "<dc:title>T</dc:title>"), ("a", "ppt/media/x.xml", node("no")),
+        ("b", slide(1), "y" * 2_000_001 + node("too long")), ("c", None, node("no")), ("d", slide(1), None),
+        *(("e", slide(i), node(*(c * 1_500_000 for _ in range(1)))) for i, c in zip((1, 2, 3, 4, 5), "vwxyz")), *(("f", f"ppt/notesSlides/n{i:02d}.xml", node(str(i))) for i in range(12)), *(("g", slide(i), node(f"s{i}")) for i in range(203)),
+    ]
+    out = {r["document_id"]: r["text"] for r in files.slide_xml_text(spark.createDataFrame(rows, "document_id string, path string, xml string")).collect()}
+    assert out["a"] == "Title: T\n\n0 of 2020 1 of 11\n\nnote" and out["b"] == out["c"] == out["d"] == ""
+    assert [t[0] for t in out["e"].split("\n\n")] == list("vwxy")  # the fourth brings it over the limit, the fifth is behind it
+    assert out["f"] == "\n\n".join(map(str, range(10))) and len(out["g"].split("\n\n")) == 200
+
+
+def test_stored_findings_stand_in_for_live_ones(spark):
+    kind = "document_id string, location string, type string, stage string"
+    docs = spark.createDataFrame([("a",), ("b",), ("c",)], "document_id string")
+    stored = spark.createDataFrame([("a", "0-1", "X", "INPUT"), ("b", "0-1", "X", "OUTPUT")], kind)
+    live = spark.createDataFrame([(d, at, "X", "INPUT") for d in "abc" for at in ("0-1", "5-6")], kind)
+    used, fresh = reports.stored_or_live(docs, stored, live)
+    assert {(r[0], r[1]) for r in used.select("document_id", "location").collect()} == {("a", "0-1"), ("b", "0-1"), ("b", "5-6"), ("c", "0-1"), ("c", "5-6")}
+    assert {(r[0], r[1]) for r in fresh.select("document_id", "location").collect()} == {("b", "5-6"), ("c", "0-1"), ("c", "5-6")}
+
+
+def test_benchmark_report(spark):
+    key = "AKIA" + "AB12" * 4
+    rows = [("a", "MIXED", f"Please keep the key {key} of the garden house away from everyone"), ("b", "SAFE", "Nothing at all to be seen in here"), ("c", "PII_HEAVY", "nora.weiss@mail.test"), ("d", None, None)]
+    out = sanitize.benchmark(spark.createDataFrame(rows, "document_id string, category string, text string"))
+    got = {r["document_id"]: (r["profile"], r["n_findings"], r["blocked"], r["leakage"]) for r in out.collect()}
+    assert got["a"] == ("SECURITY_INCIDENT", 1, False, 0) and got["b"] == ("INTERNAL_SUMMARY", 0, False, 0) and got["c"][:2] == ("PUBLIC_RELEASE", 1)
+    total = sanitize.benchmark_summary(out).first()
+    assert total["documents"] == 4 and total["n_findings"] == 2 and total["leakage"] == got["c"][3]
 
 
 def test_store(spark, tmp_path):
