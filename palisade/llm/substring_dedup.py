@@ -10,7 +10,8 @@ The search ends early when no candidates survive a level.
 
 Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return, taken
 unchanged. Windows lie inside one document and are judged on the input. Null texts have no words.
-Every row is a document of its own, also when ids repeat or are null.
+Every row is a document of its own, also when ids repeat or are null. Windows are equal if their first
+128 bits of hash are. Extra columns come back as they were; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm._shared import Scratch, slices
+from palisade.llm._shared import Scratch, bucketed, slices
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
-#: Odd multipliers of the polynomial hashes over bytes, words and words once more.
+#: Odd multipliers: for places of bytes, and of the polynomial hashes over words (of at most some 50 words at a time, too few to cancel out).
 BYTE, WORD, WORD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+WORDS_AT_ONCE = 1 << 16
 #: Text taken at once, unless a document is longer.
 SLICE = 1 << 20
 
@@ -63,17 +65,29 @@ class Rolling:
         return mix((self.sums[end] - self.sums[begin]) * self.back[begin])
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document number of every word of the texts."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    begin, end = edge[0::2], edge[1::2]
-    if len(begin) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes = mix(Rolling(data.astype(np.uint64) + np.uint64(1), BYTE).between(begin, end) + (end - begin).astype(np.uint64))
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    return hashes, np.searchsorted(starts, begin, "right") - 1
+class Words:
+    """Where the words of some texts stand, and hashes of them."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        edge = np.flatnonzero(np.diff(IS_SPACE[self.data], prepend=True))
+        self.begin, self.end = edge[0::2], edge[1::2]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        self.doc = np.searchsorted(starts, self.begin, "right") - 1
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """64 bits a word: every byte at every place in a word stands for a random number of its own, and the numbers are added up.
+
+        Unlike powers of one base, which for some pairs of words cancel out whatever the base is.
+        """
+        out = np.zeros(len(self.begin), np.uint64)
+        for a in range(0, len(out), WORDS_AT_ONCE):
+            begin, size = self.begin[a : a + WORDS_AT_ONCE], (self.end - self.begin)[a : a + WORDS_AT_ONCE]
+            first = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) - np.repeat(first, size)
+            values = mix((place * 256 + self.data[np.repeat(begin, size) + place]).astype(np.uint64) * np.uint64(BYTE) + np.uint64(seed))
+            out[a : a + WORDS_AT_ONCE] = mix(np.add.reduceat(values, first) + size.astype(np.uint64) * np.uint64(BYTE))
+        return out
 
 
 def least_inside(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,8 +105,8 @@ class Slice:
     """Some documents' windows of ``window`` words: number, document, first word."""
 
     def __init__(self, texts: list[bytes], window: int):
-        self.window = window
-        self.words, self.doc = words_of(texts)
+        self.window, self.source = window, Words(texts)
+        self.words, self.doc = self.source.hashes(1), self.source.doc
         self.first = np.searchsorted(self.doc, np.arange(len(texts)))  # of each document
         n = max(0, len(self.words) - window + 1)
         self.inside = self.doc[:n] == self.doc[window - 1 : window - 1 + n] if n else np.zeros(0, bool)
@@ -106,9 +120,9 @@ class Slice:
         return h, least_inside(h, self.window - length + 1)[: len(self.inside)]
 
     def hash(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of stretches of words."""
+        """128 bits of stretches of words, 64 each from two hashes of every word that have nothing in common."""
         if not hasattr(self, "roll2"):
-            self.roll2 = Rolling(mix(self.words + np.uint64(WORD2)), WORD2)
+            self.roll2 = Rolling(self.source.hashes(2), WORD2)
         return self.roll.between(begin, end), self.roll2.between(begin, end)
 
     def mask(self, places: list, size: int) -> np.ndarray:
@@ -215,14 +229,11 @@ def removal(columns: list[str], window: int):
 
 def _spread(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``df`` with a number for each row, as a table bucketed by it, so that no later join moves the texts again."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = "palisade_" + scratch.root.rsplit("-", 1)[1] + name
-    numbered = df.withColumn("row", F.monotonically_increasing_id()).repartition(n, "row")
-    numbered.write.bucketBy(n, "row").sortBy("row").option("path", scratch.path(name)).option("compression", "zstd").saveAsTable(table)
+    numbered = df.withColumn("row", F.monotonically_increasing_id())
+    out = bucketed(df.sparkSession, scratch.path(name), numbered.schema, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["row"], numbered)
     del numbered
     scratch.release()
-    return spark.table(table)
+    return out
 
 
 def remove_repeats(df: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
