@@ -1,15 +1,17 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A run is a table of line keys (128-bit hashes, in order of the key) with the number of documents that
-hold the line and the largest id among them. Each new batch of documents is merge-anti-joined with
-the runs, which tells new lines from known ones, and is added as a run of level 0. Whenever a level
-has ``fanout`` runs they are compacted into one of the next level, so few runs are read however many
-batches came. Summing over the runs gives every line's counts over all documents.
+A run is a table of line keys (128-bit hashes, in buckets and in order of the key) with the number of
+documents that hold the line and the largest id among them. Each new batch of documents is
+merge-anti-joined with the runs, which tells new lines from known ones without moving the runs, and is
+added as a run of level 0. Whenever a level has ``fanout`` runs they are compacted into one of the next
+level, so few runs are read however many batches came. Summing over the runs gives every line's counts
+over all documents. Runs in a named folder can be opened again and added to.
 
 A line's key is the line without white space (space, \\x09-\\x0D) at both ends and with A-Z lower-cased.
-Lines are the parts between newlines; a null or empty text is one empty line. Extra columns are
-ignored. Rows with equal ids are counted as one document; a null id counts as a document but is never
-the largest, unless all holders' ids are null.
+Lines are the parts between newlines; a null or empty text is one empty line. Every row is a document
+of its own when lines are dropped, also when ids repeat or are null; rows with equal ids are counted as
+one document, all rows with a null id as one whose id is never the largest, unless all holders' ids are
+null. Extra columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm._shared import SPACE, Scratch, ascii_lower, slices, text_of
+from palisade.llm._shared import SPACE, Scratch, ascii_lower, bucketed, located, slices, text_of
 
 KEY = ["h1", "h2"]
 
@@ -39,49 +41,62 @@ def line_hashes(df: DataFrame, min_length: int, *columns: Column, text_col: str
 
 
 class LineRuns:
-    """The runs in a shared folder. ``levels`` maps a level to the names of its runs."""
+    """The runs in a shared folder. ``levels`` maps a level to its runs' names, each of which says the batches that it covers.
 
-    def __init__(self, spark: SparkSession, fanout: int = 3, scratch: Scratch | None = None):
-        self.spark, self.fanout, self.scratch = spark, fanout, scratch or Scratch(spark, "line-runs")
-        self.levels: dict[int, list[str]] = defaultdict(list)
-        self.made, self.schema = 0, None
+    folder: one that stays. Runs that a compaction made needless but did not get to delete are covered by its result and left out.
+    """
 
-    def _write(self, run: DataFrame, level: int) -> str:
-        name = f"run-{self.made:05d}-level-{level}"
-        self.made += 1
-        self.scratch.save(run.sortWithinPartitions(*KEY), name)
+    def __init__(self, spark: SparkSession, fanout: int = 3, folder: str | None = None, buckets: int | None = None):
+        self.spark, self.fanout, self.scratch = spark, fanout, Scratch(spark, "line-runs", folder)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, list[str]] = defaultdict(list)
+        self.frames: dict[str, DataFrame] = {}
+        spans = {n: tuple(map(int, n.split("-")[1:])) for n in self.scratch.finished("run-")}
+        for name, (level, first, last, buckets) in spans.items():
+            if not any(f <= first and last <= l and k > level for k, f, l, _ in spans.values()):
+                schema = spark.read.parquet(self.scratch.path(name)).schema
+                self.levels[level].append(name)
+                self.frames[name] = bucketed(spark, self.scratch.path(name), schema, buckets, KEY)
+        self.made = 1 + max((last for _, _, last, _ in spans.values()), default=-1)
+
+    def _write(self, run: DataFrame, level: int, first: int, last: int) -> DataFrame:
+        name = f"run-{level}-{first:06d}-{last:06d}-{self.buckets}"
+        self.frames[name] = bucketed(self.spark, self.scratch.path(name), run.schema, self.buckets, KEY, run)
         self.levels[level].append(name)
-        self.schema = run
-        return name
+        return self.frames[name]
 
-    def runs(self) -> DataFrame | None:
-        """All runs' rows: a line has a row in each run that met it."""
-        names = [n for level in self.levels.values() for n in level]
-        if not names:
-            return None
-        return self.spark.read.schema(self.schema.schema).parquet(*map(self.scratch.path, names))
+    def runs(self) -> list[DataFrame]:
+        """A line has a row in each run that met it."""
+        return [self.frames[n] for level in self.levels.values() for n in level]
 
     def known(self) -> DataFrame | None:
-        runs = self.runs()
-        return runs if runs is None else merged(runs)
+        names = [n for level in self.levels.values() for n in level]
+        return self._merged(names) if names else None
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs' rows added up. They are read as plain files: a union of tables in equal buckets counts as in buckets itself, though it puts equal keys in several parts."""
+        return merged(self.spark.read.schema(self.frames[names[0]].schema).parquet(*map(self.scratch.path, names)))
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Add a batch (id, h1, h2); returns its run: h1, h2, documents, last, fresh (met for the first time)."""
         batch = lines.groupBy(*KEY, "id").agg(F.lit(1).alias("one")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("documents"), F.max("id").alias("last"))
         before = self.runs()
-        if before is None:
-            run = batch.withColumn("fresh", F.lit(True))
+        if before:
+            # what no run has met; the batch is moved to the runs' buckets once, the runs stay where they are
+            batch = self.scratch.save(batch.repartition(self.buckets, *KEY), f"batch-{self.made}")
+            fresh = batch.select(*KEY).repartition(self.buckets, *KEY)
+            for run in before:
+                fresh = fresh.join(run.select(*KEY), KEY, "left_anti")
+            batch = batch.join(fresh.withColumn("fresh", F.lit(True)), KEY, "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
         else:
-            batch = self.scratch.save(batch, f"batch-{self.made}")
-            seen = before.filter("fresh").select(*KEY)  # a line is fresh in exactly one run
-            fresh = batch.join(seen, KEY, "left_anti").withColumn("fresh", F.lit(True))
-            run = fresh.unionByName(batch.join(seen, KEY, "left_semi").withColumn("fresh", F.lit(False))).repartition(*KEY)
-        written = self.scratch.read(self._write(run, 0), run)
-        level = 0
+            batch = batch.withColumn("fresh", F.lit(True))
+        written, level = self._write(batch, 0, self.made, self.made), 0
+        self.scratch.drop(f"batch-{self.made}")
+        self.made += 1
         while len(self.levels[level]) >= self.fanout:
             old = self.levels.pop(level)
-            rows = self.spark.read.schema(self.schema.schema).parquet(*map(self.scratch.path, old))
-            self._write(merged(rows), level + 1)
+            ends = [int(x) for n in old for x in n.split("-")[2:4]]
+            self._write(self._merged(old), level + 1, min(ends), max(ends))
             level += 1
         return written
 
@@ -113,17 +128,17 @@ def drop_common_lines(df: DataFrame, min_length: int = 40, min_documents: int =
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    batch = F.pmod(F.xxhash64(id_col), F.lit(batches)).cast("int").alias("batch")
-    lines = line_hashes(df, min_length, F.col(id_col).alias("id"), batch, text_col=text_col)
+    docs = located(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), scratch, id=F.col("id"), text=F.col("text"))
+    docs = docs.withColumn("file", F.xxhash64("file"))  # a number says which of the files
+    batch = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch")
+    lines = line_hashes(docs, min_length, F.col("id"), F.col("file"), F.col("row"), batch)
     lines = scratch.save(lines, "lines", "batch")
     runs = LineRuns(spark, fanout)
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i).select("id", *KEY))
     common = scratch.save(runs.known().filter(F.col("documents") >= min_documents).select(*KEY, "last"), "common")
-    drop = lines.join(common, KEY).filter(~F.col("id").eqNullSafe(F.col("last"))).select("id", "pos")
-    drop = drop.groupBy("id").agg(F.collect_set("pos").alias("drop"))
-    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    both = docs.join(drop.withColumnRenamed("id", "same"), F.col("id").eqNullSafe(F.col("same")), "left").select("id", "text", "drop")
+    drop = lines.join(common, KEY).filter(~F.col("id").eqNullSafe(F.col("last"))).groupBy("file", "row").agg(F.collect_set("pos").alias("drop"))
+    both = docs.join(drop, ["file", "row"], "left").select("id", "text", "drop")
     schema = T.StructType([docs.schema["id"]]).add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
     return both.mapInArrow(_drop(["id"]), schema).withColumnRenamed("id", id_col)
 
