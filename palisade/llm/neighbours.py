@@ -5,7 +5,10 @@ order of it. A query descends to the places where its own string would stand and
 at once, to shorter and shorter common prefixes, until the entries under its prefixes are enough;
 those are compared exactly. A table of the number of entries under every short prefix, of fixed size,
 tells in advance how far each query has to ascend, so it is sent only to the cells of the trees that
-it will read. A cell is a stretch of a tree's order; one with many entries is cut into parts.
+it will read. A cell is a stretch of a tree's order; one with many entries is cut into parts. Where
+even the table's longest prefixes hold more than enough, a query descends on in the cell's sorted codes.
+
+Cosines that agree to 12 digits tie, and ties go to the smaller id, however many there are.
 
 Equal vectors are one entry; each keeps its smallest ids, as many as a result can hold. Vectors that
 are null, zero, of another than the most common dimension, or that hold null or non-finite components
@@ -27,6 +30,8 @@ from palisade.llm._shared import Scratch
 BITS, COUNTED = 48, 12
 #: Entries of a cell, and rows compared at once.
 CELL = 4096
+#: Digits to which cosines are compared, so that vectors of one direction tie whatever their lengths.
+DIGITS = 12
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -105,25 +110,46 @@ def _send(trees: Trees, counts: Counts, depth: int, dims: int, enough: int | Non
     return run
 
 
-def _compare(dims: int, k: int):
-    """Sorted entries and queries of cells to each query's best ``k`` entries there."""
+def reach(codes: np.ndarray, code: np.ndarray, bits: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where in the sorted codes each query reads.
+
+    bits: the prefix that it ascends to, by the table of counts. At the table's last level it descends
+    on, to the longest prefix that it shares with ``need`` codes.
+    """
+    shift = BITS - bits
+    lo, hi = np.searchsorted(codes, code >> shift << shift), np.searchsorted(codes, ((code >> shift) + 1) << shift)
+    open_ = np.flatnonzero(bits == COUNTED)
+    for b in range(BITS, COUNTED, -1):
+        if not len(open_):
+            break
+        low = code[open_] >> (BITS - b) << (BITS - b)
+        l, h = np.searchsorted(codes, low), np.searchsorted(codes, low + (1 << (BITS - b)))
+        ok = h - l >= need
+        lo[open_[ok]], hi[open_[ok]] = l[ok], h[ok]
+        open_ = open_[~ok]
+    return lo, hi
+
+
+def _compare(dims: int, k: int, need: int):
+    """Sorted entries and queries of cells to each query's best ``k`` entries there; of equal cosines those with the smaller ids."""
 
     def best(codes, ids, x, batch: pa.RecordBatch) -> pa.RecordBatch:
         q, asked = matrix(batch.column("v"), dims), batch.column("id").to_numpy()
         # a prefix shorter than the cells' holds every cell that the query was sent to, the siblings of its own too
-        code, shift = batch.column("code").to_numpy(), BITS - batch.column("bits").to_numpy().astype(np.int64)
-        lo = np.searchsorted(codes, code >> shift << shift)
-        hi = np.searchsorted(codes, ((code >> shift) + 1) << shift)
+        lo, hi = reach(codes, batch.column("code").to_numpy(), batch.column("bits").to_numpy().astype(np.int64), need)
         near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
         at = np.arange(len(codes))
         near[(at < lo[:, None]) | (at >= hi[:, None])] = -np.inf
-        keep = min(k + 4, len(codes))  # a few more, as the exact score may order close ones otherwise
-        top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-        row = np.repeat(np.arange(len(q)), keep)
-        top = top.ravel()
-        ok = np.isfinite(near[row, top])
-        row, top = row[ok], top[ok]
-        score = (q[row] * x[top]).sum(axis=1) / (np.sqrt((q[row] ** 2).sum(axis=1)) * np.sqrt((x[top] ** 2).sum(axis=1)))
+        last = -np.partition(-near, min(k, len(codes)) - 1, axis=1)[:, min(k, len(codes)) - 1]
+        # all that may tie with the last one, however many; then in the order of the result, of which only k can count
+        row, top = np.nonzero((near >= last[:, None] - 10.0 ** (3 - DIGITS)) & np.isfinite(near))
+        score = np.concatenate([np.zeros(0), *(
+            (q[r] * x[t]).sum(axis=1) / (np.sqrt((q[r] ** 2).sum(axis=1)) * np.sqrt((x[t] ** 2).sum(axis=1))) for r, t in ((row[i : i + CELL], top[i : i + CELL]) for i in range(0, len(row), CELL))
+        )])
+        order = np.lexsort((ids[top], -np.round(score, DIGITS), row))
+        row, top, score = row[order], top[order], score[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, top, score = row[first], top[first], score[first]
         return pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[top]), pa.array(score)], ["query", "entry", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,17 +211,18 @@ def nearest(df: DataFrame, asks: Column, k: int = 5, trees: int = 24, share: flo
         total[r["tree"], r["leaf"]] = r["n"]
     counts, depth = Counts(total), min(COUNTED, max(0, (n // CELL).bit_length()))
     enough = min(trees * n, max(trees * (k + 1), int(share * n)))
+    nearest_first = [F.desc(F.round("score", DIGITS)), F.col("entry")]
     schema = "tree int, cell int, part int, asks boolean, code long, bits int, id long, v array<double>"
     sent = entries.select(F.col("id").cast("long"), "v").mapInArrow(_send(forest, counts, depth, dims, None), schema)
     sent = sent.unionByName(asked.select(F.col("id").cast("long"), "v").mapInArrow(_send(forest, counts, depth, dims, enough), schema))
     cell = ["tree", "cell", "part"]
-    found = sent.repartition(*cell).sortWithinPartitions(*cell, "asks", "code").mapInArrow(_compare(dims, k + 1), "query long, entry long, score double")
+    found = sent.repartition(*cell).sortWithinPartitions(*cell, "asks", "code").mapInArrow(_compare(dims, k + 1, -(-enough // trees)), "query long, entry long, score double")
     best = found.groupBy("query", "entry").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query")
-    best = best.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "entry"))).filter(F.col("r") <= k + 1)
+    best = best.withColumn("r", F.row_number().over(w.orderBy(*nearest_first))).filter(F.col("r") <= k + 1)
     best = scratch.save(best.select("query", "entry", "score"), "best")
     ids = best.join(entries.select(F.col("id").alias("entry"), "members"), "entry").select("query", "score", F.explode("members").alias("vec_id"))
-    ids = ids.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
+    ids = ids.withColumn("r", F.row_number().over(w.orderBy(F.desc(F.round("score", DIGITS)), "vec_id"))).filter(F.col("r") <= k + 1)
     ids = scratch.save(ids.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")), "found")
     same = scratch.save(queries.join(asked, "v").select(F.col("vec_id").alias("query_id"), F.col("id").alias("query")), "same")
     others = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))

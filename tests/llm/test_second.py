@@ -92,3 +92,23 @@ def test_anti_join_moves_no_run(spark, tmp_path):
         assert plan.count() == 40 and text.count("Exchange hashpartitioning") == 1, text
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_neighbours_of_one_direction(spark):
+    """Many distinct vectors with equal cosines: the smallest ids win."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=24)
+    rows = [(i, (base * f).tolist(), i, "x") for i, f in zip(range(981, 1001), rng.permutation(np.linspace(0.3, 7, 20)))] + [(i, rng.normal(size=24).tolist(), i, "x") for i in range(300)]
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, v string"), F.col("vec_id").isin(1000, 983)).collect()
+    got = {q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1000, 983)}
+    assert got == {1000: [981, 982, 983, 984, 985], 983: [981, 982, 984, 985, 986]}
+
+
+def test_descent_beyond_the_table():
+    """Codes that share 12 bits: the longest prefix with enough of them is read, and no more."""
+    codes = np.sort(np.array([0b101 << 45 | v for v in (0, 1, 2, 3, 1 << 20, 1 << 21, 1 << 30)], np.int64))
+    for need, end in ((1, 1), (2, 2), (3, 4), (5, 5), (6, 6), (7, 7)):
+        lo, hi = neighbours.reach(codes, codes[:1], np.array([neighbours.COUNTED]), need)
+        assert (lo[0], hi[0]) == (0, end), (need, lo, hi)
+    lo, hi = neighbours.reach(codes, codes[:1], np.array([3]), 1)
+    assert (lo[0], hi[0]) == (0, 7)
