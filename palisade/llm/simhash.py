@@ -2,9 +2,8 @@
 
 Fingerprints that differ in at most ``radius`` bits of 64 agree on one of ``radius + 1`` blocks of
 bits (or, with more blocks, on several at once), so every link is found among fingerprints that
-share a key of that kind. ``keep_one`` decides by the similarity of shingle sets instead, exactly:
-its candidates come from rare shingles that similar sets must share, as fingerprints estimate a
-similarity too coarsely for short texts and for pairs near the threshold.
+share a key of that kind. ``keep_one`` finds its pairs in the same way, by fingerprints of 256 bits and
+keys of random bits, and then decides each pair by the similarity of the shingle sets themselves.
 
 Within a key the comparison is bit-sliced: 64 fingerprints are stored as one word per bit; XOR with
 the query's bit gives 64 difference bits at once, which go into carry-save counters one bit wide
@@ -17,19 +16,25 @@ Nothing is capped: every pair that shares a key and is within the radius ends up
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm._shared import Scratch, int_lists, slices
 from palisade.llm.components import components
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: 64-bit words of the fingerprints by which ``keep_one`` looks for pairs.
+WORDS = 4
+FPS = [f"fp{w}" for w in range(WORDS)]
 
 
 def fingerprint(text: bytes, size: int = 4, seed: int = 42, words: int = 1) -> bytes:
@@ -42,7 +47,11 @@ def fingerprint(text: bytes, size: int = 4, seed: int = 42, words: int = 1) -> b
         return bytes(8 * words)
     shingles = [b" ".join(split)] if len(split) < size else [b" ".join(s) for s in zip(*(split[i:] for i in range(size)))]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(s, seed) for s in shingles]), ">u8").astype(np.uint64)
+    return majority(np.frombuffer(b"".join([digest(s, seed) for s in shingles]), ">u8").astype(np.uint64), words)
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> bytes:
+    """The bits that over half the hashes have; zeros if there are none."""
     counts = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
@@ -51,7 +60,7 @@ def fingerprint(text: bytes, size: int = 4, seed: int = 42, words: int = 1) -> b
                 part = part * np.uint64(0x9E3779B97F4A7C15)
                 part = part ^ (part >> np.uint64(29))
             counts[w] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > len(shingles)).tobytes()
+    return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, words: int = 1) -> DataFrame:
@@ -110,27 +119,33 @@ def close(word: np.ndarray, queries: np.ndarray, block: np.ndarray, valid: np.nd
     return alive, ~over
 
 
-def _root(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join i and j in ``parent``, for whole arrays of links."""
-    while len(i):
-        a, b = parent[i], parent[j]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
+def _root(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Join i and j in ``parent``, for whole arrays of links; returns which links did so, a spanning forest."""
+    chosen, at = [np.zeros(0, np.int64)], np.arange(len(i))
+    while len(at):
+        a, b = parent[i[at]], parent[j[at]]
+        apart = a != b
+        at, high, low = at[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        high, first = np.unique(high, return_index=True)
+        parent[high] = low[first]
+        chosen.append(at[first])
+        while len(at):
             up = parent[parent]
             if (up == parent).all():
                 break
             parent[:] = up
-        apart = parent[i] != parent[j]
-        i, j = i[apart], j[apart]
+    return np.concatenate(chosen)
 
 
-def spanning_links(group: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between left and right members of each group, as row numbers.
+def group_links(
+    group: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, order: list[int], may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, whole: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between left and right members of each group, as row numbers; with ``whole`` all links.
 
     group: group numbers, ascending. left, right: whether a row is compared as a query, and whether
-    it is compared against.
+    it is compared against. may: whether two rows can be linked at all.
     """
-    parent = np.arange(len(fps))
+    parent, out = np.arange(len(fps)), [np.zeros((2, 0), np.int64)]
     lane_of = np.flatnonzero(right)
     starts = np.flatnonzero(np.diff(group[lane_of], prepend=-1))
     # blocks of 64 lanes that do not cross groups
@@ -164,10 +179,12 @@ def spanning_links(group: np.ndarray, fps: np.ndarray, left: np.ndarray, right:
         if len(found):
             row, lane = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i, j = who[found[row]], owner[block[found[row]] * 64 + lane]
-            _root(parent, i[i != j], j[i != j])
+            ok = (i != j) if may is None else (i != j) & may(i, j)
+            i, j = i[ok], j[ok]
+            links = slice(None) if whole else _root(parent, i, j)
+            out.append(np.stack([i[links], j[links]]))
         at = end
-    moved = np.flatnonzero(parent != np.arange(len(fps)))
-    return moved, parent[moved]
+    return tuple(np.concatenate(out, axis=1))
 
 
 def block_keys(radius: int, blocks: int) -> list[list[int]]:
@@ -181,48 +198,60 @@ def block_keys(radius: int, blocks: int) -> list[list[int]]:
     return [[b for r in pick for b in r] for pick in combinations(cut, blocks - radius)]
 
 
-def near_links(nodes: DataFrame, choices: list[list[int]], radius: int, words: int = 1, chunk: int = 2048) -> DataFrame:
+def enough_blocks(nodes: int, radius: int, most: int = 4096) -> int:
+    """Blocks for which a key holds at most ``most`` of so many nodes on average, so that comparisons grow with the nodes and not with their square."""
+    blocks = radius + 1
+    while nodes >> (64 // blocks * (blocks - radius)) > most:
+        blocks += 1
+    return blocks
+
+
+def near_links(nodes: DataFrame, choices: list[list[int]], radius: int, words: int = 1, chunk: int = 2048, share: tuple[int, int] | None = None) -> DataFrame:
     """(u, v): links between nodes (node long, fp0, fp1, ...) whose components are those of all pairs that share a key and are within ``radius``.
 
     choices: for each key, its bits. chunk: so many nodes of a key one task compares with as many others.
+    share: sets of sizes n (a column) so different that no such share of them can be common are not linked.
+    If the nodes have a column root, not a forest but all links between nodes of different roots are given.
     """
     scratch = Scratch(nodes.sparkSession, "simhash-keys")
     names = [f"fp{w}" for w in range(words)]
 
-    def key(bits: list[int]):
+    def key(pick: int, bits: list[int]):
         masks = [sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(words)]
         parts = [F.col(n).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for n, m in zip(names, masks) if m]
-        return F.xxhash64(*parts)
+        return F.xxhash64(F.lit(pick), *parts)
 
-    keyed = nodes.select(F.posexplode(F.array(*map(key, choices))).alias("pick", "key"), "node", *names)
+    more = [c for c in ("n", "root") if c in nodes.columns]
+    keyed = nodes.select(F.explode(F.array(*(key(*c) for c in enumerate(choices)))).alias("key"), "node", *names, *more)
     # only keys with more than a chunk are cut; there are at most rows / chunk of them
-    large = scratch.save(keyed.groupBy("pick", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk), "large")
-    cut = keyed.join(large, ["pick", "key"], "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / chunk).cast("int"))
-    # a row meets its own chunk and each other one once; of two chunks the lower asks and the higher is compared against
-    rows = (
-        cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("pick", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "node", *names)
-    )
-    keys = ["pick", "key", "a", "b"]
+    large = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > chunk), "large")
+    cut = keyed.join(F.broadcast(large) if large.count() < 1_000_000 else large, "key", "left").withColumn("parts", F.ceil(F.coalesce("held", F.lit(1)) / chunk).cast("int"))
+    # a row meets its own chunk and each other one once; of two chunks the lower asks and the higher is compared against.
+    # cell: both chunks; whether the row is of the higher one
+    own, other = F.col("mine"), F.col("other")
+    cell = F.shiftleft(F.least(own, other).cast("long"), 32).bitwiseOR(F.shiftleft(F.greatest(own, other).cast("long"), 1)).bitwiseOR((own > other).cast("long"))
+    rows = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.shiftright(cell, 1).alias("cell"), (own > other).alias("higher"), (own == other).alias("both"), "node", *names, *more)
+    keys, order = ["key", "cell"], list(range(64 * words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def compare(table: pa.Table) -> pa.RecordBatch:
-            cols = {c: table.column(c).to_numpy() for c in (*keys, "mine", "node", *names)}
+            cols = {c: table.column(c).to_numpy() for c in (*keys, "higher", "both", "node", *names, *more)}
             fp = np.stack([cols[n] for n in names], axis=1).view(np.uint64)
             group = np.cumsum(np.any([np.diff(cols[c], prepend=cols[c][:1]) != 0 for c in keys], axis=0))
-            alone = np.bincount(group)[group] < 2
-            out_u, out_v = [], []
-            for pick in np.unique(cols["pick"]):
-                s = np.flatnonzero((cols["pick"] == pick) & ~alone)
-                order = [b for b in range(64 * words) if b not in choices[pick]]
-                same = cols["a"][s] == cols["b"][s]
-                u, v = spanning_links(group[s], fp[s], same | (cols["mine"][s] == cols["a"][s]), same | (cols["mine"][s] == cols["b"][s]), radius, order)
-                out_u.append(cols["node"][s[u]])
-                out_v.append(cols["node"][s[v]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_u, out_v)], ["u", "v"])
+            s = np.flatnonzero(np.bincount(group)[group] > 1)
+
+            def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = np.ones(len(i), bool)
+                if share:
+                    x, y = cols["n"][s[i]].astype(np.int64), cols["n"][s[j]].astype(np.int64)
+                    ok &= np.minimum(x, y) * share[1] >= np.maximum(x, y) * share[0]
+                return ok & (cols["root"][s[i]] != cols["root"][s[j]]) if "root" in more else ok
+
+            u, v = group_links(group[s], fp[s], cols["both"][s] | ~cols["higher"][s], cols["both"][s] | cols["higher"][s], radius, order, may, "root" in more)
+            return pa.RecordBatch.from_arrays([pa.array(cols["node"][s[x]]) for x in (u, v)], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -242,135 +271,138 @@ def near_links(nodes: DataFrame, choices: list[list[int]], radius: int, words: i
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
-def _grouped(fps: DataFrame, choices: list[list[int]], radius: int, words: int, id_col: str, scratch: Scratch) -> DataFrame:
-    """(id, fp0, ..., component_id) for saved fingerprints."""
-    names = [f"fp{w}" for w in range(words)]
-    node = F.col("fp0") if words == 1 else F.xxhash64(*names)
-    nodes = scratch.save(fps.groupBy(*names).agg(F.min(id_col).alias("least")).withColumn("node", node), "nodes")
-    roots = scratch.save(components(near_links(nodes.select("node", *names), choices, radius, words), scratch), "roots")
-    joined = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"), "least")
-    joined = scratch.save(joined, "joined")
-    named = scratch.save(joined.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    labels = scratch.save(joined.join(named, "root").select(*names, "component_id"), "labels")
-    return fps.join(labels, names).select(id_col, *names, "component_id")
-
-
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, blocks: int = 5) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id that links lead to, the document's own included.
 
     Null and blank texts have fingerprint 0 and link like any other. Rows with equal ids are separate
     rows of one document; null ids never are a component_id unless all ids of a component are null.
-    Extra columns are ignored; an empty table gives an empty result.
+    Extra columns are ignored; an empty table gives an empty result. blocks: of bits, by default as
+    many as the number of distinct fingerprints asks for; the result is the same for any number.
     """
     scratch = Scratch(df.sparkSession, "simhash")
     fps = scratch.save(fingerprints(df, id_col, text_col, size), "fingerprints")
-    return _grouped(fps, block_keys(radius, blocks), radius, 1, id_col, scratch).withColumnRenamed("fp0", "fp")
+    nodes = scratch.save(fps.groupBy("fp0").agg(F.min(id_col).alias("least")).withColumn("node", F.col("fp0")), "nodes")
+    choices = block_keys(radius, blocks or enough_blocks(nodes.count(), radius))
+    roots = scratch.save(components(near_links(nodes.select("node", "fp0"), choices, radius), scratch), "roots")
+    joined = scratch.save(nodes.join(roots, "node", "left").select("fp0", F.coalesce("root", "node").alias("root"), "least"), "joined")
+    named = scratch.save(joined.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    labels = scratch.save(joined.join(named, "root").select("fp0", "component_id"), "labels")
+    return fps.join(labels, "fp0").select(id_col, F.col("fp0").alias("fp"), "component_id")
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, node long, shingles array<long>): XXH64 of the distinct shingles of ``size`` lower-cased words, ascending, and a hash of them all.
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """XXH64 of the distinct shingles of ``size`` lower-cased words, ascending. A text of fewer words is one shingle; a blank text has none."""
+    split = text.lower().split()
+    if not split:
+        return np.zeros(0, np.int64)
+    shingles = {b" ".join(split)} if len(split) < size else {b" ".join(s) for s in zip(*(split[i:] for i in range(size)))}
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), ">i8").astype("<i8"))
 
-    A text of fewer words is one shingle; a null or blank text has none.
-    """
 
-    def hashes(text: bytes) -> np.ndarray:
-        split = text.lower().split()
-        if not split:
-            return np.zeros(0, np.int64)
-        shingles = {b" ".join(split)} if len(split) < size else {b" ".join(s) for s in zip(*(split[i:] for i in range(size)))}
-        return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), ">i8").astype("<i8"))
+def set_nodes(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, node, n, fp0 to fp3): a hash of the text's shingle set, the set's size, and its fingerprint of 256 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                sets = [hashes(t or b"").tobytes() for t in part.column(text_col).cast(pa.binary()).to_pylist()]
-                nodes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, sets)), ">i8").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(nodes), int_lists(sets, "<i8")], [id_col, "node", "shingles"])
+                sets = [shingle_hashes(t or b"", size) for t in part.column(text_col).cast(pa.binary()).to_pylist()]
+                fps = np.frombuffer(b"".join([majority(x.view(np.uint64), WORDS) for x in sets]), ">i8").reshape(-1, WORDS).astype(np.int64)
+                nodes = np.frombuffer(b"".join([xxhash.xxh64_digest(x.tobytes()) for x in sets]), ">i8").astype(np.int64)
+                columns = [part.column(id_col), pa.array(nodes), pa.array(np.array(list(map(len, sets)), np.int32)), *(pa.array(np.ascontiguousarray(fps[:, w])) for w in range(WORDS))]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "node", "n", *FPS])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, node long, shingles array<long>")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, node long, n int, {', '.join(f'{c} long' for c in FPS)}")
 
 
-def rare_shingles(sets: DataFrame, common: np.ndarray, share: tuple[int, int]) -> DataFrame:
-    """(token, node, pos, size): of every set as many of its first shingles as one of any two similar sets must share.
-
-    common: shingles in the order that they come in, after all others. Any order of all shingles
-    would do; one with the common ones last makes few candidates.
-    """
-    a, b = share
-    by_hash = np.argsort(common, kind="stable")
+def shingle_sets(df: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(node, shingles array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, node, pos, size = [], [], [], []
-            for n, x in zip(batch.column("node").to_pylist(), batch.column("shingles")):
-                x = x.values.to_numpy()
-                if not len(x):
-                    continue
-                rank = np.zeros(len(x), np.int64)
-                if len(common):
-                    at = by_hash[np.minimum(np.searchsorted(common, x, sorter=by_hash), len(common) - 1)]
-                    rank = np.where(common[at] == x, at + 1, 0)
-                first = np.argsort(rank, kind="stable")[: len(x) + (-a * len(x) // b) + 1]
-                token.append(x[first])
-                node.append(np.full(len(first), n))
-                pos.append(np.arange(len(first), dtype=np.int32))
-                size.append(np.full(len(first), len(x), np.int32))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (token, node, pos, size)], ["token", "node", "pos", "size"])
-
-    return sets.select("node", "shingles").mapInArrow(run, "token long, node long, pos int, size int")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: tuple[int, int] = (4, 5), sample: int = 8192) -> DataFrame:
+            for part in slices(batch, text_col):
+                sets = [shingle_hashes(t or b"", size).tobytes() for t in part.column(text_col).cast(pa.binary()).to_pylist()]
+                nodes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, sets)), ">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), int_lists(sets, "<i8")], ["node", "shingles"])
+
+    return df.select(text_col).mapInArrow(run, "node long, shingles array<long>")
+
+
+@dataclass(frozen=True)
+class Reach:
+    """How pairs of sets of some sizes are looked for: with bits that agree by the chance ``agree`` at the threshold, up to ``radius`` bits of 256 apart."""
+
+    least: int
+    most: int | None
+    agree: float
+    radius: int
+
+    def keys(self, nodes: int, missed: float = 0.001, held: int = 1024, seed: int = 7) -> list[list[int]]:
+        """Choices of random bits, longer ones for more nodes, so that a key holds some ``held`` of them; so many that a pair at the threshold is missed by the chance ``missed`` at most."""
+        bits, all_ = max(14, (nodes // held).bit_length()), 64 * WORDS
+        apart = np.arange(self.radius + 1)
+        chance = np.array([math.comb(all_, d) * (1 - self.agree) ** d * self.agree ** (all_ - d) for d in apart])
+        count = 1
+        while 1 - chance.sum() + (chance * (1 - (1 - apart / all_) ** bits) ** count).sum() > missed:
+            count += 1
+        rng = np.random.default_rng(seed)
+        return [sorted(rng.choice(all_, bits, replace=False).tolist()) for _ in range(count)]
+
+
+#: Bits of two sets with a similarity of 0.8 or more differ by the chance 0.154 at most, from about 50 shingles on (39 of 256, give or take 6).
+#: Of fewer they may differ more often: by 0.161 for 12 of 13 and 14, and by 0.188 for 4 of 4 and 5, all counted out. Pairs at the borders of sizes are met in both ways.
+REACHES = (Reach(1, 5, 0.812, 74), Reach(4, 62, 0.838, 66), Reach(50, None, 0.846, 64))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their group of similar texts; a null id stays, as nothing names it.
 
     Texts are similar if the Jaccard similarity of their shingle sets is at least ``share``, a
-    fraction; groups are connected by similar pairs. Every such pair is connected: of sets of n
-    shingles in one order, two similar ones share one of the first n - ceil(share n) + 1. Those that
-    share one are compared by their whole sets (of 64-bit hashes), first each with the smallest and the
-    largest node that has the same shingle, then all that these did not connect. Of ``sample`` sets,
-    picked by hash, the common shingles are counted, which only decides how many pairs are compared.
+    fraction; groups are connected by similar pairs. Pairs are found by fingerprints within a radius
+    that share one of some keys (see REACHES: one pair in a thousand at the threshold is missed, fewer
+    above it) and then decided by their whole sets (of 64-bit hashes), so no others are linked. First
+    a spanning forest of the close fingerprints is decided; where that leaves close ones unconnected,
+    all pairs between them are. Texts of equal sets are one node. Extra columns come back as they were;
+    an empty table gives an empty result.
     """
     a, b = share
     scratch = Scratch(df.sparkSession, "simhash-keep")
-    sets = scratch.save(shingle_sets(df.filter(F.col(id_col).isNotNull()), id_col, text_col, size), "sets")
-    part = F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < min(1.0, sample / max(1, sets.count())) * 1_000_000
-    counts = sets.filter(part).select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    common = np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(1 << 16).collect()][::-1], np.int64)
-    group = Window.partitionBy("token")
-    one = F.struct("node", "pos", "size")
-    rows = rare_shingles(sets, common, share).withColumns({"least": F.min(one).over(group), "most": F.max(one).over(group)})
-    rows = scratch.save(rows.filter("least.node < most.node"), "rows")
-    scratch.release()
+    known = df.filter(F.col(id_col).isNotNull())
+    sets = scratch.save(set_nodes(known, id_col, text_col, size), "sets")
+    nodes = scratch.save(sets.filter("n > 0").groupBy("node", "n", *FPS).agg(F.min(id_col).alias("one")), "nodes")
+    total = nodes.count()
 
-    def can(x: Column, y: Column) -> Column:
-        """Whether two sets can be similar, if this is the first shingle that they share: what is left of the shorter rest is all they share."""
-        return F.least(x["size"] - x["pos"], y["size"] - y["pos"]) * (a + b) >= (x["size"] + y["size"]) * a
+    def close_pairs(rows: DataFrame) -> DataFrame:
+        parts = [rows.filter(F.col("n").between(r.least, r.most or 1 << 30)) for r in REACHES]
+        links = [near_links(part, r.keys(total), r.radius, WORDS, share=share) for part, r in zip(parts, REACHES)]
+        return reduce(DataFrame.unionByName, links)
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), f"{name}-pairs")
+        """Of saved pairs the similar ones."""
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        ends = scratch.save(ends, f"{name}-nodes")  # a table of known size: while it is small, the sets are not shuffled
-        some = scratch.save(sets.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+        # tables of known size: while they are small, the texts are not shuffled; one text of each node is read again
+        ends = scratch.save(nodes.join(ends, "node", "left_semi").select("node", F.col("one").alias(id_col)), f"{name}-nodes")
+        texts = known.select(id_col, F.col(text_col).cast("string").alias("_text")).join(ends.select(id_col), id_col, "left_semi")
+        some = scratch.save(shingle_sets(texts, "_text", size).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
         both = pairs.join(some.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(some.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
         links = scratch.save(both.filter(F.size(F.array_intersect("x", "y")) * (a + b) >= a * (F.size("x") + F.size("y"))).select("u", "v"), f"{name}-links")
-        scratch.drop(f"{name}-pairs", f"{name}-nodes", f"{name}-sets")
+        scratch.drop(f"{name}-nodes", f"{name}-sets")
         scratch.release()
         return links
 
-    ends = rows.select(one.alias("x"), F.explode(F.array("least", "most")).alias("y")).filter(can(F.col("x"), F.col("y")))
-    links = similar(ends.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), "ends")
-    roots = scratch.save(components(links, scratch), "ends-roots")
-    rest = rows.select("token", "node", "pos", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = rest.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group)}).filter("least < most").drop("least", "most")
-    rest = scratch.save(rest, "rest")
-    left, right = (rest.select("token", F.struct("node", "pos", "size", "root").alias(c)) for c in "xy")
-    pairs = left.join(right, "token").filter((F.col("x.root") < F.col("y.root")) & can(F.col("x"), F.col("y")))
-    pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-    links = links.unionByName(similar(pairs, "rest"))
+    ordered = lambda pairs: pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    forest = scratch.save(ordered(close_pairs(nodes.drop("one"))), "forest")
+    scratch.release()
+    links = similar(forest, "forest")
+    roots = scratch.save(components(links, scratch), "forest-roots")
+    # close fingerprints that the similar pairs of the forest leave in several parts
+    near = scratch.save(components(forest, scratch).withColumnRenamed("root", "near").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near")
+    apart = scratch.save(near.groupBy("near").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("near"), "apart")
+    rest = scratch.save(nodes.drop("one").join(near.join(apart, "near", "left_semi").select("node", "root"), "node"), "rest")
+    pairs = scratch.save(ordered(close_pairs(rest)), "pairs")
+    links = links.unionByName(similar(pairs, "pairs"))
     roots = scratch.save(components(links, scratch), "roots")
     named = sets.select(id_col, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = scratch.save(named.groupBy("root").agg(F.min(id_col).alias(id_col)).select(id_col), "kept")
-    scratch.drop("sets", "rows", "rest")
+    scratch.drop("sets", "nodes", "rest", "pairs")
     return df.join(kept, id_col, "left_semi").select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))

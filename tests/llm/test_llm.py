@@ -159,9 +159,8 @@ def test_keep_one_by_exact_similarity(spark):
                 simhash._root(parent, np.array([i]), np.array([j]))
             at += [len(x & y) / len(x | y)] if x & y else []
     assert sum(0.65 <= s < 0.8 for s in at) > 20 and sum(0.8 <= s <= 0.85 for s in at) > 20
-    for sample in ({}, {"sample": 20}, {"sample": 0}):
-        kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), **sample).collect()
-        assert sorted(r["doc_id"] for r in kept) == np.unique(parent).tolist()
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["doc_id"] for r in kept) == np.unique(parent).tolist()
 
 
 @pytest.fixture(scope="module")
