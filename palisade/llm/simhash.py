@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm._shared import Scratch, int_lists, slices
+from palisade.llm._shared import Scratch, int_lists, mix, slices
 from palisade.llm.components import components
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -206,53 +205,94 @@ def enough_blocks(nodes: int, radius: int, most: int = 4096) -> int:
     return blocks
 
 
-def near_links(nodes: DataFrame, choices: list[list[int]], radius: int, words: int = 1, chunk: int = 2048, share: tuple[int, int] | None = None) -> DataFrame:
-    """(u, v): links between nodes (node long, fp0, fp1, ...) whose components are those of all pairs that share a key and are within ``radius``.
+@dataclass(frozen=True)
+class Search:
+    """Links of at most ``radius`` bits among nodes that share a key; a key has the bits of one of the choices. least, most: only for nodes of such sizes n."""
 
-    choices: for each key, its bits. chunk: so many nodes of a key one task compares with as many others.
-    share: sets of sizes n (a column) so different that no such share of them can be common are not linked.
-    If the nodes have a column root, not a forest but all links between nodes of different roots are given.
+    choices: list[list[int]]
+    radius: int
+    least: int = 0
+    most: int | None = None
+
+    def keys(self, fps: np.ndarray, number: int) -> Iterator[np.ndarray]:
+        """For each choice the fingerprints' keys; the last two bits are the search's number."""
+        for i, bits in enumerate(self.choices):
+            out = np.full(len(fps), mix(np.array([4 * i + number], np.uint64))[0])
+            for w in range(fps.shape[1]):
+                mask = sum(1 << b % 64 for b in bits if b // 64 == w)
+                if mask:
+                    out = mix(out ^ (fps[:, w] & np.uint64(mask)))
+            yield (out & ~np.uint64(3)) | np.uint64(number)
+
+
+def near_links(nodes: DataFrame, searches: list[Search], words: int = 1, chunk: int = 2048, share: tuple[int, int] | None = None) -> DataFrame:
+    """(u, v): links between nodes (node long, fp0, fp1, ...) whose components are those of all pairs that up to four searches look for.
+
+    chunk: so many nodes of a key one task compares with as many others. share: sets of sizes n (a
+    column) so different that no such share of them can be common are not linked. If the nodes have a
+    column root, not a forest but all links between nodes of different roots are given.
     """
     scratch = Scratch(nodes.sparkSession, "simhash-keys")
     names = [f"fp{w}" for w in range(words)]
-
-    def key(pick: int, bits: list[int]):
-        masks = [sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(words)]
-        parts = [F.col(n).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for n, m in zip(names, masks) if m]
-        return F.xxhash64(F.lit(pick), *parts)
-
     more = [c for c in ("n", "root") if c in nodes.columns]
-    keyed = nodes.select(F.explode(F.array(*(key(*c) for c in enumerate(choices)))).alias("key"), "node", *names, *more)
+    kinds = {"node": "long", **{n: "long" for n in names}, "n": "int", "root": "long"}
+
+    def keyed(columns: list[str]) -> DataFrame:
+        """key and the columns, a row for each node and choice."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    fps = np.stack([part.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+                    for number, search in enumerate(searches):
+                        rows = np.arange(len(fps))
+                        if "n" in more:
+                            n = part.column("n").to_numpy()
+                            rows = np.flatnonzero((n >= search.least) & (n <= (search.most or n.max())))
+                        if not len(rows):
+                            continue
+                        held = [part.column(c).take(pa.array(rows)) for c in columns]
+                        for key in search.keys(fps[rows], number):
+                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *held], ["key", *columns])
+
+        return nodes.select("node", *names, *more).mapInArrow(run, ", ".join(["key long", *(f"{c} {kinds[c]}" for c in columns)]))
+
     # only keys with more than a chunk are cut; there are at most rows / chunk of them
-    large = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > chunk), "large")
-    cut = keyed.join(F.broadcast(large) if large.count() < 1_000_000 else large, "key", "left").withColumn("parts", F.ceil(F.coalesce("held", F.lit(1)) / chunk).cast("int"))
-    # a row meets its own chunk and each other one once; of two chunks the lower asks and the higher is compared against.
-    # cell: both chunks; whether the row is of the higher one
+    large = scratch.save(keyed([]).groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > chunk), "large")
+    # a row meets its own chunk and each other one once; of two chunks the lower asks and the higher is compared against
+    rows = keyed(["node", *names, *more])
     own, other = F.col("mine"), F.col("other")
-    cell = F.shiftleft(F.least(own, other).cast("long"), 32).bitwiseOR(F.shiftleft(F.greatest(own, other).cast("long"), 1)).bitwiseOR((own > other).cast("long"))
-    rows = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.shiftright(cell, 1).alias("cell"), (own > other).alias("higher"), (own == other).alias("both"), "node", *names, *more)
+    if large.isEmpty():
+        rows = rows.withColumns({"cell": F.lit(0).cast("long"), "higher": F.lit(False), "both": F.lit(True)})
+    else:
+        cut = rows.join(large, "key", "left").withColumn("parts", F.ceil(F.coalesce("held", F.lit(1)) / chunk).cast("int"))
+        cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cell = F.shiftleft(F.least(own, other).cast("long"), 32).bitwiseOR(F.greatest(own, other).cast("long"))
+        rows = cut.withColumns({"cell": cell, "higher": own > other, "both": own == other}).drop("held", "parts", "mine", "other")
     keys, order = ["key", "cell"], list(range(64 * words))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def compare(table: pa.Table) -> pa.RecordBatch:
-            cols = {c: table.column(c).to_numpy() for c in (*keys, "higher", "both", "node", *names, *more)}
-            fp = np.stack([cols[n] for n in names], axis=1).view(np.uint64)
-            group = np.cumsum(np.any([np.diff(cols[c], prepend=cols[c][:1]) != 0 for c in keys], axis=0))
-            s = np.flatnonzero(np.bincount(group)[group] > 1)
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        cols = {c: table.column(c).to_numpy() for c in (*keys, "higher", "both", "node", *names, *more)}
+        fp = np.stack([cols[n] for n in names], axis=1).view(np.uint64)
+        group = np.cumsum(np.any([np.diff(cols[c], prepend=cols[c][:1]) != 0 for c in keys], axis=0))
+        company = np.bincount(group)[group] > 1
+        out = []
+        for number, search in enumerate(searches):
+            s = np.flatnonzero(company & (cols["key"] & 3 == number))
 
             def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 ok = np.ones(len(i), bool)
                 if share:
-                    x, y = cols["n"][s[i]].astype(np.int64), cols["n"][s[j]].astype(np.int64)
+                    x, y = cols["n"][s[i]].astype(np.int64), cols["n"][s[j]].astype(np.int64)  # noqa: B023
                     ok &= np.minimum(x, y) * share[1] >= np.maximum(x, y) * share[0]
-                return ok & (cols["root"][s[i]] != cols["root"][s[j]]) if "root" in more else ok
+                return ok & (cols["root"][s[i]] != cols["root"][s[j]]) if "root" in more else ok  # noqa: B023
 
-            u, v = group_links(group[s], fp[s], cols["both"][s] | ~cols["higher"][s], cols["both"][s] | cols["higher"][s], radius, order, may, "root" in more)
-            return pa.RecordBatch.from_arrays([pa.array(cols["node"][s[x]]) for x in (u, v)], ["u", "v"])
+            u, v = group_links(group[s], fp[s], cols["both"][s] | ~cols["higher"][s], cols["both"][s] | cols["higher"][s], search.radius, order, may, "root" in more)
+            out.append(np.stack([cols["node"][s[u]], cols["node"][s[v]]]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -283,7 +323,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     fps = scratch.save(fingerprints(df, id_col, text_col, size), "fingerprints")
     nodes = scratch.save(fps.groupBy("fp0").agg(F.min(id_col).alias("least")).withColumn("node", F.col("fp0")), "nodes")
     choices = block_keys(radius, blocks or enough_blocks(nodes.count(), radius))
-    roots = scratch.save(components(near_links(nodes.select("node", "fp0"), choices, radius), scratch), "roots")
+    roots = scratch.save(components(near_links(nodes.select("node", "fp0"), [Search(choices, radius)]), scratch), "roots")
     joined = scratch.save(nodes.join(roots, "node", "left").select("fp0", F.coalesce("root", "node").alias("root"), "least"), "joined")
     named = scratch.save(joined.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     labels = scratch.save(joined.join(named, "root").select("fp0", "component_id"), "labels")
@@ -373,9 +413,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     total = nodes.count()
 
     def close_pairs(rows: DataFrame) -> DataFrame:
-        parts = [rows.filter(F.col("n").between(r.least, r.most or 1 << 30)) for r in REACHES]
-        links = [near_links(part, r.keys(total), r.radius, WORDS, share=share) for part, r in zip(parts, REACHES)]
-        return reduce(DataFrame.unionByName, links)
+        return near_links(rows, [Search(r.keys(total), r.radius, r.least, r.most) for r in REACHES], WORDS, share=share)
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         """Of saved pairs the similar ones."""
@@ -395,10 +433,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     scratch.release()
     links = similar(forest, "forest")
     roots = scratch.save(components(links, scratch), "forest-roots")
-    # close fingerprints that the similar pairs of the forest leave in several parts
-    near = scratch.save(components(forest, scratch).withColumnRenamed("root", "near").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near")
-    apart = scratch.save(near.groupBy("near").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("near"), "apart")
-    rest = scratch.save(nodes.drop("one").join(near.join(apart, "near", "left_semi").select("node", "root"), "node"), "rest")
+    # two groups of which some fingerprints are close are joined by a chain of the forest's other links, so both have an end of one
+    group = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    ends = forest.join(group("u"), "u", "left").join(group("v"), "v", "left").select(F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b")).filter("a <> b")
+    apart = scratch.save(ends.select(F.explode(F.array("a", "b")).alias("root")).distinct(), "apart")
+    rest = nodes.drop("one").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = scratch.save(rest.join(apart, "root", "left_semi"), "rest")
     pairs = scratch.save(ordered(close_pairs(rest)), "pairs")
     links = links.unionByName(similar(pairs, "pairs"))
     roots = scratch.save(components(links, scratch), "roots")

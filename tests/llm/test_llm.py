@@ -116,7 +116,7 @@ def test_near_links_lose_nothing(spark):
         j = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4)
         simhash._root(parent, np.full(len(j), i), j)
     for chunk, blocks in ((2048, 5), (16, 6)):
-        links = simhash.near_links(spark.createDataFrame([(x, x) for x in signed], "node long, fp0 long"), simhash.block_keys(4, blocks), 4, chunk=chunk)
+        links = simhash.near_links(spark.createDataFrame([(x, x) for x in signed], "node long, fp0 long"), [simhash.Search(simhash.block_keys(4, blocks), 4)], chunk=chunk)
         own = np.arange(len(fps))
         at = {x: i for i, x in enumerate(signed)}
         rows = links.collect()
