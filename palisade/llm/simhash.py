@@ -3,7 +3,7 @@
 Fingerprints that differ in at most ``radius`` bits of 64 agree on one of ``radius + 1`` blocks of
 bits (or, with more blocks, on several at once), so every link is found among fingerprints that
 share a key of that kind. ``keep_one`` finds its pairs in the same way, by fingerprints of 256 bits and
-keys of random bits, and then decides each pair by the similarity of the shingle sets themselves.
+keys of random bits; within what such pairs connect, tasks decide pairs by the shingle sets themselves.
 
 Within a key the comparison is bit-sliced: 64 fingerprints are stored as one word per bit; XOR with
 the query's bit gives 64 difference bits at once, which go into carry-save counters one bit wide
@@ -137,12 +137,12 @@ def _root(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def group_links(
-    group: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, order: list[int], may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, whole: bool = False
+    group: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, order: list[int], may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between left and right members of each group, as row numbers; with ``whole`` all links.
+    """A spanning forest of the links between left and right members of each group, as row numbers.
 
     group: group numbers, ascending. left, right: whether a row is compared as a query, and whether
-    it is compared against. may: whether two rows can be linked at all.
+    it is compared against. may: whether two close rows are linked, asked in order of the first, and not for rows that are connected already.
     """
     parent, out = np.arange(len(fps)), [np.zeros((2, 0), np.int64)]
     lane_of = np.flatnonzero(right)
@@ -178,10 +178,17 @@ def group_links(
         if len(found):
             row, lane = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i, j = who[found[row]], owner[block[found[row]] * 64 + lane]
-            ok = (i != j) if may is None else (i != j) & may(i, j)
-            i, j = i[ok], j[ok]
-            links = slice(None) if whole else _root(parent, i, j)
-            out.append(np.stack([i[links], j[links]]))
+            size = 1 << 10
+            while len(i):
+                apart = parent[i] != parent[j]
+                i, j = i[apart], j[apart]
+                x, y, i, j = i[:size], j[:size], i[size:], j[size:]
+                if may is not None:
+                    ok = may(x, y)
+                    x, y = x[ok], y[ok]
+                links = _root(parent, x, y)
+                out.append(np.stack([x[links], y[links]]))
+                size *= 2
         at = end
     return tuple(np.concatenate(out, axis=1))
 
@@ -225,17 +232,57 @@ class Search:
             yield (out & ~np.uint64(3)) | np.uint64(number)
 
 
+#: Rows with equal values of these are compared with each other.
+CELL = ["key", "cell"]
+
+
+def _cells(rows: DataFrame, large: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` with the cells in which they are compared; ``large``: the keys with more than a chunk, and how many rows they have.
+
+    A row meets its own chunk and each other one once; of two chunks the lower asks and the higher is compared against.
+    """
+    if large.isEmpty():
+        return rows.withColumns({"cell": F.lit(0).cast("long"), "higher": F.lit(False), "both": F.lit(True)})
+    own, other = F.col("mine"), F.col("other")
+    cut = rows.join(large, "key", "left").withColumn("parts", F.ceil(F.coalesce("held", F.lit(1)) / chunk).cast("int"))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.shiftleft(F.least(own, other).cast("long"), 32).bitwiseOR(F.greatest(own, other).cast("long"))
+    return cut.withColumns({"cell": cell, "higher": own > other, "both": own == other}).drop("held", "parts", "mine", "other")
+
+
+def _by_cell(rows: DataFrame, compare: Callable[[pa.Table], pa.RecordBatch], enough: int, bytes_: int = 64 << 20) -> DataFrame:
+    """(u, v): what ``compare`` makes of whole cells, of some ``enough`` rows or so many bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < enough and sum(b.nbytes for b in held) < bytes_:
+                continue
+            table = pa.Table.from_batches(held)
+            last = np.any([table.column(c).to_numpy() != table.column(c)[-1].as_py() for c in CELL], axis=0)
+            end = len(last) - int(np.argmax(last[::-1])) if last.any() else 0  # the last cell may go on
+            if end:
+                yield compare(table.slice(0, end))
+            held = table.slice(end).to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield compare(pa.Table.from_batches(held))
+
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "u long, v long")
+
+
 def near_links(nodes: DataFrame, searches: list[Search], words: int = 1, chunk: int = 2048, share: tuple[int, int] | None = None) -> DataFrame:
     """(u, v): links between nodes (node long, fp0, fp1, ...) whose components are those of all pairs that up to four searches look for.
 
     chunk: so many nodes of a key one task compares with as many others. share: sets of sizes n (a
-    column) so different that no such share of them can be common are not linked. If the nodes have a
-    column root, not a forest but all links between nodes of different roots are given.
+    column) so different that no such share of them can be common are not linked.
     """
     scratch = Scratch(nodes.sparkSession, "simhash-keys")
     names = [f"fp{w}" for w in range(words)]
-    more = [c for c in ("n", "root") if c in nodes.columns]
-    kinds = {"node": "long", **{n: "long" for n in names}, "n": "int", "root": "long"}
+    more = [c for c in ("n",) if c in nodes.columns]
+    kinds = {"node": "long", **{n: "long" for n in names}, "n": "int"}
 
     def keyed(columns: list[str]) -> DataFrame:
         """key and the columns, a row for each node and choice."""
@@ -259,22 +306,13 @@ def near_links(nodes: DataFrame, searches: list[Search], words: int = 1, chunk:
 
     # only keys with more than a chunk are cut; there are at most rows / chunk of them
     large = scratch.save(keyed([]).groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > chunk), "large")
-    # a row meets its own chunk and each other one once; of two chunks the lower asks and the higher is compared against
-    rows = keyed(["node", *names, *more])
-    own, other = F.col("mine"), F.col("other")
-    if large.isEmpty():
-        rows = rows.withColumns({"cell": F.lit(0).cast("long"), "higher": F.lit(False), "both": F.lit(True)})
-    else:
-        cut = rows.join(large, "key", "left").withColumn("parts", F.ceil(F.coalesce("held", F.lit(1)) / chunk).cast("int"))
-        cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        cell = F.shiftleft(F.least(own, other).cast("long"), 32).bitwiseOR(F.greatest(own, other).cast("long"))
-        rows = cut.withColumns({"cell": cell, "higher": own > other, "both": own == other}).drop("held", "parts", "mine", "other")
-    keys, order = ["key", "cell"], list(range(64 * words))
+    rows = _cells(keyed(["node", *names, *more]), large, chunk)
+    order = list(range(64 * words))
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        cols = {c: table.column(c).to_numpy() for c in (*keys, "higher", "both", "node", *names, *more)}
+        cols = {c: table.column(c).to_numpy() for c in (*CELL, "higher", "both", "node", *names, *more)}
         fp = np.stack([cols[n] for n in names], axis=1).view(np.uint64)
-        group = np.cumsum(np.any([np.diff(cols[c], prepend=cols[c][:1]) != 0 for c in keys], axis=0))
+        group = np.cumsum(np.any([np.diff(cols[c], prepend=cols[c][:1]) != 0 for c in CELL], axis=0))
         company = np.bincount(group)[group] > 1
         out = []
         for number, search in enumerate(searches):
@@ -285,30 +323,13 @@ def near_links(nodes: DataFrame, searches: list[Search], words: int = 1, chunk:
                 if share:
                     x, y = cols["n"][s[i]].astype(np.int64), cols["n"][s[j]].astype(np.int64)  # noqa: B023
                     ok &= np.minimum(x, y) * share[1] >= np.maximum(x, y) * share[0]
-                return ok & (cols["root"][s[i]] != cols["root"][s[j]]) if "root" in more else ok  # noqa: B023
+                return ok
 
-            u, v = group_links(group[s], fp[s], cols["both"][s] | ~cols["higher"][s], cols["both"][s] | cols["higher"][s], search.radius, order, may, "root" in more)
+            u, v = group_links(group[s], fp[s], cols["both"][s] | ~cols["higher"][s], cols["both"][s] | cols["higher"][s], search.radius, order, may)
             out.append(np.stack([cols["node"][s[u]], cols["node"][s[v]]]))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 8 * chunk:
-                continue
-            table = pa.Table.from_batches(held)
-            last = np.any([table.column(c).to_numpy() != table.column(c)[-1].as_py() for c in keys], axis=0)
-            end = len(last) - int(np.argmax(last[::-1])) if last.any() else 0  # the last group may go on
-            if end:
-                yield compare(table.slice(0, end))
-            held = table.slice(end).to_batches()
-        if held and sum(b.num_rows for b in held):
-            yield compare(pa.Table.from_batches(held))
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return _by_cell(rows, compare, 8 * chunk)
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
@@ -394,55 +415,74 @@ class Reach:
 REACHES = (Reach(1, 5, 0.812, 74), Reach(4, 62, 0.838, 66), Reach(50, None, 0.846, 64))
 
 
+def similar_links(members: DataFrame, share: tuple[int, int], chunk: int = 512) -> DataFrame:
+    """(u, v): links between similar members (key, node, n, fp0 to fp3, shingles) of each key whose components are those of all its similar pairs within REACHES.
+
+    Pairs are decided where they are compared, by their whole sets, and only a spanning forest leaves a task.
+    """
+    scratch = Scratch(members.sparkSession, "simhash-similar")
+    a, b = share
+    large = scratch.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > chunk), "large")
+    order = list(range(64 * WORDS))
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        cols = {c: table.column(c).to_numpy() for c in (*CELL, "higher", "both", "node", "n", *FPS)}
+        fp = np.stack([cols[c] for c in FPS], axis=1).view(np.uint64)
+        group = np.cumsum(np.any([np.diff(cols[c], prepend=cols[c][:1]) != 0 for c in CELL], axis=0))
+        lists = table.column("shingles").combine_chunks()
+        edge, values, n = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), cols["n"].astype(np.int64)
+        out = [np.zeros((2, 0), np.int64)]
+        for reach in REACHES:
+            s = np.flatnonzero((n >= reach.least) & (n <= (reach.most or n.max())))
+
+            def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                i, j = s[i], s[j]  # noqa: B023
+                ok = np.minimum(n[i], n[j]) * b >= np.maximum(n[i], n[j]) * a
+                at = np.flatnonzero(ok)
+                for part in np.split(at, np.flatnonzero(np.diff(i[at])) + 1) if len(at) else []:
+                    one, others = i[part[0]], j[part]
+                    x, y = values[edge[one] : edge[one + 1]], np.concatenate([values[edge[k] : edge[k + 1]] for k in others.tolist()])
+                    held = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    common = np.add.reduceat(held.astype(np.int64), np.cumsum(n[others]) - n[others])
+                    ok[part] = common * (a + b) >= a * (n[one] + n[others])
+                return ok
+
+            u, v = group_links(group[s], fp[s], cols["both"][s] | ~cols["higher"][s], cols["both"][s] | cols["higher"][s], reach.radius, order, may)
+            out.append(np.stack([cols["node"][s[u]], cols["node"][s[v]]]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["u", "v"])
+
+    return _by_cell(_cells(members, large, chunk), compare, 8 * chunk)
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their group of similar texts; a null id stays, as nothing names it.
 
     Texts are similar if the Jaccard similarity of their shingle sets is at least ``share``, a
     fraction; groups are connected by similar pairs. Pairs are found by fingerprints within a radius
     that share one of some keys (see REACHES: one pair in a thousand at the threshold is missed, fewer
-    above it) and then decided by their whole sets (of 64-bit hashes), so no others are linked. First
-    a spanning forest of the close fingerprints is decided; where that leaves close ones unconnected,
-    all pairs between them are. Texts of equal sets are one node. Extra columns come back as they were;
-    an empty table gives an empty result.
+    above it). What a spanning forest of the close fingerprints connects is compared once more, in
+    chunks, and pairs are decided by their whole sets (of 64-bit hashes), so no others are linked.
+    Texts of equal sets are one node. Extra columns come back as they were; an empty table gives an
+    empty result.
     """
-    a, b = share
     scratch = Scratch(df.sparkSession, "simhash-keep")
     known = df.filter(F.col(id_col).isNotNull())
     sets = scratch.save(set_nodes(known, id_col, text_col, size), "sets")
     nodes = scratch.save(sets.filter("n > 0").groupBy("node", "n", *FPS).agg(F.min(id_col).alias("one")), "nodes")
     total = nodes.count()
 
-    def close_pairs(rows: DataFrame) -> DataFrame:
-        return near_links(rows, [Search(r.keys(total), r.radius, r.least, r.most) for r in REACHES], WORDS, share=share)
-
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        """Of saved pairs the similar ones."""
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        # tables of known size: while they are small, the texts are not shuffled; one text of each node is read again
-        ends = scratch.save(nodes.join(ends, "node", "left_semi").select("node", F.col("one").alias(id_col)), f"{name}-nodes")
-        texts = known.select(id_col, F.col(text_col).cast("string").alias("_text")).join(ends.select(id_col), id_col, "left_semi")
-        some = scratch.save(shingle_sets(texts, "_text", size).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
-        both = pairs.join(some.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(some.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-        links = scratch.save(both.filter(F.size(F.array_intersect("x", "y")) * (a + b) >= a * (F.size("x") + F.size("y"))).select("u", "v"), f"{name}-links")
-        scratch.drop(f"{name}-nodes", f"{name}-sets")
-        scratch.release()
-        return links
-
-    ordered = lambda pairs: pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    forest = scratch.save(ordered(close_pairs(nodes.drop("one"))), "forest")
+    searches = [Search(r.keys(total), r.radius, r.least, r.most) for r in REACHES]
+    forest = near_links(nodes.drop("one"), searches, WORDS, share=share).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    close = scratch.save(components(scratch.save(forest, "forest"), scratch), "close")
     scratch.release()
-    links = similar(forest, "forest")
-    roots = scratch.save(components(links, scratch), "forest-roots")
-    # two groups of which some fingerprints are close are joined by a chain of the forest's other links, so both have an end of one
-    group = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    ends = forest.join(group("u"), "u", "left").join(group("v"), "v", "left").select(F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b")).filter("a <> b")
-    apart = scratch.save(ends.select(F.explode(F.array("a", "b")).alias("root")).distinct(), "apart")
-    rest = nodes.drop("one").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = scratch.save(rest.join(apart, "root", "left_semi"), "rest")
-    pairs = scratch.save(ordered(close_pairs(rest)), "pairs")
-    links = links.unionByName(similar(pairs, "pairs"))
+    members = scratch.save(nodes.join(close.withColumnRenamed("root", "key"), "node"), "members")
+    # one text of each member is read again; while the members' table is small, the texts are not shuffled
+    texts = known.select(id_col, F.col(text_col).cast("string").alias("_text")).join(members.select(F.col("one").alias(id_col)), id_col, "left_semi")
+    shingles = shingle_sets(texts, "_text", size).join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    members = scratch.save(members.drop("one").join(shingles, "node"), "members-sets")
+    links = scratch.save(similar_links(members, share), "similar")
     roots = scratch.save(components(links, scratch), "roots")
     named = sets.select(id_col, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = scratch.save(named.groupBy("root").agg(F.min(id_col).alias(id_col)).select(id_col), "kept")
-    scratch.drop("sets", "nodes", "rest", "pairs")
+    scratch.drop("sets", "nodes", "forest", "members", "members-sets")
     return df.join(kept, id_col, "left_semi").select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
