@@ -10,7 +10,8 @@ the query's bit gives 64 difference bits at once, which go into carry-save count
 each; a block of 64 is abandoned once all its counters exceed the radius.
 
 Equal fingerprints are one node. Keys with many fingerprints are cut into chunks and compared chunk
-against chunk in separate tasks; each task returns only a spanning forest of the links it finds.
+against chunk in separate tasks; each task returns only what each fingerprint leads to, the smallest
+of those it connects, so that different keys tend to give the same links.
 Nothing is capped: every pair that shares a key and is within the radius ends up connected.
 """
 
@@ -139,12 +140,12 @@ def _root(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def group_links(
     group: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, order: list[int], may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between left and right members of each group, as row numbers.
+    """What the links between left and right members of each group connect, as row numbers: each row and the first that it leads to.
 
     group: group numbers, ascending. left, right: whether a row is compared as a query, and whether
     it is compared against. may: whether two close rows are linked, asked in order of the first, and not for rows that are connected already.
     """
-    parent, out = np.arange(len(fps)), [np.zeros((2, 0), np.int64)]
+    parent = np.arange(len(fps))
     lane_of = np.flatnonzero(right)
     starts = np.flatnonzero(np.diff(group[lane_of], prepend=-1))
     # blocks of 64 lanes that do not cross groups
@@ -186,11 +187,11 @@ def group_links(
                 if may is not None:
                     ok = may(x, y)
                     x, y = x[ok], y[ok]
-                links = _root(parent, x, y)
-                out.append(np.stack([x[links], y[links]]))
+                _root(parent, x, y)
                 size *= 2
         at = end
-    return tuple(np.concatenate(out, axis=1))
+    led = np.flatnonzero(parent != np.arange(len(parent)))
+    return led, parent[led]
 
 
 def block_keys(radius: int, blocks: int) -> list[list[int]]:
@@ -270,7 +271,7 @@ def _by_cell(rows: DataFrame, compare: Callable[[pa.Table], pa.RecordBatch], eno
         if held and sum(b.num_rows for b in held):
             yield compare(pa.Table.from_batches(held))
 
-    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "u long, v long")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "node").mapInArrow(run, "u long, v long")
 
 
 def near_links(nodes: DataFrame, searches: list[Search], words: int = 1, chunk: int = 2048, share: tuple[int, int] | None = None) -> DataFrame:
@@ -418,7 +419,7 @@ REACHES = (Reach(1, 5, 0.812, 74), Reach(4, 62, 0.838, 66), Reach(50, None, 0.84
 def similar_links(members: DataFrame, share: tuple[int, int], chunk: int = 512) -> DataFrame:
     """(u, v): links between similar members (key, node, n, fp0 to fp3, shingles) of each key whose components are those of all its similar pairs within REACHES.
 
-    Pairs are decided where they are compared, by their whole sets, and only a spanning forest leaves a task.
+    Pairs are decided where they are compared, by their whole sets; no more than a link a row leaves a task.
     """
     scratch = Scratch(members.sparkSession, "simhash-similar")
     a, b = share
@@ -460,7 +461,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     Texts are similar if the Jaccard similarity of their shingle sets is at least ``share``, a
     fraction; groups are connected by similar pairs. Pairs are found by fingerprints within a radius
     that share one of some keys (see REACHES: one pair in a thousand at the threshold is missed, fewer
-    above it). What a spanning forest of the close fingerprints connects is compared once more, in
+    above it). What the close fingerprints connect is compared once more, in
     chunks, and pairs are decided by their whole sets (of 64-bit hashes), so no others are linked.
     Texts of equal sets are one node. Extra columns come back as they were; an empty table gives an
     empty result.
