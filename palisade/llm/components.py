@@ -7,7 +7,7 @@ of each join are tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm._shared import Scratch
@@ -28,6 +28,19 @@ def _digest(links: DataFrame) -> tuple[int, int | None]:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links (u, v), u > v, that connect the same: each node's least smaller neighbour is linked to the node and to its other smaller ones.
+
+    For links that lead to few nodes, as those of tasks do that link the members of a cell to its
+    smallest: many nodes then share the same other ones. A node's own links meet in one task.
+    """
+    links = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    ends = links.withColumn("least", F.min("v").over(Window.partitionBy("u")))
+    # a row is the node's own link to its least neighbour, or another neighbour's
+    own = F.col("v") == F.col("least")
+    return ends.select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
+
+
 def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, root): for every node of ``links`` (u, v) the smallest node that it is connected with.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm._shared import Scratch, int_lists, mix, slices
-from palisade.llm.components import components
+from palisade.llm.components import components, contracted
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: 64-bit words of the fingerprints by which ``keep_one`` looks for pairs.
@@ -345,7 +345,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     fps = scratch.save(fingerprints(df, id_col, text_col, size), "fingerprints")
     nodes = scratch.save(fps.groupBy("fp0").agg(F.min(id_col).alias("least")).withColumn("node", F.col("fp0")), "nodes")
     choices = block_keys(radius, blocks or enough_blocks(nodes.count(), radius))
-    roots = scratch.save(components(near_links(nodes.select("node", "fp0"), [Search(choices, radius)]), scratch), "roots")
+    roots = scratch.save(components(contracted(near_links(nodes.select("node", "fp0"), [Search(choices, radius)])), scratch), "roots")
     joined = scratch.save(nodes.join(roots, "node", "left").select("fp0", F.coalesce("root", "node").alias("root"), "least"), "joined")
     named = scratch.save(joined.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     labels = scratch.save(joined.join(named, "root").select("fp0", "component_id"), "labels")
@@ -473,7 +473,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     total = nodes.count()
 
     searches = [Search(r.keys(total), r.radius, r.least, r.most) for r in REACHES]
-    forest = near_links(nodes.drop("one"), searches, WORDS, share=share).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    forest = contracted(near_links(nodes.drop("one"), searches, WORDS, share=share))
     close = scratch.save(components(scratch.save(forest, "forest"), scratch), "close")
     scratch.release()
     members = scratch.save(nodes.join(close.withColumnRenamed("root", "key"), "node"), "members")
@@ -481,7 +481,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     texts = known.select(id_col, F.col(text_col).cast("string").alias("_text")).join(members.select(F.col("one").alias(id_col)), id_col, "left_semi")
     shingles = shingle_sets(texts, "_text", size).join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
     members = scratch.save(members.drop("one").join(shingles, "node"), "members-sets")
-    links = scratch.save(similar_links(members, share), "similar")
+    links = scratch.save(contracted(similar_links(members, share)), "similar")
     roots = scratch.save(components(links, scratch), "roots")
     named = sets.select(id_col, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = scratch.save(named.groupBy("root").agg(F.min(id_col).alias(id_col)).select(id_col), "kept")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palisade.llm import line_dedup, neighbours, packing, substring_dedup
+from palisade.llm._shared import Scratch
+from palisade.llm.components import components, contracted
 
 SCHEMA = "doc_id long, text string"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -112,3 +114,18 @@ def test_descent_beyond_the_table():
         assert (lo[0], hi[0]) == (0, end), (need, lo, hi)
     lo, hi = neighbours.reach(codes, codes[:1], np.array([3]), 1)
     assert (lo[0], hi[0]) == (0, 7)
+
+
+def test_contracted_links_connect_the_same(spark):
+    rng = np.random.default_rng(3)
+    group = rng.integers(0, 6, 400)
+    pairs = [(u, v) for u, v in rng.integers(0, 400, (6000, 2)).tolist() if group[u] == group[v]] + [(5, 5)]
+    few = [(max(p), min(v for v in p if group[v] == group[p[0]])) for p in pairs]
+    # what tasks return: many nodes, each linked to some of a few small ones
+    few += [(u, int(np.flatnonzero(group == group[u])[k])) for u in range(400) for k in range(3)]
+    links = spark.createDataFrame(few, "u long, v long")
+    fewer = contracted(links)
+    assert fewer.filter("u <= v").isEmpty() and fewer.count() < links.filter("u <> v").distinct().count()
+    whole, part = ({r["node"]: r["root"] for r in components(x, Scratch(spark, "test")).collect()} for x in (links, fewer))
+    assert whole == part and len(set(part.values())) == 6
+    assert contracted(spark.createDataFrame([], "u long, v long")).isEmpty()
