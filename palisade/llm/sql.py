@@ -94,3 +94,43 @@ marked AS (SELECT p.*, max(h.i IS NOT NULL) OVER (PARTITION BY p.doc_id ORDER BY
 SELECT w.doc_id, count(m.i) AS n_words, count(*) FILTER (m.gone) AS n_removed, sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.i) FILTER (NOT m.gone), '')) AS kept_sha256
 FROM w LEFT JOIN marked m ON w.doc_id = m.doc_id GROUP BY w.doc_id
 """
+
+#: A run shares words with itself one period on over at least six words in a row, so equal stretches of six words show every one.
+OP11 = r"""
+WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+coded AS (SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, tab),
+s AS (SELECT doc_id, h, h // 10 AS g, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM coded),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM s),
+repeated AS (SELECT *, 1 + (len(w) - a) // (3 + g % 8) AS p FROM placed),
+d AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM repeated),
+words AS (SELECT doc_id, i, w[i + 1] AS word FROM d, unnest(range(len(w))) AS r(i)),
+six AS (SELECT doc_id, i, hash(array_to_string(w[i + 1:i + 6], ' ')) AS k, array_to_string(w[i + 1:i + 6], ' ') AS said FROM d, unnest(range(len(w) - 5)) AS r(i)),
+again AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.k = y.k AND x.said = y.said AND x.i < y.i),
+islands AS (SELECT doc_id, p, min(i) AS start, count(*) + 5 + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM again) GROUP BY doc_id, p, island),
+runs AS (SELECT doc_id, start, length, min(p) AS period FROM islands WHERE length >= 12 AND length >= 2 * p GROUP BY doc_id, start, length),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256,
+    arg_max({'s': start, 'l': length, 'p': period}, length * 1000000000000 - start * 1000000 - period) AS top
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs)),
+kept AS (SELECT w.doc_id, sha256(string_agg(word, ' ' ORDER BY w.i)) AS collapsed_sha256 FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period, 1000 * top.l // top.p AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN told ON d.doc_id = told.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+OP12 = r"""
+WITH split AS (
+  SELECT 'd' AS of, doc_id AS id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+  UNION ALL SELECT 'q', item_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark),
+terms AS (SELECT of, id, term FROM (SELECT of, id, unnest(t) AS term FROM split) WHERE term <> ''),
+query AS (SELECT DISTINCT id AS item_id, term FROM terms WHERE of = 'q'),
+tf AS (SELECT id AS doc_id, term, count(*) AS tf FROM terms WHERE of = 'd' GROUP BY id, term),
+size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_all FROM size),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf JOIN whole ON true WHERE term IN (SELECT term FROM query) GROUP BY term, n_docs),
+score AS (
+  SELECT q.item_id, tf.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM query q JOIN tf USING (term) JOIN weight USING (term) JOIN size USING (doc_id) JOIN whole ON true GROUP BY q.item_id, tf.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
