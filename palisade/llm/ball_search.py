@@ -37,7 +37,7 @@ from palisade.llm._shared import LOWER, UPPER, Scratch, large_texts, slices, tex
 #: Bytes of no term become spaces, capitals small letters.
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else 32 for b in range(256))
 #: Documents of a tree and of a leaf.
-TREE, LEAF = 1024, 4
+TREE, LEAF = 256, 4
 #: Items and terms of a block of queries, which is what a task holds of them.
 ITEMS, TERMS = 512, 8192
 #: Relative error granted to bounds; sums of as many products as there are terms stay far below.
