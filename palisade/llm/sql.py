@@ -54,20 +54,23 @@ FROM d GROUP BY doc_id
 """
 
 OP7 = r"""
-WITH templates(license, text) AS (VALUES %s),
-of_template AS (SELECT DISTINCT license, term FROM (SELECT license, lower(unnest(string_split_regex(text, '[^A-Za-z0-9]+'))) AS term FROM templates) WHERE term <> ''),
-vocabulary AS (SELECT DISTINCT term FROM of_template),
-s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, i, string_split_regex(lines[i], '[^A-Za-z0-9]+') AS t FROM s, unnest(range(1, len(lines) + 1)) AS r(i)),
-terms AS (SELECT DISTINCT doc_id, i, lower(u) AS term FROM (SELECT doc_id, i, unnest(t) AS u FROM l) WHERE u <> ''),
-n AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, i FROM terms)),
-weight AS (SELECT term, ln((n + 1) / (count(x.doc_id) + 1)) + 1 AS w FROM vocabulary LEFT JOIN terms x USING (term), n GROUP BY term, n),
-size AS (SELECT license, sqrt(sum(w * w)) AS size FROM of_template JOIN weight USING (term) GROUP BY license),
-line_size AS (SELECT doc_id, i, sqrt(sum(coalesce(w, ln(n + 1.0) + 1) ** 2)) AS len FROM terms LEFT JOIN weight USING (term), n GROUP BY doc_id, i),
+WITH templates(template, license, text) AS (VALUES %s),
+tokens AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM templates) WHERE term <> '' GROUP BY ALL),
+held AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents WHERE text IS NOT NULL) WHERE term <> ''),
+total AS (SELECT count(DISTINCT doc_id) AS n FROM held),
+df AS (SELECT term, count(*) AS n FROM held GROUP BY term),
+terms AS (SELECT term, ln((total.n + 1.0::DOUBLE) / (coalesce(df.n, 0) + 1.0::DOUBLE)) + 1 AS idf FROM (SELECT term FROM df UNION SELECT term FROM tokens) LEFT JOIN df USING (term), total),
+of_template AS (SELECT template, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS size FROM tokens JOIN terms USING (term)),
+d AS (SELECT doc_id, text, string_split(regexp_replace(text, '(?i)copyright *(\(c\)|©)? *[0-9]{4}([ ,-]+[0-9]{4})*,?', '', 'g'), chr(10)) AS lines, doc_id %% 5 = 0 AS declares FROM documents WHERE text IS NOT NULL),
+said AS (
+  SELECT doc_id, unnest(lines) AS said FROM d UNION SELECT doc_id, unnest(flatten(list_transform(lines, lambda x: string_split_regex(x, '[.!?;] +')))) FROM d
+  UNION SELECT doc_id, unnest(string_split_regex(text, '\n([^A-Za-z0-9\n]*\n)+')) FROM d UNION SELECT doc_id, text FROM d WHERE declares),
+counted AS (SELECT doc_id, said, term, count(*) AS tf FROM (SELECT doc_id, said, unnest(string_split_regex(lower(said), '[^a-z0-9]+')) AS term FROM said) WHERE term <> '' GROUP BY ALL),
+weighed AS (SELECT doc_id, said, term, tf * idf AS w FROM counted JOIN terms USING (term)),
+length AS (SELECT doc_id, said, sqrt(sum(w * w)) AS len FROM weighed GROUP BY ALL),
 scored AS (
-  SELECT t.doc_id, t.i, o.license, round(sum(w * w / size) / any_value(len), 6) AS score
-  FROM terms t JOIN of_template o USING (term) JOIN weight USING (term) JOIN size USING (license) JOIN line_size s ON s.doc_id = t.doc_id AND s.i = t.i
-  GROUP BY t.doc_id, t.i, o.license),
+  SELECT x.doc_id, o.license, round(sum(x.w * o.w / o.size) / any_value(l.len), 6) AS score
+  FROM weighed x JOIN of_template o USING (term) JOIN length l ON l.doc_id = x.doc_id AND l.said = x.said GROUP BY x.doc_id, x.said, o.template, o.license),
 own AS (SELECT * FROM (SELECT doc_id, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM scored WHERE score >= 0.7) WHERE r = 1),
 paths AS (
   SELECT doc_id, CASE doc_id %% 3 WHEN 0 THEN source WHEN 1 THEN source || '/' || lang ELSE source || '/' || lang || '/b' || (doc_id // 100) END AS dir,

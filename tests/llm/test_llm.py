@@ -255,6 +255,40 @@ def test_licenses(spark):
     assert out == {1: ("MIT", "licence file", None), 2: ("GPL-3.0", "inherited", "r/a"), 3: ("Apache-2.0", "header", None), 4: (None, "none", None), 5: (None, "none", None), 6: ("GPL-3.0", "licence file", None), 7: ("GPL-3.0", "inherited", "r/a")}
 
 
+def test_notices_belong_to_rows(spark):
+    """Rows with one id, null ids, repeated rows, odd columns."""
+    rows = [(1, "r/x", "Released under the MIT License."), (1, "r/y", "nothing"), (None, "q/z", "Released under the MIT License."), (None, None, None), (1, "r/x", "Released under the MIT License.")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, path string, text string, `a.b` string, file int").repartition(2)
+    out = sorted(((r["doc_id"], r["path"], r["license"], r["source"]) for r in licenses.scan(df).collect()), key=str)
+    assert out == sorted([(1, "r/x", "MIT", "header")] * 2 + [(1, "r/y", None, "none"), (None, "q/z", "MIT", "header"), (None, None, None, "none")], key=str)
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_whole_licenses_headers_and_tags(spark):
+    prose = [(100 + i, f"p/{i}.txt", f"word{i} of the work is under the {i} and in a version of it, with software to use") for i in range(40)]
+    comment = lambda text, mark: "\n".join(f"{mark} {text[i : i + 70]}" for i in range(0, len(text), 70))
+    mit = f"MIT License\n\nCopyright (c) 2020 Jane Roe\n\n{licenses.MIT_GRANT}\n\n{licenses.MIT_REST}\n"
+    cases = [
+        (1, "a/LICENSE", licenses.MIT_GRANT, "MIT"), (2, "b/x.c", "Copyright (c) 2020 X. Licensed under the MIT License.", "MIT"), (3, "c/x.py", "# SPDX-License-Identifier: MIT\nimport os", "MIT"), (4, "d/LICENSE.txt", mit, "MIT"),
+        (5, "e/x.c", comment(licenses.GPL_HEADER.format(v=3), " *") + "\n\nint main() { return 0; }", "GPL-3.0"), (6, "f/x.c", "/*\n" + comment(licenses.GPL_HEADER.format(v=2), " *") + "\n */\nint x;", "GPL-2.0"),
+        (7, "g/COPYING", f"Copyright 2001, 2003 Some Body\nAll rights reserved.\n\n{licenses.BSD_GRANT}\n\n{licenses.BSD_TWO}\n\n{licenses.BSD_THIRD}\n\n{licenses.BSD_REST}", "BSD-3-Clause"),
+        (8, "h/LICENSE", f"Copyright 2001 Some Body\n\n{licenses.BSD_GRANT}\n\n{licenses.BSD_TWO}\n\n{licenses.BSD_REST}", "BSD-2-Clause"),
+        (9, "i/x.java", "/*\n" + comment(licenses.APACHE_HEADER, " *") + "\n */\npackage x;", "Apache-2.0"), (10, "j/x.js", "// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), (11, "k/README", "The license of this work is not told here; see elsewhere.", None),
+        (12, "l/x.h", comment(licenses.MPL_HEADER, "//"), "MPL-2.0"), (13, "m/LICENSE", f"ISC License\n\n{licenses.ISC_GRANT}\n\n{licenses.ISC_REST}", "ISC"), (14, "a/deep/er/file", "x", "MIT"),
+    ]
+    out = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([c[:3] for c in cases] + prose, "doc_id long, path string, text string")).collect()}
+    assert {c[0]: out[c[0]] for c in cases} == {c[0]: c[3] for c in cases}
+    assert all(out[i] is None for i, _, _ in prose)
+
+
+def test_needed_terms_lose_no_notice():
+    vectors = {0: {"a": 3.0, "b": 2.0, "c": 1.0}, 1: {"b": 1.0, "c": 1.0, "d": 1.0}, 2: {"e": 1.0}}
+    gate = licenses.needed(vectors, 0.7, {"b": 9})
+    for v in vectors.values():
+        without = {t: w for t, w in v.items() if t not in gate}
+        assert sum(w * w for w in without.values()) < 0.49 * sum(w * w for w in v.values())
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
