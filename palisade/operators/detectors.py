@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import checks
 from palisade.functions.regex import java
-from palisade.functions.spans import near
+from palisade.functions.spans import near, part
 
 # Word lists, patterns, weights and labels that results depend on.
 UPI_HANDLES = ["upi", "ybl", "okhdfc", "okhdfcbank", "okicici", "oksbi", "okaxis", "paytm", "ibl", "axl", "apl", "abfspay", "eze", "idbi", "hsbc", "kotak", "pnb", "sbi"]
@@ -104,8 +104,8 @@ _upi = lambda text, x: _domain(x).isin(UPI_HANDLES) | near(text, x["start"], x["
 _card = lambda text, x: F.length(_digits(x)).between(13, 19) & ~checks.same_digit(_digits(x), 12, 18) & (checks.luhn(_digits(x)) | near(text, x["start"], x["end"], CARD, 60))
 _bank_iban = lambda text, x: F.length(F.regexp_replace(x["matched"], java(r"\s"), "")).between(15, 34) & (checks.iban(x["matched"]) | near(text, x["start"], x["end"], BANK, 60))
 _phone = lambda text, x: (
-    ~F.substring(text, x["start"], F.lit(1)).rlike("[0-9]") | (x["start"] == 0)
-) & ~F.substring(text, x["end"] + 1, F.lit(1)).rlike("[0-9]") & F.length(_digits(x)).between(8, 15) & ~checks.same_digit(_digits(x), 7)
+    (x["start"] == 0) | ~part(text, F.greatest(x["start"] - 1, F.lit(0)), F.lit(1)).rlike("[0-9]")
+) & ~part(text, x["end"], F.lit(1)).rlike("[0-9]") & F.length(_digits(x)).between(8, 15) & ~checks.same_digit(_digits(x), 7)
 _long = lambda n: lambda text, x: x["end"] - x["start"] >= n
 
 #: The personal-data pass, in order.

@@ -36,10 +36,12 @@ def replacement(f: Column) -> Column:
 
 def sanitized_text(text: Column, findings: Column) -> Column:
     """``text`` with every finding that is not allowed replaced, from the last to the first; spans beyond the text are left out."""
-    n = F.length(text)
-    live = F.filter(findings, lambda f: (f["action"] != "ALLOW") & (f["start"] >= 0) & (f["end"] > f["start"]) & (f["start"] < n) & (f["end"] <= n + 4096))
-    back = F.array_sort(live, lambda a, b: b["start"] - a["start"])
-    return replace_spans(text, F.transform(back, lambda f: F.struct(f["start"].alias("start"), F.least(f["end"], n).alias("end"), replacement(f).alias("by"))))
+    def pieces(n: Column) -> Column:
+        live = F.filter(findings, lambda f: (f["action"] != "ALLOW") & (f["start"] >= 0) & (f["end"] > f["start"]) & (f["start"] < n) & (f["end"] <= n + 4096))
+        back = F.array_sort(live, lambda a, b: b["start"] - a["start"])
+        return F.transform(back, lambda f: F.struct(f["start"].alias("start"), F.least(f["end"], n).alias("end"), replacement(f).alias("by")))
+
+    return replace_spans(text, let(F.length(text), pieces))
 
 
 def usable_prose(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import checks
 from palisade.functions.regex import java
-from palisade.functions.spans import SPAN, each, greedy, let, nothing_of, overlap, spans
+from palisade.functions.spans import SPAN, Blocks, each, greedy, let, nothing_of, overlap, spans, spans_of_each, sweep
 from palisade.operators.detectors import ASSIGNED, ASSIGNED_NEEDS, CONTEXT_WINDOW, FINDING, INJECTIONS, INVISIBLE, PII, SECRET_CONTEXT, SECRETS, SMUGGLED, STOPWORDS, Detector, assigned_value
 
 #: Which category wins where findings overlap.
@@ -48,16 +48,24 @@ def _struct(d: Detector, text: Column, x: Column) -> Column:
 
 @dataclass(frozen=True)
 class Seen:
-    """What the cheap tests look at: the text in lower case, and its digits in all and in the longest run."""
+    """What the cheap tests look at: the text in lower case, and its digits in all and in the longest run; and the blocks in which contexts are looked up."""
 
     low: Column
     digits: Column
     digit_run: Column
+    blocks: Column | None = None
 
     @classmethod
     def of(cls, text: Column) -> Seen:
         runs = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
-        return cls(F.lower(text), F.regexp_count(text, F.lit("[0-9]")), F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)))
+        return cls(F.lower(text), F.regexp_count(text, F.lit("[0-9]")), F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)), Blocks.of(text))
+
+    def columns(self, prefix: str) -> dict[str, Column]:
+        return {f"{prefix}{k}": c for k, c in vars(self).items()}
+
+    @classmethod
+    def named(cls, prefix: str) -> Seen:
+        return cls(*(F.col(f"{prefix}{k}") for k in ("low", "digits", "digit_run", "blocks")))
 
     def holds(self, text: Column, words: tuple[str, ...]) -> Column | None:
         """Whether the text has one of the words; those with capitals as they are."""
@@ -76,10 +84,11 @@ class Seen:
         return out
 
 
-def find(text: Column, d: Detector, seen: Seen | None = None) -> Column:
-    """The detector's findings before overlaps with others are looked at. seen: the cheap tests' columns, where they are at hand."""
+def find(text: Column, d: Detector, seen: Seen | None = None, found: list[Column] | None = None) -> Column:
+    """The detector's findings before overlaps with others are looked at. seen: the cheap tests' columns, where they are at hand; found: the matches of its patterns, likewise."""
+    where = Blocks(text, seen.blocks) if seen and seen.blocks is not None else text
     seen = seen or Seen.of(text)
-    found = [spans(text, p, seen.test(text, d, i)) for i, p in enumerate(d.patterns)]
+    found = found or [spans(text, p, seen.test(text, d, i)) for i, p in enumerate(d.patterns)]
     out = F.concat(*found) if len(found) > 1 else found[0]
     if d.extra.get("apart"):  # its own patterns shadow each other before any other condition
         out = greedy(out, SPAN)
@@ -87,18 +96,18 @@ def find(text: Column, d: Detector, seen: Seen | None = None) -> Column:
         name = lambda x: F.regexp_extract(x["matched"], java(d.inner), 1)
         out = F.transform(out, lambda x: F.struct((x["end"] - F.length(name(x))).alias("start"), x["end"].alias("end"), name(x).alias("matched")))
     if d.gate:
-        out = F.filter(out, lambda x: d.gate(text, x))
-    return F.transform(out, lambda x: _struct(d, text, x)).cast(FINDING)
+        out = F.filter(out, lambda x: d.gate(where, x))
+    return F.transform(out, lambda x: _struct(d, where, x)).cast(FINDING)
 
 
 def find_in(df: DataFrame, d: Detector, text_col: str = "text", out: str = "found") -> DataFrame:
     """``df`` with one detector's findings; what the cheap tests look at is computed once a row."""
     seen = Seen.of(F.col(text_col))
-    df = df.withColumns({"_low": seen.low, "_digits": seen.digits, "_digit_run": seen.digit_run})
-    return df.withColumn(out, find(F.col(text_col), d, Seen(F.col("_low"), F.col("_digits"), F.col("_digit_run")))).drop("_low", "_digits", "_digit_run")
+    columns = seen.columns("_seen_")
+    return df.withColumns(columns).withColumn(out, find(F.col(text_col), d, Seen.named("_seen_"))).drop(*columns)
 
 
-def find_assigned(text: Column, seen: Seen | None = None) -> Column:
+def find_assigned(text: Column, seen: Seen | None = None, found: Column | None = None) -> Column:
     """Credentials assigned to a name that says so, by length, entropy and the words around them."""
     near = lambda x, context: F.exists(context, lambda p: F.least(F.abs(p["start"] - x["start"]), F.abs(p["start"] - x["end"])) < CONTEXT_WINDOW)
 
@@ -108,7 +117,7 @@ def find_assigned(text: Column, seen: Seen | None = None) -> Column:
 
     seen = seen or Seen.of(text)
     with_context = lambda matches: F.when(F.size(matches) > 0, let(spans(text, SECRET_CONTEXT), lambda context: F.transform(matches, lambda x: judged(x, context))))
-    rows = F.coalesce(let(spans(text, ASSIGNED, seen.holds(text, ASSIGNED_NEEDS)), with_context), F.array())
+    rows = F.coalesce(let(spans(text, ASSIGNED, seen.holds(text, ASSIGNED_NEEDS)) if found is None else found, with_context), F.array())
     rows = F.filter(rows, lambda x: ~F.lower(x["value"]).isin(STOPWORDS) & (x["entropy"] >= 2.0) & ((x["entropy"] >= 2.5) | x["near"]))
 
     def said(x: Column) -> Column:
@@ -142,10 +151,6 @@ def find_smuggled(text: Column) -> Column:
     return F.when(hidden & says, F.array(one)).otherwise(nothing_of(FINDING)).cast(FINDING)
 
 
-def _pass(text: Column, detectors: list[Detector], seen: Seen, more: list[Column]) -> Column:
-    return F.concat(*(find(text, d, seen) for d in detectors), *more)
-
-
 def _smuggled_last(accepted: Column, text: Column) -> Column:
     """Only the first invisible character itself must be free, not the whole span."""
     clear = lambda s: ~F.exists(accepted, lambda a: (s["start"] < a["end"]) & (s["start"] + 1 > a["start"]))
@@ -153,25 +158,32 @@ def _smuggled_last(accepted: Column, text: Column) -> Column:
 
 
 @lru_cache(maxsize=32)
-def _candidates(application: str, config: ScanConfig, text_col: str) -> dict[str, Column]:
-    """The passes' candidates. Building the expressions takes longer than planning them, so they are kept for the session."""
-    text, seen = F.col(text_col), Seen(F.col("_seen_low"), F.col("_seen_digits"), F.col("_seen_digit_run"))
+def _candidates(application: str, config: ScanConfig, text_col: str) -> tuple[Column, Column]:
+    """All matches, and of these the passes' candidates: secrets, personal data, injections. Building the expressions takes longer than planning them, so they are kept for the session."""
+    text, seen, all_ = F.col(text_col), Seen.named("_seen_"), F.col("_seen_spans")
     pii = [d for d in PII if not (d.switch and not getattr(config, d.switch))]
-    return {
-        "secrets": _pass(text, SECRETS, seen, [find_assigned(text, seen)]) if config.secrets else nothing_of(FINDING),
-        "pii": _pass(text, pii, seen, []),
-        "injections": _pass(text, INJECTIONS, seen, []) if config.injections else nothing_of(FINDING),
-    }
+    passes = [SECRETS if config.secrets else [], pii, INJECTIONS if config.injections else []]
+    patterns: list[tuple[str, Column | None]] = [(ASSIGNED, seen.holds(text, ASSIGNED_NEEDS))]
+    found: list[list[Column]] = []
+    for detectors in passes:
+        found.append([])
+        for d in detectors:
+            at = len(patterns)
+            patterns += [(p, seen.test(text, d, i)) for i, p in enumerate(d.patterns)]
+            found[-1].append(find(text, d, seen, [F.get(all_, F.lit(at + i)) for i in range(len(d.patterns))]))
+    if config.secrets:
+        found[0].append(find_assigned(text, seen, F.get(all_, F.lit(0))))
+    return spans_of_each(text, patterns), F.array(*(F.concat(*f) if f else nothing_of(FINDING) for f in found))
 
 
 def with_passes(df: DataFrame, config: ScanConfig = ScanConfig(), text_col: str = "text", prefix: str = "_") -> DataFrame:
     """``df`` with the findings of the three passes, each free of overlaps in itself."""
     text = F.col(text_col)
-    cands = _candidates(df.sparkSession.sparkContext.applicationId, replace(config, min_confidence=0.0), text_col)
-    seen = Seen.of(text)
-    df = df.withColumns({"_seen_low": seen.low, "_seen_digits": seen.digits, "_seen_digit_run": seen.digit_run})
-    df = df.withColumns({f"{prefix}{k}": c for k, c in cands.items()}).drop("_seen_low", "_seen_digits", "_seen_digit_run")
-    df = df.withColumns({f"{prefix}{k}": greedy(F.col(f"{prefix}{k}"), FINDING) for k in cands})
+    matches, cands = _candidates(df.sparkSession.sparkContext.applicationId, replace(config, min_confidence=0.0), text_col)
+    columns = Seen.of(text).columns("_seen_")
+    df = df.withColumns(columns).withColumn("_seen_spans", matches).withColumn("_seen_passes", cands)
+    df = df.withColumn("_seen_passes", F.transform("_seen_passes", lambda c: greedy(c, FINDING))).drop(*columns, "_seen_spans")
+    df = df.withColumns({f"{prefix}{k}": F.get("_seen_passes", F.lit(i)) for i, k in enumerate(("secrets", "pii", "injections"))}).drop("_seen_passes")
     return df.withColumn(f"{prefix}injections", _smuggled_last(F.col(f"{prefix}injections"), text)) if config.injections else df
 
 
@@ -190,21 +202,20 @@ def _beats(f: Column, a: Column) -> Column:
 
 
 def resolve(findings: Column) -> Column:
-    """In order of start (then higher confidence, then as given): a finding that beats all it overlaps replaces them."""
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(a["seq"] - b["seq"])
-    numbered = F.transform(findings, lambda f, i: F.struct(f["start"].alias("start"), f["confidence"].alias("confidence"), i.alias("seq"), f.alias("f")))
-    ordered = F.transform(F.array_sort(numbered, order), lambda x: x["f"])
-
-    def step(acc: Column, f: Column) -> Column:
-        met = lambda a: overlap(a, f)
-        return (
-            F.when(~F.exists(acc, met), F.concat(acc, F.array(f)))
-            .when(F.forall(acc, lambda a: ~met(a) | _beats(f, a)), F.concat(F.filter(acc, lambda a: ~met(a)), F.array(f)))
-            .otherwise(acc)
-        )
+    """In order of start (then higher confidence, then as given): a finding that beats the one it overlaps replaces it.
+
+    Those kept so far lie apart and begin no later than the next one, so only the last of them can overlap it.
+    """
+    numbered = F.transform(findings, lambda f, i: F.struct(f["start"].alias("start"), (-f["confidence"]).alias("order"), i.alias("seq"), f.alias("f")))
+
+    def step(last: Column, x: Column) -> Column:
+        f = x["f"]
+        apart = F.size(last) == 0
+        apart = apart | ~F.exists(last, lambda a: overlap(a, f))
+        stays = ~apart & F.exists(last, lambda a: ~_beats(f, a))
+        return F.struct(F.when(stays, last).otherwise(F.array(f)).alias("state"), F.when(apart, last).otherwise(nothing_of(FINDING)).alias("out"))
 
-    kept = F.aggregate(ordered, nothing_of(FINDING), step)
-    return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
+    return sweep(F.array_sort(numbered), nothing_of(FINDING), step, FINDING, lambda last: last)
 
 
 def scan_array(df: DataFrame, config: ScanConfig = ScanConfig(), text_col: str = "text", out: str = "findings") -> DataFrame:
