@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions.regex import java
 from palisade.functions.spans import spans
 from palisade.functions.text import strip
+from palisade.operators import risk
 from palisade.operators.detectors import NAME
 
 # Patterns, keyword table and word lists.
@@ -158,23 +159,45 @@ def key_findings(text: Column) -> Column:
     ))
 
 
+#: Fixed value: what reports are made by.
+MODEL = "heuristic-v1"
+REPORT = ["entities", "iocs", "ttps", "risks", "key_findings", "evidence", "counts", "summary", "risk_score", "classification", "model"]
+
+
 def intelligence_report(df: DataFrame, text_col: str = "text", findings_col: str = "findings") -> DataFrame:
-    """``df`` with entities, iocs, ttps, risks, key_findings and summary."""
+    """``df`` with the report's columns (``REPORT``); risk_score and classification are the document's, from its findings where it has none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = risk.risk(F.col(findings_col))
     df = df.withColumns({"entities": extract_entities(text), "iocs": extract_iocs(text), "ttps": map_ttps(text), "key_findings": key_findings(text)})
     df = df.withColumn("risks", synthesize_risks(text, F.transform(findings_col, lambda f: f["category"]), F.col("iocs"), F.col("ttps")))
+    if "risk_score" not in df.columns or "classification" not in df.columns:
+        df = df.withColumn("_own", own).withColumns({"risk_score": F.col("_own.total"), "classification": F.col("_own.classification")}).drop("_own")
     pages = F.greatest(F.lit(1), F.ceil(F.size(F.split(text, "\n", -1)) / 40)).cast("string")
-    top = F.when(F.size("risks") > 0, F.concat(F.lit("Top risk: "), F.get("risks", F.lit(0))["category"], F.lit(" ("), F.get("risks", F.lit(0))["severity"], F.lit(")."))).otherwise("No high-risk patterns.")
+    techniques = F.array_join(F.transform("ttps", lambda t: F.concat(t["mitre_id"], F.lit(" ("), t["technique"], F.lit(")"))), ", ")
+    named = F.when(F.size("ttps") > 0, F.concat(F.lit("ATT&CK: "), techniques, F.lit(". "))).otherwise("")
+    top = F.when(F.size("risks") > 0, F.concat(F.lit("Top risk: "), F.get("risks", F.lit(0))["category"], F.lit(" ("), F.get("risks", F.lit(0))["severity"], F.lit(")."))).otherwise("No risk stands out.")
     summary = F.concat(
         F.lit("Analyzed "), F.size(F.split(text, java(r"\s+"))).cast("string"), F.lit(" words across "), pages, F.lit(" pages. Detected "), F.size("entities").cast("string"), F.lit(" entities, "),
-        F.size("iocs").cast("string"), F.lit(" IOCs, "), F.size("ttps").cast("string"), F.lit(" TTP(s). "), top,
+        F.size("iocs").cast("string"), F.lit(" IOCs, "), F.size("ttps").cast("string"), F.lit(" TTP(s). "), named, top,
     )
-    return df.withColumn("summary", summary)
+    return df.withColumns({
+        "summary": summary, "model": F.lit(MODEL), "evidence": F.transform("key_findings", lambda k: F.struct(k["finding"].alias("claim"), k["start"].alias("start"))),
+        "counts": F.struct(*(F.size(c).alias(c) for c in ("entities", "iocs", "ttps", "risks", "key_findings"))),
+    })
+
+
+def content_hash(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def ensure_intelligence(documents: DataFrame, reports: DataFrame, force: bool = False) -> DataFrame:
-    """The reports with those of documents that lack one; with ``force`` all anew. documents: document_id, text, findings."""
-    todo = documents if force else documents.join(reports.select("document_id"), "document_id", "left_anti")
-    new = intelligence_report(todo).select("document_id", "entities", "iocs", "ttps", "risks", "key_findings", "summary")
-    kept = reports.join(new.select("document_id"), "document_id", "left_anti") if force else reports
+    """The reports (document_id, content_hash, the report's columns) with those of documents that lack one or whose text has changed since; with ``force`` all anew.
+
+    documents: document_id, text, findings. Only what is missing or out of date is computed. Reports of
+    documents that are gone stay.
+    """
+    hashed = documents.withColumn("content_hash", content_hash(F.col("text")))
+    todo = hashed if force else hashed.join(reports.select("document_id", "content_hash"), ["document_id", "content_hash"], "left_anti")
+    new = intelligence_report(todo).select("document_id", "content_hash", *REPORT)
+    kept = reports.join(todo.select("document_id"), "document_id", "left_anti")
     return kept.select(*new.columns).unionByName(new)

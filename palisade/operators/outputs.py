@@ -148,17 +148,17 @@ def policy_status(passed: Column, grounding: Column) -> Column:
 
 
 def validate_outputs(df: DataFrame, output_col: str = "output", source_col: str = "source", before_col: str = "risk_before", block: Column | None = None) -> DataFrame:
-    """``df`` with final_output, output_dlp, grounding, policy_status, leakage_count, risk_delta: filter, rescan, repair, filter again."""
-    df = df.withColumn("_citations", ground_claims(split_claims(F.col(output_col)), F.col(source_col)))
+    """``df`` with final_output, citations, output_dlp, grounding, policy_status, leakage_count, risk_delta: filter, rescan, repair, filter again."""
+    df = df.withColumn("citations", ground_claims(split_claims(F.col(output_col)), F.col(source_col)))
     df = sanitize_output_html(df, output_col).withColumnRenamed("sanitized", "_first").drop("removed")
     df = output_dlp(df, "_first", block)
     df = sanitize_output_html(df, "repaired").withColumnRenamed("sanitized", "final_output").drop("removed")
     df = scan.scan_array(df, text_col="final_output", out="_final")
-    df = df.withColumn("grounding", grounding_status(F.col("_citations")))
+    df = df.withColumn("grounding", grounding_status(F.col("citations")))
     return df.withColumns({
         "output_dlp": F.when(F.col("passed"), "PASS").otherwise("FAIL"), "policy_status": policy_status(F.col("passed"), F.col("grounding")),
         "leakage_count": F.size("leaks"), "risk_delta": F.col(before_col) - risk.risk(F.col("_final"))["total"],
-    }).drop("_citations", "_first", "_final", "passed", "reasons", "repaired", "leaks")
+    }).drop("_first", "_final", "passed", "reasons", "repaired", "leaks")
 
 
 def truncate_for_context(c: Column, most: int = 120_000) -> Column:
@@ -189,8 +189,8 @@ OUTPUT_TYPES = ["EXECUTIVE_SUMMARY", "FAQ", "TECHNICAL_REPORT", "SLIDE_OUTLINE",
 SHOWN = {"EXECUTIVE_SUMMARY": 280, "FAQ": 160, "TECHNICAL_REPORT": 180, "SLIDE_OUTLINE": 100, "EMAIL_DRAFT": 240, "PRESS_RELEASE": 320, "SOCIAL_POST": 180}
 
 
-def offline_artefacts(df: DataFrame, output_types: list[str] = OUTPUT_TYPES) -> DataFrame:
-    """document_id, output_type, output: a fixed text around an excerpt that is scanned again and masked.
+def offline_artefacts(df: DataFrame, output_types: list[str] = OUTPUT_TYPES, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """document_id, kept columns, output_type, output, error: a fixed text around an excerpt that is scanned again and masked. A type that is not known has an error instead.
 
     ``df``: document_id, title, profile, sanitized_content.
     """
@@ -207,4 +207,6 @@ def offline_artefacts(df: DataFrame, output_types: list[str] = OUTPUT_TYPES) ->
     for k, n in SHOWN.items():
         size = F.when(F.col("output_type") == k, n).otherwise(size)
     head = F.concat(F.initcap(F.replace(F.lower("output_type"), F.lit("_"), F.lit(" "))), F.lit(" — "), F.coalesce("title", F.lit("")), F.lit(" ["), "profile", F.lit("]"))
-    return rows.select("document_id", "output_type", F.concat_ws("\n\n", head, F.concat(F.left("_excerpt", size), F.lit("...")), "_note").alias("output"))
+    known = F.col("output_type").isin(OUTPUT_TYPES)
+    output = F.when(known, F.concat_ws("\n\n", head, F.concat(F.left("_excerpt", size), F.lit("...")), "_note"))
+    return rows.select("document_id", *keep, "output_type", output.alias("output"), F.when(~known, F.concat(F.lit("unknown output type "), "output_type")).alias("error"))

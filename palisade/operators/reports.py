@@ -90,7 +90,7 @@ def security_report(documents: DataFrame, findings: DataFrame, transformations:
     top = top_findings(findings).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "category", "type", "severity", "confidence", "shown"))).alias("top_findings"))
     rows = documents.join(counts, "document_id", "left").join(last, "document_id", "left").join(top, "document_id", "left")
     text = F.col("sanitized_content")
-    preview = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "Awaiting sanitization — run Sanitize to generate the working copy preview.").when(F.length(text) > PREVIEW, F.concat(F.left(text, F.lit(PREVIEW)), F.lit("…"))).otherwise(text)
+    preview = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "No sanitized copy yet.").when(F.length(text) > PREVIEW, F.concat(F.left(text, F.lit(PREVIEW)), F.lit("…"))).otherwise(text)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return rows.select(
         "document_id", "classification", "risk_score", "risk_before", "risk_after", *(zero(c.lower()) for c in CATEGORIES), *(zero(s.lower()) for s in SEVERITIES),
@@ -169,17 +169,24 @@ def documents_with_children(documents: DataFrame, findings: DataFrame, transform
 
 
 def resolve_overrides(findings: DataFrame, overrides: DataFrame) -> DataFrame:
-    """``findings`` with override: the reviewer's last choice for the finding's id, else for its place and type.
+    """``findings`` with override: the last choice, in order of seq, that a reviewer made for the finding.
 
-    Choices that no finding has are ignored; allowing an injection or a secret is an error, in override_error.
+    A choice is for the input finding with its id, else for the first one (smallest id) of its place and
+    type, also if it has an id that no finding has; whichever way it was matched, the last one counts.
+    Choices that match nothing are ignored. override_error: a choice, superseded or not, would allow an
+    injection or a secret.
     """
-    last = lambda *keys: overrides.filter(F.col(keys[-1]).isNotNull()).groupBy("document_id", *keys).agg(F.max_by("action", "seq").alias("_a"))
-    by_id = last("finding_id").withColumnRenamed("_a", "_by_id")
-    by_place = overrides.filter("finding_id is null").groupBy("document_id", "location", "type").agg(F.max_by("action", "seq").alias("_by_place"))
-    rows = findings.join(by_id, ["document_id", "finding_id"], "left").join(by_place, ["document_id", "location", "type"], "left")
-    chosen = F.coalesce("_by_id", "_by_place")
-    bad = (chosen == "ALLOW") & F.col("category").isin("PROMPT_INJECTION", "SECRET")
-    return rows.withColumn("override", chosen).withColumn("override_error", F.coalesce(bad, F.lit(False))).drop("_by_id", "_by_place")
+    inputs = findings.filter("stage = 'INPUT'").select("document_id", "finding_id", "location", "type", "category")
+    by_id = inputs.filter("finding_id IS NOT NULL").select("document_id", "finding_id", F.struct("location", "type", "category").alias("_by_id"))
+    by_place = inputs.groupBy("document_id", "location", "type").agg(F.min(F.struct("finding_id", "category")).alias("_one"))
+    by_place = by_place.select("document_id", "location", "type", F.struct("location", "type", F.col("_one.category").alias("category")).alias("_by_place"))
+    matched = overrides.join(by_id, ["document_id", "finding_id"], "left").join(by_place, ["document_id", "location", "type"], "left")
+    matched = matched.select("document_id", "seq", "action", F.coalesce("_by_id", "_by_place").alias("t")).filter("t IS NOT NULL")
+    bad = (F.col("action") == "ALLOW") & F.col("t.category").isin("PROMPT_INJECTION", "SECRET")
+    chosen = matched.groupBy("document_id", F.col("t.location").alias("location"), F.col("t.type").alias("type")).agg(F.max_by("action", "seq").alias("override"), F.bool_or(bad).alias("override_error"))
+    rows = findings.join(chosen, ["document_id", "location", "type"], "left")
+    mine = F.col("stage") == "INPUT"
+    return rows.withColumn("override", F.when(mine, F.col("override"))).withColumn("override_error", F.coalesce(mine & F.col("override_error"), F.lit(False)))
 
 
 def skip_duplicates(batch: DataFrame, corpus: DataFrame) -> DataFrame:

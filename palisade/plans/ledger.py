@@ -174,7 +174,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confid
 top AS (SELECT document_id, string_agg(rank || ':' || type || ':' || length(CASE WHEN category = 'SECRET' THEN '[withheld]' ELSE left(matched_text, 48) END), ',' ORDER BY rank) AS top_findings FROM ranked WHERE rank <= 8 GROUP BY document_id)
 SELECT d.document_id, classification, risk_score, risk_before, risk_after, {", ".join(f"coalesce({x.lower()}, 0) AS {x.lower()}" for x in (*R.CATEGORIES, *R.SEVERITIES))}, coalesce(n_out, 0) + coalesce(leakage_count, 0) AS output_leakage,
   coalesce(grounding, 'SKIPPED') AS grounding, coalesce(policy_status, 'SKIPPED') AS policy_status, coalesce(output_dlp, 'SKIPPED') AS output_dlp, coalesce(top_findings, '') AS top_findings,
-  sha256(CASE WHEN coalesce(sanitized_content, '') = '' THEN 'Awaiting sanitization — run Sanitize to generate the working copy preview.' WHEN length(sanitized_content) > 600 THEN left(sanitized_content, 600) || '…' ELSE sanitized_content END) AS sanitized_preview
+  sha256(CASE WHEN coalesce(sanitized_content, '') = '' THEN 'No sanitized copy yet.' WHEN length(sanitized_content) > 600 THEN left(sanitized_content, 600) || '…' ELSE sanitized_content END) AS sanitized_preview
 FROM store_documents d LEFT JOIN c ON d.document_id = c.document_id LEFT JOIN {_LAST} t ON d.document_id = t.document_id LEFT JOIN top ON d.document_id = top.document_id""",
     "status_counts": "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in R.STATUSES) + ", count(*) FILTER (risk_score >= 50) AS high_risk FROM store_documents",
     "findings_by_category": "SELECT category, count(*) AS n FROM store_findings WHERE stage = 'INPUT' GROUP BY category",
@@ -194,9 +194,11 @@ SELECT category, coalesce(found, 0) AS found, coalesce(labelled, 0) AS labelled,
 LEFT JOIN (SELECT document_id, count(*) AS n, string_agg(type, ',' ORDER BY start, "end", type, category, severity) AS types FROM store_findings GROUP BY document_id) f ON d.document_id = f.document_id
 LEFT JOIN (SELECT document_id, string_agg(output_type, ',' ORDER BY created_at DESC, transformation_id DESC) AS outputs FROM store_transformations GROUP BY document_id) t ON d.document_id = t.document_id""",
     "audit_with_titles": "SELECT audit_id, action, title, filename FROM store_audit a LEFT JOIN store_documents d ON a.document_id = d.document_id",
-    "resolve_overrides": """, i AS (SELECT document_id, finding_id, arg_max(action, seq) AS a FROM store_overrides WHERE finding_id IS NOT NULL GROUP BY ALL), p AS (SELECT document_id, location, type, arg_max(action, seq) AS a FROM store_overrides WHERE finding_id IS NULL GROUP BY ALL)
-SELECT f.finding_id, coalesce(i.a, p.a) AS override, coalesce(coalesce(i.a, p.a) = 'ALLOW' AND category IN ('PROMPT_INJECTION', 'SECRET'), false) AS override_error
-FROM store_findings f LEFT JOIN i ON f.document_id = i.document_id AND f.finding_id = i.finding_id LEFT JOIN p ON f.document_id = p.document_id AND f.location = p.location AND f.type = p.type""",
+    "resolve_overrides": """, i AS (SELECT * FROM store_findings WHERE stage = 'INPUT'), p AS (SELECT document_id, location, type, arg_min(category, finding_id) AS category FROM i GROUP BY ALL),
+m AS (SELECT o.document_id, o.seq, o.action, coalesce(i.location, p.location) AS location, coalesce(i.type, p.type) AS type, coalesce(i.category, p.category) AS category
+  FROM store_overrides o LEFT JOIN i ON o.document_id = i.document_id AND o.finding_id = i.finding_id LEFT JOIN p ON o.document_id = p.document_id AND o.location = p.location AND o.type = p.type),
+c AS (SELECT document_id, location, type, arg_max(action, seq) AS override, bool_or(action = 'ALLOW' AND category IN ('PROMPT_INJECTION', 'SECRET')) AS bad FROM m WHERE location IS NOT NULL GROUP BY ALL)
+SELECT f.finding_id, CASE WHEN stage = 'INPUT' THEN c.override END AS override, coalesce(stage = 'INPUT' AND c.bad, false) AS override_error FROM store_findings f LEFT JOIN c ON f.document_id = c.document_id AND f.location = c.location AND f.type = c.type""",
     "skip_duplicates": "SELECT document_id, CASE WHEN sha256 IN (SELECT sha256 FROM store_documents WHERE document_id % 2 = 0) OR row_number() OVER (PARTITION BY sha256 ORDER BY seq) > 1 THEN 'skipped' ELSE 'ingested' END AS outcome FROM store_documents WHERE document_id % 2 = 1",
     "stored_or_live": """, s AS (SELECT document_id, location, type, category, stage FROM store_findings WHERE category = 'SECRET'), i AS (SELECT * FROM s WHERE stage = 'INPUT'),
 f AS (SELECT document_id, location, type, category, stage FROM store_findings WHERE category <> 'SECRET' AND stage = 'INPUT' AND document_id NOT IN (SELECT document_id FROM i))

@@ -119,19 +119,6 @@ def test_benchmark_report(spark):
     assert total["documents"] == 4 and total["n_findings"] == 2 and total["leakage"] == got["c"][3]
 
 
-def test_store(spark, tmp_path):
-    root = str(tmp_path)
-    empty = store.read_store(spark, root)["findings"]
-    row = lambda d, stage, t: (d, "PII", t, "LOW", 0.5, "MASK", None, stage, 0, 1, "x", "y", "z")
-    first = spark.createDataFrame([row("1", "INPUT", "A"), row("1", "OUTPUT", "B"), row("2", "INPUT", "C")], empty.schema)
-    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "document_id string")
-    store.write_findings(spark, root, first, ids("1", "2"))
-    store.write_findings(spark, root, spark.createDataFrame([row("1", "INPUT", "D")], empty.schema), ids("1"))
-    assert {r["type"] for r in store.read_store(spark, root)["findings"].collect()} == {"B", "C", "D"}
-    store.export_artefacts(spark.createDataFrame([("My Title!", "FAQ", "text")], "title string, output_type string, output string"), root + "/out")
-    assert spark.read.text(root + "/out").select("value", "name").first() == ("text", "my-title-faq.md")
-
-
 def test_streams(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text").limit(60)
     docs.repartition(3).write.parquet(f"{tmp_path}/in")
@@ -145,15 +132,6 @@ def test_streams(spark, tmp_path, sf_dir):
     assert spark.read.parquet(f"{tmp_path}/distinct").count() == docs.select("text").distinct().count()
 
 
-def test_pipeline_rows(spark):
-    df = spark.createDataFrame([("1", "T", "The team met nora.weiss@mail.test in the garden and talked for long."), ("2", "U", "AKIA" + "AB12" * 4), ("3", "V", "")], "document_id string, title string, text string")
-    stored = ingest.ingest(df)
-    assert {r["document_id"]: r["error"] for r in stored.collect()} == {"1": None, "2": None, "3": "No content"}
-    rows = ingest.run_pipeline(stored.filter("error is null"), output_types=["FAQ", "BLOG_POST"]).collect()
-    assert {(r["document_id"], r["output_type"]) for r in rows} == {("1", "FAQ"), ("1", "BLOG_POST")}
-    assert all("nora.weiss" not in r["final_output"] for r in rows)
-
-
 def test_risk_trend(spark):
     docs = spark.createDataFrame([(i, i, "UPLOADED", i, 0) for i in range(15)], "document_id int, created_at int, status string, risk_before int, risk_after int")
     rows = reports.risk_trend(docs).collect()
