@@ -63,7 +63,7 @@ def ingest_into(store: Store, df: DataFrame, config: scan.ScanConfig = scan.Scan
     at = F.current_timestamp() if at is None else F.lit(at)
     rows = df.withColumn("title", F.coalesce(F.col("title"), _title()) if "title" in df.columns else _title())
     rows = rows if "source_kind" in rows.columns else rows.withColumn("source_kind", F.lit("UPLOAD"))
-    wide = store.stage(_reported(ingest(rows, config=config), at))
+    wide = store.stage(_reported(store.stage(ingest(rows, config=config)), at))
     good = wide.filter("error IS NULL")
     n = lambda c: F.size(c).cast("string")
     extracted = F.concat(n("entities"), F.lit(" entities, "), n("iocs"), F.lit(" IOCs, "), n("ttps"), F.lit(" TTPs."))
@@ -93,7 +93,7 @@ def rescan_into(store: Store, ids: DataFrame, config: scan.ScanConfig | None = N
         "risk_score": F.col("_r.total"), "risk_before": F.col("_r.total"), "risk_after": F.lit(0), "classification": F.col("_r.classification"), "status": F.lit("SCANNED"), "sanitized_content": F.lit(None).cast("string"),
         "metadata": F.col("metadata").withField("sanitized_policy", F.lit(None).cast("string")).withField("scan_config", _settings(config)),
     }).drop("_r")
-    created = rows.withColumn("_created", F.col("created_at"))
+    created = store.stage(rows.withColumn("_created", F.col("created_at")))
     wide = store.stage(_reported(created, at).withColumn("report_at", F.col("created_at")).withColumn("created_at", F.col("_created")).drop("_created"))
     known = wide.select("document_id")
     on = ", ".join(f"{k}={str(v).lower()}" for k, v in vars(config).items())

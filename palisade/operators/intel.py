@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.regex import java
-from palisade.functions.spans import spans
+from palisade.functions.spans import let, spans_of_each
 from palisade.functions.text import strip
 from palisade.operators import risk
 from palisade.operators.detectors import NAME
@@ -70,31 +70,38 @@ ENTITY = "array<struct<type:string,value:string,start:int,end:int,confidence:dou
 
 
 def extract_entities(text: Column, most: int = 25) -> Column:
-    def rows(type_: str, pattern: str, confidence: float) -> Column:
+    def rows(found: Column, type_: str, confidence: float) -> Column:
         def one(x: Column) -> Column:
             value = strip(x["matched"])
             return F.struct(F.lit(type_).alias("type"), value.alias("value"), x["start"].alias("start"), (x["start"] + F.length(value)).alias("end"), F.lit(confidence).alias("confidence"), _around(text, x["start"], F.length(value), 20).alias("context"))
 
-        return F.transform(spans(text, pattern), one).cast(ENTITY)
+        return F.transform(found, one).cast(ENTITY)
 
-    def plain(type_: str, pattern: str, confidence: float, group: bool = False) -> Column:
+    def plain(found: Column, type_: str, confidence: float, pattern: str = "") -> Column:
         def one(x: Column) -> Column:
-            value = F.regexp_extract(x["matched"], java(pattern), 1) if group else x["matched"]
-            context = F.left(x["matched"], F.lit(80)) if group else F.lit(None).cast("string")
+            value = F.regexp_extract(x["matched"], java(pattern), 1) if pattern else x["matched"]
+            context = F.left(x["matched"], F.lit(80)) if pattern else F.lit(None).cast("string")
             return F.struct(F.lit(type_).alias("type"), value.alias("value"), x["start"].alias("start"), (x["start"] + F.length(value)).alias("end"), F.lit(confidence).alias("confidence"), context.alias("context"))
 
-        return F.transform(spans(text, pattern), one).cast(ENTITY)
+        return F.transform(found, one).cast(ENTITY)
 
-    found = F.concat(*(rows(*e) for e in ENTITIES), plain("PERSON", PERSON, 0.65, True), plain("ORG", ORG, 0.6), plain("LOCATION", LOCATION, 0.55))
-    return F.slice(_first_of_each(found, ENTITY), 1, most)
+    n = len(ENTITIES)
+    patterns = [p for _, p, _ in ENTITIES] + [PERSON, ORG, LOCATION]
+
+    def of(all_: Column) -> Column:
+        at = lambda i: F.get(all_, F.lit(i))
+        found = [rows(at(i), type_, confidence) for i, (type_, _, confidence) in enumerate(ENTITIES)]
+        found += [plain(at(n), "PERSON", 0.65, PERSON), plain(at(n + 1), "ORG", 0.6), plain(at(n + 2), "LOCATION", 0.55)]
+        return F.slice(_first_of_each(F.concat(*found), ENTITY), 1, most)
+
+    return let(spans_of_each(text, [(p, None) for p in patterns]), of)
 
 
 IOC = "array<struct<type:string,value:string,start:int,end:int,severity:string,confidence:double,context:string>>"
 
 
 def extract_iocs(text: Column, most: int = 20) -> Column:
-    def rows(type_: str, pattern: str, severity: str, confidence: float) -> Column:
-        found = spans(text, pattern)
+    def rows(found: Column, type_: str, severity: str, confidence: float) -> Column:
         if type_ == "DOMAIN":  # an address's domain is personal data, not an indicator
             low = lambda x: F.greatest(F.lit(0), x["start"] - 30)
             found = F.filter(found, lambda x: ~F.contains(F.substring(text, low(x) + 1, x["start"] - low(x)), F.lit("@")))
@@ -103,7 +110,11 @@ def extract_iocs(text: Column, most: int = 20) -> Column:
             _around(text, x["start"], x["end"] - x["start"], 15).alias("context"),
         )).cast(IOC)
 
-    return F.slice(_first_of_each(F.concat(*(rows(*p) for p in IOCS)), IOC), 1, most)
+    def of(all_: Column) -> Column:
+        found = [rows(F.get(all_, F.lit(i)), type_, severity, confidence) for i, (type_, _, severity, confidence) in enumerate(IOCS)]
+        return F.slice(_first_of_each(F.concat(*found), IOC), 1, most)
+
+    return let(spans_of_each(text, [(p, None) for _, p, _, _ in IOCS]), of)
 
 
 def map_ttps(text: Column, most: int = 12) -> Column:

@@ -255,7 +255,7 @@ def audit_events(documents: DataFrame, transformations: DataFrame) -> DataFrame:
     scan = documents.filter("status <> 'UPLOADED'").select("document_id", F.lit("scanner").alias("actor"), F.lit("SCAN").alias("action"), F.concat(F.lit("Risk "), F.col("risk_before").cast("string"), F.lit(", "), "classification").alias("detail"))
     policy = documents.filter(F.col("status").isin(*DONE, "BLOCKED")).select("document_id", F.lit("policy").alias("actor"), F.lit("POLICY_APPLY").alias("action"), F.concat(F.lit("Risk "), F.col("risk_before").cast("string"), F.lit(" to "), F.col("risk_after").cast("string")).alias("detail"))
     made = transformations.select("document_id", F.lit("pipeline").alias("actor"), F.lit("TRANSFORM").alias("action"), F.col("output_type").alias("detail"))
-    dlp = transformations.select("document_id", F.lit("dlp").alias("actor"), F.when(F.col("output_dlp") == "PASS", "DLP_RELEASE").otherwise("DLP_BLOCK").alias("action"), F.concat(F.col("leakage_count").cast("string"), F.lit(" leaks")).alias("detail"))
+    dlp = transformations.select("document_id", F.lit("dlp").alias("actor"), F.when(F.col("output_dlp") == "PASS", "RELEASE").otherwise("DLP_BLOCK").alias("action"), F.concat(F.col("leakage_count").cast("string"), F.lit(" leaks")).alias("detail"))
     return upload.unionByName(scan).unionByName(policy).unionByName(made).unionByName(dlp)
 
 

@@ -158,8 +158,8 @@ def _smuggled_last(accepted: Column, text: Column) -> Column:
 
 
 @lru_cache(maxsize=32)
-def _candidates(application: str, config: ScanConfig, text_col: str) -> tuple[Column, Column]:
-    """All matches, and of these the passes' candidates: secrets, personal data, injections. Building the expressions takes longer than planning them, so they are kept for the session."""
+def _candidates(application: str, config: ScanConfig, text_col: str) -> tuple[Column, Column, Column, Column, dict[str, Column]]:
+    """All matches, of these the passes' candidates (secrets, personal data, injections), what is kept of them, injections with smuggled ones, and what tests look at. Building the expressions takes longer than planning them, so they are kept for the session."""
     text, seen, all_ = F.col(text_col), Seen.named("_seen_"), F.col("_seen_spans")
     pii = [d for d in PII if not (d.switch and not getattr(config, d.switch))]
     passes = [SECRETS if config.secrets else [], pii, INJECTIONS if config.injections else []]
@@ -173,18 +173,20 @@ def _candidates(application: str, config: ScanConfig, text_col: str) -> tuple[Co
             found[-1].append(find(text, d, seen, [F.get(all_, F.lit(at + i)) for i in range(len(d.patterns))]))
     if config.secrets:
         found[0].append(find_assigned(text, seen, F.get(all_, F.lit(0))))
-    return spans_of_each(text, patterns), F.array(*(F.concat(*f) if f else nothing_of(FINDING) for f in found))
+    candidates = F.array(*(F.concat(*f) if f else nothing_of(FINDING) for f in found))
+    smuggled = _smuggled_last(F.get("_seen_passes", F.lit(2)), text)
+    return spans_of_each(text, patterns), candidates, F.transform("_seen_passes", lambda c: greedy(c, FINDING)), smuggled, Seen.of(text).columns("_seen_")
 
 
 def with_passes(df: DataFrame, config: ScanConfig = ScanConfig(), text_col: str = "text", prefix: str = "_") -> DataFrame:
     """``df`` with the findings of the three passes, each free of overlaps in itself."""
-    text = F.col(text_col)
-    matches, cands = _candidates(df.sparkSession.sparkContext.applicationId, replace(config, min_confidence=0.0), text_col)
-    columns = Seen.of(text).columns("_seen_")
-    df = df.withColumns(columns).withColumn("_seen_spans", matches).withColumn("_seen_passes", cands)
-    df = df.withColumn("_seen_passes", F.transform("_seen_passes", lambda c: greedy(c, FINDING))).drop(*columns, "_seen_spans")
-    df = df.withColumns({f"{prefix}{k}": F.get("_seen_passes", F.lit(i)) for i, k in enumerate(("secrets", "pii", "injections"))}).drop("_seen_passes")
-    return df.withColumn(f"{prefix}injections", _smuggled_last(F.col(f"{prefix}injections"), text)) if config.injections else df
+    application = df.sparkSession.sparkContext.applicationId
+    matches, cands, apart, smuggled, columns = _candidates(application, replace(config, min_confidence=0.0), "_seen_text")
+    df = df.withColumn("_seen_text", F.col(text_col)).withColumns(columns).withColumn("_seen_spans", matches).withColumn("_seen_passes", cands)
+    df = df.withColumn("_seen_passes", apart).drop(*columns, "_seen_spans")
+    passes = {k: F.get("_seen_passes", F.lit(i)) for i, k in enumerate(("secrets", "pii", "injections"))}
+    passes["injections"] = smuggled if config.injections else passes["injections"]
+    return df.withColumns({f"{prefix}{k}": c for k, c in passes.items()}).drop("_seen_passes", "_seen_text")
 
 
 def _rank(f: Column) -> Column:
@@ -201,6 +203,11 @@ def _beats(f: Column, a: Column) -> Column:
     return (_rank(f) > _rank(a)) | ((_rank(f) == _rank(a)) & (f["confidence"] > a["confidence"])) | (same & (size(f) > size(a)))
 
 
+@lru_cache(maxsize=8)
+def _resolved(application: str, column: str) -> Column:
+    return resolve(F.col(column))
+
+
 def resolve(findings: Column) -> Column:
     """In order of start (then higher confidence, then as given): a finding that beats the one it overlaps replaces it.
 
@@ -224,7 +231,7 @@ def scan_array(df: DataFrame, config: ScanConfig = ScanConfig(), text_col: str =
     merged = F.concat(*(F.col(f"_scan_{k}") for k in ("secrets", "pii", "injections")))
     merged = F.filter(merged, lambda f: config.wants(f["category"]) & (f["confidence"] >= config.min_confidence))
     df = df.withColumn("_scan_all", F.coalesce(merged, nothing_of(FINDING)))
-    return df.withColumn(out, resolve(F.col("_scan_all"))).drop("_scan_all", "_scan_secrets", "_scan_pii", "_scan_injections")
+    return df.withColumn(out, _resolved(df.sparkSession.sparkContext.applicationId, "_scan_all")).drop("_scan_all", "_scan_secrets", "_scan_pii", "_scan_injections")
 
 
 def scan(df: DataFrame, config: ScanConfig = ScanConfig(), id_col: str = "document_id", text_col: str = "text", stage: str = "INPUT") -> DataFrame:

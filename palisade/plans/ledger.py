@@ -217,7 +217,7 @@ UNION ALL SELECT 'transformations', count(*) FROM store_transformations WHERE do
     "audit_events": """SELECT document_id, 'api' AS actor, 'UPLOAD' AS action, 'Uploaded ' || filename || ' (' || size_bytes || ' bytes)' AS detail FROM store_documents
 UNION ALL SELECT document_id, 'scanner', 'SCAN', 'Risk ' || risk_before || ', ' || classification FROM store_documents WHERE status <> 'UPLOADED'
 UNION ALL SELECT document_id, 'policy', 'POLICY_APPLY', 'Risk ' || risk_before || ' to ' || risk_after FROM store_documents WHERE status IN ('SANITIZED', 'TRANSFORMED', 'BLOCKED')
-UNION ALL SELECT document_id, 'pipeline', 'TRANSFORM', output_type FROM store_transformations UNION ALL SELECT document_id, 'dlp', CASE WHEN output_dlp = 'PASS' THEN 'DLP_RELEASE' ELSE 'DLP_BLOCK' END, leakage_count || ' leaks' FROM store_transformations""",
+UNION ALL SELECT document_id, 'pipeline', 'TRANSFORM', output_type FROM store_transformations UNION ALL SELECT document_id, 'dlp', CASE WHEN output_dlp = 'PASS' THEN 'RELEASE' ELSE 'DLP_BLOCK' END, leakage_count || ' leaks' FROM store_transformations""",
     "rescan": f"SELECT document_id, CASE WHEN document_id IN {_GONE} THEN 'SCANNED' ELSE status END AS status, CASE WHEN document_id IN {_GONE} THEN 0 ELSE risk_after END AS risk_after, CASE WHEN document_id NOT IN {_GONE} THEN sanitized_content END AS sanitized_content FROM store_documents",
 }
 SQL = {k: _WITH.rstrip() + (v if v.startswith(",") else " " + v) for k, v in SQL.items()}

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from palisade.functions.regex import re2_sql, sql_string
 from palisade.functions.spans import each
-from palisade.operators import intel, outputs, policy, risk, sanitize, scan
+from palisade.operators import ingest, intel, outputs, policy, risk, sanitize, scan
 from palisade.plans.detection import _PLANTED, documents, planted, risk_cte, spread
 from palisade.plans.detector_sql import PLANTED, findings_cte, passes_sql, spans_sql
-from palisade.plans.texts import LONG
+from palisade.plans.texts import LONG, _normal
+from palisade.sources.store import Store, scratch_root
 
 PROFILES = {n: p[2:] for n, p in (policy.BUILTIN | policy.TEMPLATES).items()}
 
@@ -40,16 +41,48 @@ def sanitized(spark, sf_dir):
     return rows.select("doc_id", F.sha2(F.col("sanitized_content").cast("binary"), 256).alias("content_sha256"), "blocked", F.col("usable_chars").cast("long").alias("usable_chars"), F.size("actions").cast("long").alias("n_actions"))
 
 
-#: Every other document holds nothing but what is planted, so that hardly any prose is left after masking.
-BARE = PLANTED.replace("concat(text, CASE", "concat(CASE WHEN doc_id % 2 = 1 THEN '' ELSE text END, CASE", 1)
+#: What is planted, without the text: hardly any prose is left of it after masking.
+BARE = PLANTED.replace("concat(text, CASE", "concat('', CASE", 1)
 
 
 def only_findings(spark, sf_dir):
-    rows = spread(documents(spark, sf_dir)).select("doc_id", F.expr(BARE).alias("text"))
+    """Whole planted texts, and beside them rows (ids below 0) of what is planted alone."""
+    docs = spread(documents(spark, sf_dir))
+    rows = docs.select("doc_id", F.expr(PLANTED).alias("text")).unionByName(docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.expr(BARE).alias("text")))
     out = sanitize.sanitize(sanitize.with_policy(scan.scan_array(rows), "PUBLIC_RELEASE"))
     return out.select("doc_id", "blocked", F.col("usable_chars").cast("long").alias("usable_chars"))
 
 
+def _stored(spark, sf_dir) -> Store:
+    """The planted documents, taken into a store of their own."""
+    store = Store(spark, scratch_root(spark, "store"))
+    rows = planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".txt")).alias("filename"), F.lit("text/plain").alias("mime_type"), "text")
+    ingest.ingest_into(store, rows)
+    return store
+
+
+def ingested(spark, sf_dir):
+    """Documents, findings and audit as a reader of the store sees them after one commit."""
+    t = _stored(spark, sf_dir).tables()
+    count = lambda name: t[name].groupBy("document_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    rows = t["documents"].join(count("findings"), "document_id", "left").join(count("audit"), "document_id", "left").join(t["intelligence"].select("document_id", F.col("risk_score").alias("_r")), "document_id")
+    return rows.select(
+        F.col("document_id").cast("long").alias("doc_id"), "title", "status", F.col("metadata.sha256").alias("sha256"), F.col("size_bytes").cast("long").alias("size_bytes"), F.col("_r").cast("long").alias("risk_score"), "classification",
+        F.coalesce("n_findings", F.lit(0)).alias("n_findings"), "n_audit",
+    )
+
+
+def pipelined(spark, sf_dir):
+    """What a run leaves in the store: states, working copies, outputs (one of two types fails) and audit."""
+    store = _stored(spark, sf_dir)
+    ingest.run_pipeline_into(store, store.table("documents").select("document_id"), "PUBLIC_RELEASE", ["FAQ", "NO_SUCH"])
+    t = store.tables()
+    made = t["transformations"].groupBy("document_id").agg(F.count(F.lit(1)).alias("n_outputs"))
+    said = t["audit"].groupBy("document_id").agg(F.count_if(F.col("action") == "TRANSFORM").alias("n_transform"), F.count_if(F.col("action") == "POLICY_APPLY").alias("n_policy"))
+    rows = t["documents"].join(made, "document_id", "left").join(said, "document_id")
+    return rows.select(F.col("document_id").cast("long").alias("doc_id"), "status", F.sha2(F.col("sanitized_content").cast("binary"), 256).alias("content_sha256"), F.coalesce("n_outputs", F.lit(0)).alias("n_outputs"), "n_transform", "n_policy")
+
+
 def residual(spark, sf_dir):
     rows = sanitize.sanitize(sanitize.with_policy(_scanned(spark, sf_dir), "PUBLIC_RELEASE")).withColumn("risk_before", F.lit(100))
     return sanitize.residual_risk(rows).groupBy("blocked").agg(F.count(F.lit(1)).alias("n"), F.sum("risk_after").cast("long").alias("risk_after"))
@@ -307,8 +340,9 @@ c AS (SELECT doc_id, text, lang, trim(u[j], ' ' || chr(9)) AS claim, row_number(
 QUERIES = {
     "actions_by_policy": actions_by_policy, "decide_action": overridden_actions, "sanitize": sanitized, "usable_prose_block": only_findings, "residual_risk": residual, "policy_compare": compared, "validate_policies": bucket_errors, "recommend_profile": profiles,
     "token_diff": diffs, "sanitize_output_html": filtered, "internal_links": links, "is_internal_host": hosts, "output_dlp": leaks, "split_claims": claims, "ground_claims": grounded, "truncate_for_context": context, "offline_artefacts": artefacts,
-    "validate_outputs": validated, "benchmark_report": measured, "extract_iocs": iocs, "extract_entities": entities, "map_ttps": ttps, "tactic_counts": tactics, "key_findings": sentences, "synthesize_risks": risks, "intelligence_report": report,
+    "validate_outputs": validated, "benchmark_report": measured, "extract_iocs": iocs, "extract_entities": entities, "map_ttps": ttps, "tactic_counts": tactics, "key_findings": sentences, "synthesize_risks": risks, "intelligence_report": report, "ingest": ingested, "run_pipeline": pipelined,
 }
+_NORMAL = f"SELECT doc_id, {_normal(PLANTED)} AS text FROM documents"
 _INTERNAL = sql_string(outputs.INTERNAL)
 _INSIDE = f"(regexp_matches(h, {_INTERNAL}) OR regexp_matches(h, '(?i)^0x[0-9a-f]+$') OR (regexp_matches(replace(h, '.', ''), '^[0-9]+$') AND contains(h, '.')) OR starts_with(h, '::ffff:'))"
 SQL = {
@@ -316,7 +350,11 @@ SQL = {
     "decide_action": f"""{findings_cte()}, {_POLICIES}, o AS (SELECT doc_id, s, category, type, {_action('f.')} AS plain, CASE doc_id % 4 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'MASK' WHEN 2 THEN 'REPLACE' END AS override FROM findings f, policies WHERE profile = 'HR_SAFE')
 SELECT doc_id, s::BIGINT AS span_start, type, CASE WHEN override IS NULL THEN plain WHEN category = 'PROMPT_INJECTION' THEN 'QUARANTINE' WHEN override = 'ALLOW' AND category = 'SECRET' THEN 'REDACT' ELSE override END AS action FROM o""",
     "sanitize": f"{_sanitize_cte(_PLANTED)} SELECT doc_id, sha256(CASE WHEN blocked THEN text ELSE masked END) AS content_sha256, blocked, usable_chars, n AS n_actions FROM done",
-    "usable_prose_block": f"{_sanitize_cte(f'SELECT doc_id, {BARE} AS text FROM documents')} SELECT doc_id, blocked, usable_chars FROM done",
+    "usable_prose_block": f"{_sanitize_cte(f'SELECT doc_id, {PLANTED} AS text FROM documents UNION ALL SELECT -1 - doc_id, {BARE} FROM documents')} SELECT doc_id, blocked, usable_chars FROM done",
+    "ingest": f"""{risk_cte(_NORMAL)} SELECT doc_id, source AS title, 'SCANNED' AS status, sha256(t.text) AS sha256, strlen(t.text) AS size_bytes, total AS risk_score, classification, n AS n_findings, 2 AS n_audit
+FROM risk JOIN t USING (doc_id) JOIN (SELECT doc_id, source FROM documents) d USING (doc_id)""",
+    "run_pipeline": f"""{_sanitize_cte(_NORMAL)} SELECT doc_id, CASE WHEN blocked THEN 'BLOCKED' ELSE 'TRANSFORMED' END AS status, sha256(CASE WHEN blocked THEN text ELSE masked END) AS content_sha256,
+  CASE WHEN blocked THEN 0 ELSE 1 END AS n_outputs, CASE WHEN blocked THEN 0 ELSE 2 END AS n_transform, 1 AS n_policy FROM done""",
     "residual_risk": f"{_rescanned('PUBLIC_RELEASE')} SELECT blocked, count(*) AS n, sum(CASE WHEN blocked THEN 100 ELSE total END)::BIGINT AS risk_after FROM risk JOIN t USING (doc_id) GROUP BY blocked",
     "policy_compare": " UNION ALL ".join(f"SELECT '{p}' AS profile, * FROM ({_rescanned(p)} SELECT blocked, count(*) AS n, sum(total)::BIGINT AS risk_after FROM risk JOIN t USING (doc_id) GROUP BY blocked)" for p in ("PUBLIC_RELEASE", "HR_SAFE", "SECURITY_INCIDENT")),
     "output_dlp": _leaks_sql(),
