@@ -40,9 +40,20 @@ def sha256(c: Column) -> Column:
     return F.unhex(F.sha2(c.cast("binary"), 256))
 
 
+def locator(df: DataFrame) -> tuple[str, str]:
+    """Names for file and row that no column of ``df`` has."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for name in ("_file", "_row"):
+        while name in taken:
+            name = "_" + name
+        names.append(name)
+    return names[0], names[1]
+
+
 def with_locator(df: DataFrame, scratch: Scratch) -> DataFrame:
     """``df`` and the columns file and row of its content; a frame that is no file scan is written first."""
-    where = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    file, row = locator(df)
+    where = (F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     try:
         return df.select("*", *where)
     except AnalysisException:
@@ -79,13 +90,14 @@ def exact_dedup(
     """(decisions, content).
 
     decisions: one row per row of ``df``: id, keep_id, group_size, kept, digest, _file, _row.
-    content: ``df`` with _file and _row, by which decisions are joined back to it.
+    content: ``df`` with the place of each row, by which decisions are joined back to it; its two columns are named _file and _row, with more underscores where ``df`` has such columns (``locator``).
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     content = with_locator(df, scratch)
-    text = normalised(text_of(text_col))
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"))
+    file, row = locator(df)
+    text, id_ = normalised(text_of(f"`{text_col}`")), F.col(f"`{id_col}`")
+    place = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col(file).alias("file"), F.col(row).alias("row"))
     arrivals = scratch.save(content.select(digest(text).alias("digest"), place.alias("place")), "arrivals")
     groups = scratch.save(follow(spark, scratch.path("arrivals"), arrivals.schema, scratch, files_per_batch), "groups")
 
@@ -112,5 +124,6 @@ def exact_dedup(
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     decisions, content = exact_dedup(df, id_col, text_col)
-    stay = decisions.filter("kept").select("_file", "_row")
-    return content.join(stay, ["_file", "_row"], "left_semi").select(*df.columns)
+    file, row = locator(df)
+    stay = decisions.filter("kept").select(F.col("_file").alias(file), F.col("_row").alias(row))
+    return content.join(stay, [file, row], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.llm import ball_search, language_id, periodic, queries
+from palisade.llm import ball_search, exact_dedup, language_id, periodic, queries
 
 SCHEMA = "doc_id long, text string"
 
@@ -190,3 +190,12 @@ def test_margins_do_not_depend_on_company():
     texts = [b"one two", b"", b"three " * 90_000, "née".encode(), b"x"]
     together = model.margins(texts)
     assert np.allclose(together, np.concatenate([model.margins([t]) for t in texts]))
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "a  b", "x", 7, 1), (2, "a b", "y", 8, 2), (3, "c", "z", 9, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _file string, _ROW int, `a.b` int")
+    assert sorted(map(tuple, exact_dedup.keep_first(df).collect())) == [rows[0], rows[2]]
+    decisions, content = exact_dedup.exact_dedup(df)
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in decisions.collect()) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+    assert content.columns == [*df.columns, "__file", "__row"]
