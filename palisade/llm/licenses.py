@@ -145,7 +145,7 @@ def notices(files: DataFrame, scratch: Scratch, templates: list[tuple[str, str]]
 
     # the other terms of these parts, in all documents
     others = scratch.save(parts.select("term").distinct().filter(~F.col("term").isin(known)), "others")
-    elsewhere = files.select(F.explode(distinct).alias("term")).join(others, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    elsewhere = files.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(others, "term", "left_semi")  # counted before it is moved
     rarity = scratch.save(elsewhere.select("term", idf(F.col("n")).alias("idf")).unionByName(counted.select("term", "idf")), "rarity")
     weighed = scratch.save(parts.join(rarity, "term").select(*KEY, "part", "term", (F.col("tf") * F.col("idf")).alias("w")), "weighed")
     length = weighed.groupBy(*KEY, "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
