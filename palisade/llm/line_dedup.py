@@ -2,10 +2,12 @@
 
 A run is a table of line keys (128-bit hashes, in buckets and in order of the key) with the number of
 documents that hold the line and the largest id among them. Each new batch of documents is
-merge-anti-joined with the runs, which tells new lines from known ones without moving the runs, and is
-added as a run of level 0. Whenever a level has ``fanout`` runs they are compacted into one of the next
-level, so few runs are read however many batches came. Summing over the runs gives every line's counts
-over all documents. Runs in a named folder can be opened again and added to.
+merge-anti-joined with the runs, which tells new lines from known ones without moving the runs. New
+lines are added as a run of level 0, so that a line is in one run only; what the batch says about known
+lines is noted beside the runs. Whenever a level has ``fanout`` runs they are compacted into one of the
+next level, so few runs are read however many batches came; no line of theirs meets another, so nothing
+is summed. A line's counts are its row in the one run that has it and what was noted since, which is
+little, as most lines occur once. Runs in a named folder can be opened again and added to.
 
 A line's key is the line without white space (space, \\x09-\\x0D) at both ends and with A-Z lower-cased.
 Lines are the parts between newlines; a null or empty text is one empty line. Every row is a document
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +46,8 @@ def line_hashes(df: DataFrame, min_length: int, *columns: Column, text_col: str
 class LineRuns:
     """The runs in a shared folder. ``levels`` maps a level to its runs' names, each of which says the batches that it covers.
 
-    folder: one that stays. Runs that a compaction made needless but did not get to delete are covered by its result and left out.
+    folder: one that stays. Runs that a compaction made needless but did not get to delete are covered by its result and
+    left out; notes of a batch whose run was never finished count for nothing and are written anew with the batch.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 3, folder: str | None = None, buckets: int | None = None):
@@ -58,6 +62,7 @@ class LineRuns:
                 self.levels[level].append(name)
                 self.frames[name] = bucketed(spark, self.scratch.path(name), schema, buckets, KEY)
         self.made = 1 + max((last for _, _, last, _ in spans.values()), default=-1)
+        self.notes = [n for n in self.scratch.finished("seen-") if int(n.split("-")[1]) < self.made]
 
     def _write(self, run: DataFrame, level: int, first: int, last: int) -> DataFrame:
         name = f"run-{level}-{first:06d}-{last:06d}-{self.buckets}"
@@ -66,45 +71,48 @@ class LineRuns:
         return self.frames[name]
 
     def runs(self) -> list[DataFrame]:
-        """A line has a row in each run that met it."""
+        """A line has a row in one of them."""
         return [self.frames[n] for level in self.levels.values() for n in level]
 
     def known(self) -> DataFrame | None:
+        """h1, h2, documents, last: every line's counts over all batches."""
         names = [n for level in self.levels.values() for n in level]
-        return self._merged(names) if names else None
-
-    def _merged(self, names: list[str]) -> DataFrame:
-        """The runs' rows added up. They are read as plain files: a union of tables in equal buckets counts as in buckets itself, though it puts equal keys in several parts."""
-        return merged(self.spark.read.schema(self.frames[names[0]].schema).parquet(*map(self.scratch.path, names)))
+        if not names:
+            return None
+        lines = self._files(names)
+        if not self.notes:
+            return lines
+        noted = self._files(self.notes).groupBy(*KEY).agg(F.sum("documents").alias("more"), F.max("last").alias("later"))
+        both = lines.join(noted, KEY, "left")
+        return both.select(*KEY, (F.col("documents") + F.coalesce("more", F.lit(0))).alias("documents"), F.greatest("last", "later").alias("last"))
+
+    def _files(self, names: list[str]) -> DataFrame:
+        """The rows of several tables, read as plain files: a union of tables in equal buckets counts as in buckets itself, though it puts equal keys in several parts."""
+        return self.spark.read.schema(next(iter(self.frames.values())).schema).parquet(*map(self.scratch.path, names))
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch (id, h1, h2); returns its run: h1, h2, documents, last, fresh (met for the first time)."""
+        """Add a batch (id, h1, h2); returns its run: h1, h2, documents, last of the lines met for the first time."""
         batch = lines.groupBy(*KEY, "id").agg(F.lit(1).alias("one")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("documents"), F.max("id").alias("last"))
         before = self.runs()
         if before:
-            # what no run has met; the batch is moved to the runs' buckets once, the runs stay where they are
-            batch = self.scratch.save(batch.repartition(self.buckets, *KEY), f"batch-{self.made}")
-            fresh = batch.select(*KEY).repartition(self.buckets, *KEY)
+            # the batch is moved to the runs' buckets once, the runs stay where they are
+            batch = self.scratch.save(batch.repartition(self.buckets, *KEY), f"batch-{self.made}").repartition(self.buckets, *KEY)
+            seen = [batch.join(run.select(*KEY), KEY, "left_semi") for run in before]
+            self.notes.append(f"seen-{self.made:06d}")
+            self.scratch.save(reduce(DataFrame.unionByName, seen), self.notes[-1])
             for run in before:
-                fresh = fresh.join(run.select(*KEY), KEY, "left_anti")
-            batch = batch.join(fresh.withColumn("fresh", F.lit(True)), KEY, "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
+                batch = batch.join(run.select(*KEY), KEY, "left_anti")
         written, level = self._write(batch, 0, self.made, self.made), 0
         self.scratch.drop(f"batch-{self.made}")
         self.made += 1
         while len(self.levels[level]) >= self.fanout:
             old = self.levels.pop(level)
             ends = [int(x) for n in old for x in n.split("-")[2:4]]
-            self._write(self._merged(old), level + 1, min(ends), max(ends))
+            self._write(self._files(old), level + 1, min(ends), max(ends))
             level += 1
         return written
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.max("last").alias("last"), F.bool_or("fresh").alias("fresh"))
-
-
 def _drop(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,5 +153,4 @@ def drop_common_lines(df: DataFrame, min_length: int = 40, min_documents: int =
 
 def drop_seen_lines(lines: DataFrame, runs: LineRuns) -> DataFrame:
     """Incremental use: of a batch (id, pos, h1, h2) the lines that no earlier batch had; the batch is added to the runs."""
-    added = runs.add(lines)
-    return lines.join(added.filter("fresh").select(*KEY), KEY, "left_semi")
+    return lines.join(runs.add(lines).select(*KEY), KEY, "left_semi")
