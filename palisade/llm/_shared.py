@@ -100,6 +100,11 @@ def bucketed(spark: SparkSession, path: str, schema: T.StructType, buckets: int,
     return out
 
 
+def quoted(name: str) -> str:
+    """A column of any name, also one with dots or quotes, as ``F.col`` takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; the slow ``translate`` only where other letters occur."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm._shared import Scratch, int_lists, mix, slices
+from palisade.llm._shared import Scratch, int_lists, quoted, mix, slices
 from palisade.llm.components import components, contracted
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -486,4 +486,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     named = sets.select(id_col, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = scratch.save(named.groupBy("root").agg(F.min(id_col).alias(id_col)).select(id_col), "kept")
     scratch.drop("sets", "nodes", "forest", "members", "members-sets")
-    return df.join(kept, id_col, "left_semi").select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    return df.join(kept, id_col, "left_semi").select(*map(quoted, df.columns)).unionByName(df.filter(F.col(id_col).isNull()))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm._shared import Scratch, bucketed, mix, slices
+from palisade.llm._shared import Scratch, bucketed, mix, quoted, slices
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
@@ -240,7 +240,7 @@ def remove_repeats(df: DataFrame, window: int = 35, text_col: str = "text") -> D
     if window < 1:
         raise ValueError("window must be at least 1")
     scratch = Scratch(df.sparkSession, "substring-dedup")
-    others = [F.struct(*df.columns).alias("document")]
+    others = [F.struct(*map(quoted, df.columns)).alias("document")]
     base = _spread(df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *others), scratch, "documents")
     texts = base.select("row", "text")
     length, longer = -(-window // 4), -(-window // 2)
@@ -274,7 +274,7 @@ def remove_repeats(df: DataFrame, window: int = 35, text_col: str = "text") -> D
 
 def strip_repeats(df: DataFrame, window: int = 35, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``df`` with repeated passages cut out of its texts; texts without any stay exactly as they are."""
-    out = remove_repeats(df.select(F.struct(*df.columns).alias("original"), F.col(text_col).alias("text")), window)
+    out = remove_repeats(df.select(F.struct(*map(quoted, df.columns)).alias("original"), F.col(text_col).alias("text")), window)
     old = {c: F.col("original").getField(c).alias(c) for c in df.columns}
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("original").getField(text_col))
     old[text_col] = text.alias(text_col)
