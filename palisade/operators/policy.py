@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions import spans
+
 # Groups of finding types, which bucket each policy puts them in, and what buckets may hold.
 IDS = ["AADHAAR", "PAN", "SSN", "PASSPORT", "DRIVERS_LICENSE"]
 BANKING = ["BANK_ACCOUNT", "IBAN", "IFSC", "UPI"]
@@ -44,9 +48,9 @@ def policies(spark: SparkSession, templates: bool = False) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def bucket_errors(df: DataFrame) -> Column:
-    """array<string>: what is wrong with a policy's buckets, in order of bucket and entry."""
-    trimmed = lambda b: F.transform(F.coalesce(F.col(b), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+def bucket_errors(of: Callable[[str], Column] = F.col) -> Column:
+    """array<string>: what is wrong with a policy's buckets, in order of bucket and entry. of: the column of a bucket."""
+    trimmed = lambda b: F.transform(F.coalesce(of(b), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))))
     known = [*TYPES, *CATEGORIES, *CONTENT]
     errors = []
     for i, bucket in enumerate(BUCKETS):
@@ -60,40 +64,95 @@ def bucket_errors(df: DataFrame) -> Column:
             return out
 
         errors.append(F.filter(F.transform(entries, judge), lambda e: e.isNotNull()))
-    forbidden = F.filter(F.coalesce(F.col("allow"), F.array().cast("array<string>")), lambda x: x.isin(NEVER_ALLOWED))
+    forbidden = F.filter(F.coalesce(of("allow"), F.array().cast("array<string>")), lambda x: x.isin(NEVER_ALLOWED))
     errors.append(F.transform(forbidden, lambda x: F.concat(F.lit('allow: "'), x, F.lit('" must never be allowed.'))))
     return F.concat(*errors)
 
 
 def validate_policies(df: DataFrame) -> DataFrame:
-    return df.withColumn("errors", bucket_errors(df))
+    return df.withColumn("errors", bucket_errors())
 
 
-def apply_policy_changes(current: DataFrame, changes: DataFrame, most_custom: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(policies, rejected) after a table of changes (op, seq and a policy's columns), at most one a name.
+def fold_policy_changes(current: DataFrame, changes: DataFrame, most_custom: int = 50, scope: str | None = None) -> DataFrame:
+    """(scope, held, verdicts): custom policies by name, and what became of each change, after the changes in order of seq.
 
-    create: a new name of 2-60 capitals, digits and underscores, within ``most_custom`` custom ones, in
-    order of seq. update: null columns keep what they were; the merged buckets are validated. delete:
-    the name must exist. Built-in policies do not change.
+    changes: op, seq, name and a policy's columns, as many a name as there are; each meets what the ones
+    before it left, so a name can be deleted and created again, and a deletion makes room under the limit.
+    create: a new name of 2-60 capitals, digits and underscores that no built-in policy has, within
+    ``most_custom`` custom ones; null columns get defaults. update: null columns keep what they were, one at
+    least is given, and the merged buckets are validated. delete: the name must exist. Built-in policies do
+    not change. scope: a column of both tables that says whose policies they are, each with a limit of its
+    own (None: all are one's). What people change in one scope is folded in one task.
     """
-    fields = [f for f in current.columns if f not in ("name", "builtin")]
-    held = current.select("name", F.struct(*fields).alias("old"), "builtin", F.lit(True).alias("exists"))
-    rows = changes.join(held, "name", "left")
-    merged = rows.select("name", "op", "seq", F.coalesce("exists", F.lit(False)).alias("exists"), F.coalesce("builtin", F.lit(False)).alias("builtin"), *(F.coalesce(F.col(f) if f in changes.columns else F.lit(None), F.col(f"old.{f}")).alias(f) for f in fields))
-    checked = merged.withColumn("errors", bucket_errors(merged))
-    n_custom = current.filter(~F.col("builtin")).count()  # a table of at most a few dozen rows
-    rank = F.row_number().over(Window.partitionBy("op").orderBy("seq"))
-    reason = (
-        F.when(F.col("builtin"), "built-in policies cannot be changed")
-        .when((F.col("op") == "create") & ~(F.col("name").rlike("^[A-Z][A-Z0-9_]+$") & F.length("name").between(2, 60)), "invalid name")
-        .when((F.col("op") == "create") & F.col("exists"), "name is taken").when((F.col("op") != "create") & ~F.col("exists"), "no such policy")
-        .when((F.col("op") != "delete") & (F.size("errors") > 0), F.array_join("errors", " ")).when((F.col("op") == "create") & (rank + n_custom > most_custom), "too many custom policies")
+    fields = [f for f in current.columns if f not in ("name", "builtin", scope)]
+    kinds = {f: current.schema[f].dataType for f in fields}
+    whose = F.col(scope) if scope else F.lit("")
+    given = F.struct(*((F.col(f) if f in changes.columns else F.lit(None)).cast(kinds[f]).alias(f) for f in fields))
+    log = changes.groupBy(whose.alias("scope")).agg(F.array_sort(F.collect_list(F.struct("seq", "name", "op", given.alias("given")))).alias("log"))
+    custom = current.filter(~F.col("builtin")).groupBy(whose.alias("scope")).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(*fields)))).alias("held"))
+    rows = log.join(custom, "scope", "full")
+    held = rows.schema["held"].dataType.simpleString()
+    verdict = f"struct<seq:{changes.schema['seq'].dataType.simpleString()},name:string,op:string,reason:string,classification:string,audience:string>"
+
+    def merged(c: Column, old: Column) -> Column:
+        usual = {"classification": F.lit("INTERNAL"), "audience": F.coalesce(c["given"]["classification"], F.lit("INTERNAL")), "active": F.lit(True)}
+        value = lambda f: F.coalesce(c["given"][f], F.when(c["op"] == "create", usual.get(f, F.array().cast(kinds[f]) if f in BUCKETS else F.lit(None))).otherwise(old[f]))
+        return F.struct(*(value(f).cast(kinds[f]).alias(f) for f in fields))
+
+    def judged(c: Column, old: Column, new: Column, n: Column) -> Column:
+        create, update = c["op"] == "create", c["op"] == "update"
+        empty = F.lit(True)
+        for f in fields:
+            empty = empty & c["given"][f].isNull()
+        return F.struct(new.alias("new"), (
+            F.when(~c["op"].isin("create", "update", "delete") | c["op"].isNull(), "no such operation")
+            .when(create & ~F.coalesce(c["name"].rlike("^[A-Z][A-Z0-9_]+\\z") & F.length(c["name"]).between(2, 60), F.lit(False)), "invalid name")
+            .when(c["name"].isin(list(BUILTIN)), "built-in policies cannot be changed")
+            .when(~create & old.isNull(), "no such policy")
+            .when(update & empty, "nothing to update")
+            .when(create | update, spans.let(bucket_errors(lambda b: new[b]), lambda e: F.when(F.size(e) > 0, F.array_join(e, " ")).when(create & (n >= most_custom), "too many custom policies").when(create & old.isNotNull(), "name is taken")))
+        ).alias("reason"))
+
+    def step(state: Column, c: Column) -> Column:
+        def after(j: Column) -> Column:
+            others = F.map_filter(state["held"], lambda k, _: k != c["name"])
+            now = F.when(j["reason"].isNotNull(), state["held"]).when(c["op"] == "delete", others).otherwise(F.map_concat(others, F.create_map(c["name"], j["new"])))
+            said = F.struct(c["seq"], c["name"], c["op"], j["reason"].alias("reason"), j["new"]["classification"], j["new"]["audience"]).cast(verdict)
+            return F.struct(now.cast(held).alias("held"), F.concat(state["verdicts"], F.array(said)).alias("verdicts"))
+
+        old = lambda use: spans.let(F.struct(F.when(c["name"].isNotNull(), F.try_element_at(state["held"], c["name"])).alias("old")), lambda o: use(o["old"]))
+        return old(lambda o: spans.let(merged(c, o), lambda new: spans.let(judged(c, o, new, F.size(F.map_keys(state["held"]))), after)))
+
+    start = F.struct(F.coalesce("held", F.create_map().cast(held)).alias("held"), F.array().cast(f"array<{verdict}>").alias("verdicts"))
+    end = F.aggregate(F.coalesce("log", F.array().cast(rows.schema["log"].dataType)), start, step)
+    return rows.select("scope", end.alias("end")).select("scope", "end.held", "end.verdicts")
+
+
+def apply_policy_changes(current: DataFrame, changes: DataFrame, most_custom: int = 50, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(policies, rejected) after a table of changes, as ``fold_policy_changes`` does them; rejected: name, op, seq, reason."""
+    folded = fold_policy_changes(current, changes, most_custom, scope)
+    one = folded.select("scope", F.explode(F.map_entries("held")).alias("p"))
+    whose = {scope: F.col("scope")} if scope else {}
+    columns = {"name": F.col("p.key"), "builtin": F.lit(False), **whose}
+    custom = one.select(*(columns.get(c, F.col(f"p.value.{c}")).cast(current.schema[c].dataType).alias(c) for c in current.columns))
+    verdicts = policy_verdicts(folded)
+    rejected = verdicts.filter("reason IS NOT NULL").select(*([F.col("scope").alias(scope)] if scope else []), "name", "op", "seq", "reason")
+    return current.filter("builtin").unionByName(custom), rejected
+
+
+def policy_verdicts(folded: DataFrame) -> DataFrame:
+    """(scope, seq, name, op, reason, classification, audience): a row per change; reason is null for what was done."""
+    return folded.select("scope", F.inline("verdicts"))
+
+
+def policy_audit(verdicts: DataFrame) -> DataFrame:
+    """(document_id, actor, action, detail) of the changes that were done."""
+    done = verdicts.filter("reason IS NULL")
+    how = F.when(F.col("op") == "create", F.concat(F.lit(": "), "classification", F.lit(" for "), "audience")).otherwise("")
+    return done.select(
+        F.lit(None).cast("string").alias("document_id"), F.lit("analyst").alias("actor"), F.concat(F.lit("POLICY_"), F.upper("op")).alias("action"),
+        F.concat(F.lit("Policy "), "name", F.lit(" "), F.rtrim("op", F.lit("e")), F.lit("ed"), how).alias("detail"),
     )
-    judged = checked.withColumn("reason", reason)
-    good = judged.filter("reason is null")
-    kept = current.join(good.select("name"), "name", "left_anti")
-    new = good.filter("op <> 'delete'").select("name", *(F.col(f).cast(current.schema[f].dataType) for f in fields), F.lit(False).alias("builtin")).select(*current.columns)
-    return kept.select(*current.columns).unionByName(new), judged.filter("reason is not null").select("name", "op", "seq", "reason")
 
 
 def decide_action(category: Column, type_: Column, default: Column, buckets: Column, override: Column | None = None) -> Column:

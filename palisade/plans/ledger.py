@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.operators import policy as P
 from palisade.operators import reports as R
 
 STORE = {
@@ -30,6 +31,12 @@ STORE = {
     "store_items": ("documents", {
         "batch_id": "CAST(floor(doc_id / 12) AS BIGINT) - CASE WHEN CAST(floor(doc_id / 12) AS BIGINT) % 7 = 1 THEN 1 ELSE 0 END", "seq": "doc_id", "size_bytes": "n_chars * 2000", "error": "CASE WHEN doc_id % 13 = 0 THEN 'unreadable' END", "duplicate": "doc_id % 9 = 1", "blocked": "doc_id % 11 = 2", "pipeline": "doc_id % 2 = 0", "pipeline_error": "CASE WHEN doc_id % 17 = 4 THEN 'x' END",
     }),
+    "store_changes": ("documents", {
+        "scope": "CAST(floor(doc_id / 25) AS BIGINT)", "seq": "doc_id", "op": "CASE doc_id * 5 % 13 % 6 WHEN 3 THEN 'update' WHEN 4 THEN 'delete' WHEN 5 THEN 'update' ELSE 'create' END",
+        "name": "CASE doc_id * 11 % 17 WHEN 0 THEN 'HR_SAFE' WHEN 1 THEN 'lower' ELSE concat('POLICY_', CAST(n_chars % 5 AS STRING)) END",
+        "mask": "CASE n_chars % 7 WHEN 0 THEN NULL WHEN 1 THEN split('EMAIL', ',') WHEN 2 THEN split('PHONE', ',') WHEN 3 THEN split('EMAIL,PAN', ',') ELSE split('IBAN', ',') END",
+        "remove": "CASE n_chars % 11 WHEN 0 THEN split('PHONE', ',') WHEN 1 THEN split('EMAIL', ',') WHEN 2 THEN split(lang, ',') WHEN 3 THEN split('IBAN,SSN', ',') END",
+    }),
     "store_overrides": ("conversations", {
         "document_id": "conv_id", "seq": "turn", "finding_id": "CASE WHEN turn % 2 = 0 THEN conv_id * 1000 + turn % 3 END", "location": "CAST(turn % 3 * 10 AS STRING)", "type": "concat('T', CAST(length(text) % 7 AS STRING))",
         "action": "CASE length(text) % 3 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'MASK' ELSE 'REDACT' END",
@@ -42,7 +49,35 @@ def store(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*(F.expr(e).alias(c) for c, e in columns.items()))
 
 
-_WITH = "WITH " + ", ".join(f"{n} AS (SELECT {', '.join(f'{e} AS "{c}"' for c, e in cols.items())} FROM {t})" for n, (t, cols) in STORE.items()) + " "
+def _changed(spark, sf_dir):
+    """Each scope's changes to its own policies, of which it may have three."""
+    current = P.policies(spark).withColumn("scope", F.lit(None).cast("long"))
+    return P.fold_policy_changes(current, store(spark, sf_dir, "changes"), 3, "scope")
+
+
+def _ledger(spark, sf_dir):
+    buckets = F.col("reason").contains("unknown entry") | F.col("reason").contains("appears in both")
+    return P.policy_verdicts(_changed(spark, sf_dir)).select("scope", "seq", "name", "op", F.when(buckets, "buckets").otherwise(F.col("reason")).alias("reason"))
+
+
+def _held(spark, sf_dir):
+    rows = _changed(spark, sf_dir).select("scope", F.explode(F.map_entries("held")).alias("p"))
+    return rows.select("scope", F.col("p.key").alias("name"), F.array_join("p.value.mask", ",").alias("mask"), F.array_join("p.value.remove", ",").alias("remove"))
+
+
+#: One change a step; held: the scope's policies.
+_FOLD = """, c AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq) AS i FROM store_changes),
+st AS (SELECT scope, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS name, NULL::VARCHAR AS op, NULL::VARCHAR AS reason, []::STRUCT(n VARCHAR, m VARCHAR[], r VARCHAR[])[] AS held FROM c WHERE i = 1
+  UNION ALL SELECT scope, i, seq, name, op, reason, CASE WHEN reason IS NOT NULL THEN held WHEN op = 'delete' THEN others ELSE list_append(others, {'n': name, 'm': m, 'r': r}) END
+  FROM (SELECT *, CASE WHEN op = 'create' AND NOT regexp_full_match(name, '[A-Z][A-Z0-9_]+') THEN 'invalid name' WHEN name = 'HR_SAFE' THEN 'built-in policies cannot be changed'
+      WHEN op <> 'create' AND old IS NULL THEN 'no such policy' WHEN op = 'update' AND mask IS NULL AND remove IS NULL THEN 'nothing to update'
+      WHEN op <> 'delete' AND (len(list_intersect(m, r)) > 0 OR len(list_filter(r, lambda x: x NOT IN ('PHONE', 'EMAIL', 'IBAN', 'SSN'))) > 0) THEN 'buckets'
+      WHEN op = 'create' AND len(held) >= 3 THEN 'too many custom policies' WHEN op = 'create' AND old IS NOT NULL THEN 'name is taken' END AS reason
+    FROM (SELECT *, coalesce(mask, CASE WHEN op <> 'create' THEN old.m END, []) AS m, coalesce(remove, CASE WHEN op <> 'create' THEN old.r END, []) AS r
+      FROM (SELECT c.scope, c.i, c.seq, c.name, c.op, c.mask, c.remove, held, list_filter(held, lambda x: x.n <> c.name) AS others, list_filter(held, lambda x: x.n = c.name)[1] AS old
+        FROM st JOIN c ON st.scope = c.scope AND c.i = st.i + 1))))"""
+
+_WITH = "WITH RECURSIVE " + ", ".join(f"{n} AS (SELECT {', '.join(f'{e} AS "{c}"' for c, e in cols.items())} FROM {t})" for n, (t, cols) in STORE.items()) + " "
 
 
 def _longs(df: DataFrame) -> DataFrame:
@@ -152,6 +187,10 @@ QUERIES = {
     "search_documents": _q(lambda d: R.search_documents(d, "the", "INTERNAL", None, "risk").select("document_id", "title"), "documents"),
     "audit_feed": _q(lambda a: R.audit_feed(a, 100).select("audit_id", "action"), "audit"),
     "search_audit": _q(lambda a: R.search_audit(a, "PUR").select("audit_id"), "audit"),
+    "policy_ledger_ops": _ledger,
+    "custom_policies": _held,
+    "policy_audit": lambda spark, sf_dir: P.policy_audit(P.policy_verdicts(_changed(spark, sf_dir))).groupBy("actor", "action", "detail").agg(F.count(F.lit(1)).alias("n")),
+    "list_policies": lambda spark, sf_dir: R.list_policies(P.policies(spark, templates=True).join(store(spark, sf_dir, "transformations").groupBy(F.col("profile").alias("name")).agg(F.count(F.lit(1)).alias("n_outputs")), "name", "left"), active_only=True).select("name", "classification", "audience", "n_outputs"),
     "audit_events": _q(R.audit_events, "documents", "transformations"),
     "rescan": lambda spark, sf_dir: _longs(R.rescan(store(spark, sf_dir, "documents"), _ids(spark, sf_dir)).select("document_id", "status", "risk_after", "sanitized_content")),
 }
@@ -214,6 +253,10 @@ UNION ALL SELECT 'transformations', count(*) FROM store_transformations WHERE do
     "search_documents": "SELECT document_id, title FROM store_documents WHERE (contains(lower(title), 'the') OR contains(lower(classification), 'the') OR contains(lower(filename), 'the')) AND classification = 'INTERNAL'",
     "audit_feed": "SELECT audit_id, action FROM store_audit ORDER BY timestamp DESC, audit_id DESC LIMIT 100",
     "search_audit": "SELECT audit_id FROM store_audit WHERE contains(lower(detail), 'pur') OR contains(lower(actor), 'pur') OR contains(lower(action), 'pur')",
+    "policy_ledger_ops": _FOLD + " SELECT scope, seq, name, op, reason FROM st WHERE i > 0",
+    "custom_policies": _FOLD + ", e AS (SELECT scope, unnest(held) AS p FROM st QUALIFY i = max(i) OVER (PARTITION BY scope)) SELECT scope, p.n AS name, array_to_string(p.m, ',') AS mask, array_to_string(p.r, ',') AS remove FROM e",
+    "policy_audit": _FOLD + " SELECT 'analyst' AS actor, 'POLICY_' || upper(op) AS action, 'Policy ' || name || CASE op WHEN 'create' THEN ' created: INTERNAL for INTERNAL' WHEN 'update' THEN ' updated' ELSE ' deleted' END AS detail, count(*) AS n FROM st WHERE i > 0 AND reason IS NULL GROUP BY ALL",
+    "list_policies": "SELECT name, classification, audience, n AS n_outputs FROM (VALUES " + ", ".join(f"('{n}', '{v[0]}', '{v[1]}')" for n, v in (P.BUILTIN | P.TEMPLATES).items()) + ") p(name, classification, audience) LEFT JOIN (SELECT profile, count(*) AS n FROM store_transformations GROUP BY profile) ON profile = name",
     "audit_events": """SELECT document_id, 'api' AS actor, 'UPLOAD' AS action, 'Uploaded ' || filename || ' (' || size_bytes || ' bytes)' AS detail FROM store_documents
 UNION ALL SELECT document_id, 'scanner', 'SCAN', 'Risk ' || risk_before || ', ' || classification FROM store_documents WHERE status <> 'UPLOADED'
 UNION ALL SELECT document_id, 'policy', 'POLICY_APPLY', 'Risk ' || risk_before || ' to ' || risk_after FROM store_documents WHERE status IN ('SANITIZED', 'TRANSFORMED', 'BLOCKED')

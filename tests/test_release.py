@@ -44,6 +44,32 @@ def test_policy_changes(spark):
     assert now.count() == 6 and {r["name"] for r in rejected.collect()} == {"HR_SAFE", "bad", "NONE_SUCH"}
 
 
+def test_policy_changes_in_order(spark):
+    """Each change meets what the ones before it left, and every scope has a limit of its own."""
+    kind = "team string, seq int, op string, name string, mask array<string>, remove array<string>, audience string"
+    rows = [
+        ("a", 1, "create", "ONE", ["EMAIL"], None, None), ("a", 2, "create", "TWO", None, None, "HR"), ("a", 3, "create", "SIX", None, None, None), ("a", 4, "create", "ONE", None, None, None),
+        ("a", 5, "update", "ONE", None, ["EMAIL"], None), ("a", 6, "update", "ONE", None, None, None), ("a", 7, "delete", "TWO", None, None, None), ("a", 8, "update", "TWO", ["PHONE"], None, None),
+        ("a", 9, "create", "TWO", None, ["IBAN"], None), ("a", 10, "update", "ONE", ["PHONE"], None, None), ("a", 11, "update", "ONE", None, ["EMAIL"], None), ("a", 12, "rename", "ONE", None, None, None),
+        ("a", 13, "create", None, None, None, None), ("a", 14, "create", "HR_SAFE", None, None, None), ("a", 15, "delete", "HR_SAFE", None, None, None), ("a", 16, "create", "X\n", None, None, None),
+        ("b", 1, "create", "ONE", None, None, None), (None, 1, "delete", "ONE", None, None, None),
+    ]
+    current = policy.policies(spark).withColumn("team", F.lit(None).cast("string"))
+    current = current.unionByName(current.limit(1).withColumns({"name": F.lit("OLD"), "builtin": F.lit(False), "team": F.lit("c")}))
+    changes = spark.createDataFrame(rows, kind)
+    now, rejected = policy.apply_policy_changes(current, changes, most_custom=2, scope="team")
+    assert {(r["team"], r["seq"]): r["reason"] for r in rejected.collect()} == {
+        ("a", 3): "too many custom policies", ("a", 4): "too many custom policies", ("a", 5): '"EMAIL" appears in both mask and remove.', ("a", 6): "nothing to update", ("a", 8): "no such policy",
+        ("a", 12): "no such operation", ("a", 13): "invalid name", ("a", 14): "built-in policies cannot be changed", ("a", 15): "built-in policies cannot be changed", ("a", 16): "invalid name", (None, 1): "no such policy",
+    }
+    assert {(r["team"], r["name"]): (r["mask"], r["remove"], r["audience"], r["active"]) for r in now.filter("not builtin AND name <> 'OLD'").collect()} == {
+        ("a", "ONE"): (["PHONE"], ["EMAIL"], "INTERNAL", True), ("a", "TWO"): ([], ["IBAN"], "INTERNAL", True), ("b", "ONE"): ([], [], "INTERNAL", True),
+    }
+    assert now.filter("builtin").count() == 5 and now.filter("name = 'OLD' AND team = 'c'").count() == 1 and now.columns == current.columns
+    said = policy.policy_audit(policy.policy_verdicts(policy.fold_policy_changes(current, changes, 2, "team"))).groupBy("action").count()
+    assert {r["action"]: r["count"] for r in said.collect()} == {"POLICY_CREATE": 4, "POLICY_UPDATE": 2, "POLICY_DELETE": 1}
+
+
 @pytest.mark.parametrize("text,expected", [
     ("<script>x</script> hi", "&lt;script&gt;x&lt;/script&gt; hi"), ('<b onclick="x">t</b>', "<b>t</b>"), ("[a](http://10.0.0.9/p)", "[a](#internal-url-redacted)"),
     ("[a](https://ok.test/?next=http://10.0.0.9/)", "[a](#internal-url-redacted)"), ("[a](https://ok.test/guide)", "[a](https://ok.test/guide)"), ("system: do it", "System (as data): do it"), (None, ""),
