@@ -259,6 +259,33 @@ def audit_events(documents: DataFrame, transformations: DataFrame) -> DataFrame:
     return upload.unionByName(scan).unionByName(policy).unionByName(made).unionByName(dlp)
 
 
+def bulk_audit(batches: DataFrame) -> DataFrame:
+    """(document_id, actor, action, detail): a row per batch of ``bulk_summary``."""
+    counts = [F.concat(F.col(c).cast("string"), F.lit(f" {c}")) for c in OUTCOMES if c in batches.columns]
+    detail = F.concat(F.lit("Batch "), F.col("batch_id").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" files: "), F.concat_ws(", ", *counts))
+    return batches.select(F.lit(None).cast("string").alias("document_id"), F.lit("analyst").alias("actor"), F.lit("BULK_INGEST").alias("action"), detail.alias("detail"))
+
+
+def deletion_audit(gone: DataFrame, bulk: bool = True, named: int = 5) -> DataFrame:
+    """(document_id, actor, action, detail) for deleted documents (document_id, title): one row that names the first few by id, or, unless ``bulk``, one each; none for none."""
+    quoted = F.concat(F.lit('"'), F.coalesce("title", F.lit("")), F.lit('"'))
+    said = lambda rows, action, detail: rows.select(F.lit(None).cast("string").alias("document_id"), F.lit("analyst").alias("actor"), F.lit(action).alias("action"), detail.alias("detail"))
+    if not bulk:
+        return said(gone, "DELETE", F.concat(F.lit("Deleted "), F.col("document_id").cast("string"), F.lit(" "), quoted))
+    first = gone.select("document_id", quoted.alias("title")).orderBy("document_id").limit(named).agg(F.array_sort(F.collect_list(F.struct("document_id", "title"))).alias("first"))
+    rows = gone.agg(F.count(F.lit(1)).alias("n")).join(first).filter("n > 0")
+    more = F.when(F.col("n") > named, F.concat(F.lit(" and "), (F.col("n") - named).cast("string"), F.lit(" more"))).otherwise("")
+    return said(rows, "BULK_DELETE", F.concat(F.lit("Deleted "), F.col("n").cast("string"), F.lit(": "), F.array_join(F.transform("first", lambda x: x["title"]), ", "), more))
+
+
+def comparison_audit(compared: DataFrame) -> DataFrame:
+    """(document_id, actor, action, detail): a row per document and output type whose policies (document_id, output_type, profile) were compared, at most a few dozen."""
+    names = F.array_sort(F.collect_set("profile"))
+    rows = compared.groupBy("document_id", "output_type").agg(names.alias("names"))
+    detail = F.concat(F.lit("Compared "), F.size("names").cast("string"), F.lit(" policies for "), "output_type", F.lit(": "), F.array_join("names", ", "))
+    return rows.select("document_id", F.lit("policy_engine").alias("actor"), F.lit("POLICY_COMPARE").alias("action"), detail.alias("detail"))
+
+
 def rescan(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """``documents`` with those listed set back: scanned, without a sanitized copy and risk after."""
     marked = documents.join(ids.select("document_id").distinct().withColumn("_again", F.lit(True)), "document_id", "left")

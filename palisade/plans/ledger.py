@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import policy as P
 from palisade.operators import reports as R
+from palisade.streaming import stream
 
 STORE = {
     "store_documents": ("documents", {
@@ -65,6 +66,27 @@ def _held(spark, sf_dir):
     return rows.select("scope", F.col("p.key").alias("name"), F.array_join("p.value.mask", ",").alias("mask"), F.array_join("p.value.remove", ",").alias("remove"))
 
 
+def _other_audit(spark, sf_dir):
+    """What batches, deletions and comparisons leave in the audit."""
+    docs = store(spark, sf_dir, "documents")
+    gone = docs.join(_ids(spark, sf_dir).distinct(), "document_id", "left_semi").select("document_id", "title")
+    rows = R.bulk_audit(R.bulk_summary(R.bulk_outcomes(store(spark, sf_dir, "items"))))
+    rows = rows.unionByName(R.deletion_audit(gone)).unionByName(R.deletion_audit(docs.filter("status = 'BLOCKED'"), bulk=False))
+    return rows.unionByName(R.comparison_audit(store(spark, sf_dir, "transformations").withColumn("document_id", F.col("document_id").cast("string"))))
+
+
+def _choices(spark, sf_dir):
+    """The findings that each choice of a reviewer is open to."""
+    found = store(spark, sf_dir, "findings").filter("stage = 'INPUT'").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return _longs(P.allowed_override_actions(spark).join(found, "category"))
+
+
+def _audit_counts(spark, sf_dir):
+    """The running counts of the audit's stream, over all of it at once."""
+    rows = stream.stream_audit_counts(store(spark, sf_dir, "audit"))
+    return rows.select(F.date_format("since", "yyyy-MM-dd HH:mm").alias("since"), "action", "n")
+
+
 #: One change a step; held: the scope's policies.
 _FOLD = """, c AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq) AS i FROM store_changes),
 st AS (SELECT scope, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS name, NULL::VARCHAR AS op, NULL::VARCHAR AS reason, []::STRUCT(n VARCHAR, m VARCHAR[], r VARCHAR[])[] AS held FROM c WHERE i = 1
@@ -191,6 +213,9 @@ QUERIES = {
     "custom_policies": _held,
     "policy_audit": lambda spark, sf_dir: P.policy_audit(P.policy_verdicts(_changed(spark, sf_dir))).groupBy("actor", "action", "detail").agg(F.count(F.lit(1)).alias("n")),
     "list_policies": lambda spark, sf_dir: R.list_policies(P.policies(spark, templates=True).join(store(spark, sf_dir, "transformations").groupBy(F.col("profile").alias("name")).agg(F.count(F.lit(1)).alias("n_outputs")), "name", "left"), active_only=True).select("name", "classification", "audience", "n_outputs"),
+    "other_audit_events": _other_audit,
+    "allowed_override_actions": _choices,
+    "audit_counts": _audit_counts,
     "audit_events": _q(R.audit_events, "documents", "transformations"),
     "rescan": lambda spark, sf_dir: _longs(R.rescan(store(spark, sf_dir, "documents"), _ids(spark, sf_dir)).select("document_id", "status", "risk_after", "sanitized_content")),
 }
@@ -200,6 +225,7 @@ _SHARES = ", ".join(f"floor(100.0::DOUBLE * {s.lower()} / (low + medium + high +
 _OUT = ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in R.OUTCOMES if "fail" not in o)
 _OUTCOME = "CASE WHEN bad THEN 'failed' WHEN duplicate THEN 'skipped' WHEN pipeline AND blocked THEN 'blocked' WHEN pipeline AND pipeline_error IS NOT NULL THEN 'pipeline-failed' WHEN pipeline THEN 'pipelined' ELSE 'ingested' END"
 _BAD = "SELECT *, count(*) OVER b > 20 OR sum(size_bytes) OVER b > 104857600 OR error IS NOT NULL AS bad FROM store_items WINDOW b AS (PARTITION BY batch_id)"
+_COUNTED = {o: "IN ('failed', 'pipeline-failed')" if o == "failed" else f"= '{o}'" for o in R.OUTCOMES if o != "pipeline-failed"}
 _LAST = "(SELECT * FROM store_transformations QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, transformation_id DESC) = 1)"
 _GONE = "(SELECT DISTINCT doc_id * 2 AS document_id FROM labels WHERE toxic = 1 AND doc_id * 2 IN (SELECT doc_id FROM documents))"
 _TOTALS = "SELECT count(*) AS reports, sum(n_chars % 7 + 1)::BIGINT AS n_entities, sum(n_chars % 5 + 1)::BIGINT AS n_iocs, sum(CASE WHEN doc_id % 9 > 0 THEN n_chars % 3 + 1 ELSE 0 END)::BIGINT AS n_ttps FROM documents"
@@ -257,6 +283,13 @@ UNION ALL SELECT 'transformations', count(*) FROM store_transformations WHERE do
     "custom_policies": _FOLD + ", e AS (SELECT scope, unnest(held) AS p FROM st QUALIFY i = max(i) OVER (PARTITION BY scope)) SELECT scope, p.n AS name, array_to_string(p.m, ',') AS mask, array_to_string(p.r, ',') AS remove FROM e",
     "policy_audit": _FOLD + " SELECT 'analyst' AS actor, 'POLICY_' || upper(op) AS action, 'Policy ' || name || CASE op WHEN 'create' THEN ' created: INTERNAL for INTERNAL' WHEN 'update' THEN ' updated' ELSE ' deleted' END AS detail, count(*) AS n FROM st WHERE i > 0 AND reason IS NULL GROUP BY ALL",
     "list_policies": "SELECT name, classification, audience, n AS n_outputs FROM (VALUES " + ", ".join(f"('{n}', '{v[0]}', '{v[1]}')" for n, v in (P.BUILTIN | P.TEMPLATES).items()) + ") p(name, classification, audience) LEFT JOIN (SELECT profile, count(*) AS n FROM store_transformations GROUP BY profile) ON profile = name",
+    "other_audit_events": f"""SELECT NULL::VARCHAR AS document_id, 'analyst' AS actor, 'BULK_INGEST' AS action, 'Batch ' || batch_id || ' of ' || count(*) || ' files: ' || {" || ', ' || ".join(f"count(*) FILTER (outcome {test}) || ' {o}'" for o, test in _COUNTED.items())} AS detail
+  FROM (SELECT batch_id, {_OUTCOME} AS outcome FROM ({_BAD})) GROUP BY batch_id
+UNION ALL SELECT NULL, 'analyst', 'BULK_DELETE', 'Deleted ' || n || ': ' || (SELECT string_agg('"' || title || '"', ', ' ORDER BY document_id) FROM (SELECT * FROM store_documents WHERE document_id IN {_GONE} ORDER BY document_id LIMIT 5)) || CASE WHEN n > 5 THEN ' and ' || (n - 5) || ' more' ELSE '' END FROM (SELECT count(*) AS n FROM {_GONE}) WHERE n > 0
+UNION ALL SELECT NULL, 'analyst', 'DELETE', 'Deleted ' || document_id || ' "' || coalesce(title, '') || '"' FROM store_documents WHERE status = 'BLOCKED'
+UNION ALL SELECT document_id::VARCHAR, 'policy_engine', 'POLICY_COMPARE', 'Compared ' || count(DISTINCT profile) || ' policies for ' || output_type || ': ' || string_agg(DISTINCT profile, ', ' ORDER BY profile) FROM store_transformations GROUP BY document_id, output_type""",
+    "allowed_override_actions": "SELECT c.category, position::BIGINT AS position, action, n FROM (VALUES " + ", ".join(f"('{c}', {i}, '{a}')" for c, xs in P.CHOICES.items() for i, a in enumerate(xs)) + ") c(category, position, action) JOIN (SELECT category, count(*) AS n FROM store_findings WHERE stage = 'INPUT' GROUP BY category) f ON f.category = c.category",
+    "audit_counts": "SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M') AS since, action, count(*) AS n FROM store_audit GROUP BY ALL",
     "audit_events": """SELECT document_id, 'api' AS actor, 'UPLOAD' AS action, 'Uploaded ' || filename || ' (' || size_bytes || ' bytes)' AS detail FROM store_documents
 UNION ALL SELECT document_id, 'scanner', 'SCAN', 'Risk ' || risk_before || ', ' || classification FROM store_documents WHERE status <> 'UPLOADED'
 UNION ALL SELECT document_id, 'policy', 'POLICY_APPLY', 'Risk ' || risk_before || ' to ' || risk_after FROM store_documents WHERE status IN ('SANITIZED', 'TRANSFORMED', 'BLOCKED')

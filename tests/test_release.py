@@ -162,3 +162,15 @@ def test_risk_trend(spark):
     docs = spark.createDataFrame([(i, i, "UPLOADED", i, 0) for i in range(15)], "document_id int, created_at int, status string, risk_before int, risk_after int")
     rows = reports.risk_trend(docs).collect()
     assert [r["label"] for r in rows] == [f"D{i}" for i in range(1, 15)] and rows[0]["document_id"] == 1 and rows[0]["after"] == 1
+
+
+def test_running_counts_drop_late_events(spark, tmp_path):
+    """An event behind the watermark is not counted; one that is late within it is; a window comes out once it is final."""
+    kind = "timestamp timestamp, action string"
+    files_ = [["10:05", "10:40", "11:10"], ["10:50", "15:00"], ["10:20", "14:30", "15:30"], ["23:00"]]
+    for i, times in enumerate(files_):
+        rows = spark.createDataFrame([(f"2024-01-01 {t}:00", "SCAN") for t in times], "t string, action string").selectExpr("CAST(t AS timestamp) AS timestamp", "action")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream.run_once(stream.stream_audit_counts(stream.read_documents(spark, f"{tmp_path}/in", kind, 1)), f"{tmp_path}/out", f"{tmp_path}/check")
+    out = spark.read.parquet(f"{tmp_path}/out").select(F.date_format("since", "HH:mm").alias("since"), "action", "n").collect()
+    assert sorted(map(tuple, out)) == [("10:00", "SCAN", 3), ("11:00", "SCAN", 1), ("14:00", "SCAN", 1), ("15:00", "SCAN", 2)]
