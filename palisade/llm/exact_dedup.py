@@ -60,6 +60,8 @@ def locator(df: DataFrame) -> tuple[str, str]:
 
 #: A digest with one row of so many at least is hot, so at most this many digests are; the rows of each are dealt to so many tasks.
 HOT, DEALT = 1000, 64
+#: Bits of the map of digests that were hit: 8 MB, in pieces of 4 KB, whatever the table's size. A fuller map lets more texts through to the join, which decides.
+BITS, PIECE = 1 << 26, 1 << 15
 
 
 def with_locator(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -98,6 +100,16 @@ def follow(spark: SparkSession, schema: T.StructType, scratch: Scratch, call: in
     return rows.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
 
 
+def maybe_in(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows whose digest's bit is set in a bitmap of ``digests``: all that are among them, and a few others."""
+    bit = F.pmod(F.xxhash64("digest"), F.lit(BITS))
+    piece, at = F.floor(bit / PIECE).alias("piece"), F.bitmap_bit_position(bit).alias("at")
+    pieces = digests.select(piece, at).groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(at div 8 AS int) + 1, 1)), 16, 10) AS int)")
+    found = rows.withColumns({"piece": piece, "at": at}).join(F.broadcast(pieces), "piece")
+    return found.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 AS int))")) != 0).select(rows.columns)
+
+
 def fetched(places: DataFrame, field: T.StructField) -> DataFrame:
     """(digest, place, text) of places in files of earlier calls. The driver learns the files' names, not the rows."""
     spark = places.sparkSession
@@ -141,7 +153,8 @@ def exact_dedup(
     hot = F.broadcast(groups.filter(F.col("n") * HOT >= total).select("digest", F.lit(True).alias("hot")))
     salts = F.when(F.col("n") * HOT >= total, F.sequence(F.lit(0), F.lit(DEALT - 1))).otherwise(F.array(F.lit(0)))
     hit = groups.filter("n > 1").select("digest", F.explode(salts).alias("salt"))
-    texts = content.select(digest(text).alias("digest"), text.alias("text"), F.pmod(F.xxhash64(file, row), F.lit(DEALT)).cast("int").alias("salt")).join(hot, "digest", "left")
+    texts = content.select(digest(text).alias("digest"), text.alias("text"), F.pmod(F.xxhash64(file, row), F.lit(DEALT)).cast("int").alias("salt"))
+    texts = maybe_in(texts, groups.filter("n > 1")).join(hot, "digest", "left")
     texts = texts.withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(0)).join(hit, ["digest", "salt"], "left_semi").select("digest", "text")
     earlier = groups.filter(F.col("first.call") < call).select("digest", F.col("first").alias("place"))
     if call:

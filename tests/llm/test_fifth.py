@@ -32,7 +32,7 @@ def expected(calls):
     return out
 
 
-@pytest.mark.parametrize("digest,as_files", zip(DIGESTS, (False, True)))
+@pytest.mark.parametrize("digest,as_files", list(zip(DIGESTS, (False, True))))
 def test_a_later_call_goes_on(spark, tmp_path, digest, as_files):
     """Frames of files, also in folders with odd names, and frames of rows; also with one digest for all texts."""
     got = []
@@ -72,3 +72,12 @@ def test_a_call_that_was_cut_off(spark, tmp_path, digest, monkeypatch):
     decisions, _ = exact_dedup.exact_dedup(frames[2], digest=digest, folder=folder)
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in decisions.collect()), key=str)
     assert got == expected([CALLS[0], CALLS[2]])[1]
+
+
+def test_bitmap_lets_all_hits_through(spark, monkeypatch):
+    """With few bits, so that others share them: none of the digests is lost, others mostly go."""
+    monkeypatch.setattr(exact_dedup, "BITS", 1 << 16)
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).cast("binary").alias("digest"), "id")
+    got = {r["id"] for r in exact_dedup.maybe_in(rows, rows.filter("id % 7 = 0")).collect()}
+    assert {i for i in range(0, 5000, 7)} <= got and len(got) < 900
+    assert exact_dedup.maybe_in(rows, rows.limit(0)).count() == 0
