@@ -333,6 +333,30 @@ c AS (SELECT *, CASE WHEN regexp_matches(lower(f), '{intel.FACTS}') THEN 3.0 ELS
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) - 1 AS k FROM c)
 SELECT doc_id, k AS i, left(f, 240) AS finding, score::DOUBLE AS score, instr(text, f) - 1 AS span_start FROM o WHERE (score >= 2 AND k < 5) OR k = 0"""
 
+def _reports_sql() -> str:
+    """..., found AS: what was extracted of each document, r AS: its risks in order (o)."""
+    of = lambda q, columns: f"(SELECT doc_id, {columns} FROM ({q}) GROUP BY doc_id)"
+    in_category = ", ".join(f"count(*) FILTER (category = '{c}') AS {n}" for c, n in (("PII", "pii"), ("SECRET", "secrets"), ("PROMPT_INJECTION", "injections")))
+    names = "string_agg(mitre_id || ' (' || technique || ')', ', ' ORDER BY o) AS techniques"
+    techniques = ", ".join(f"('{m}', '{t}')" for m, t, *_ in intel.TTPS)
+    ttps = f"{_ttp_cte()} SELECT doc_id, o, mitre_id, severity, technique FROM ttps JOIN (VALUES {techniques}) AS v(mitre_id, technique) USING (mitre_id)"
+    rules = [
+        ("pii > 0", "CASE WHEN pii > 5 THEN 'Data Exposure' ELSE 'PII Handling' END", "CASE WHEN pii > 5 THEN 'HIGH' ELSE 'MEDIUM' END", "CASE WHEN pii > 5 THEN 35 ELSE 15 END", "pii"),
+        ("secrets > 0", "'Credential Exposure'", "'CRITICAL'", "45", "secrets"),
+        ("injections > 0", "'Prompt Injection'", "'CRITICAL'", "40", "injections"),
+        ("n_iocs > 0", "'Infrastructure Exposure'", "CASE WHEN high > 0 THEN 'HIGH' ELSE 'MEDIUM' END", "20 + high * 5", "n_iocs"),
+        ("n_ttps > 0", "'Adversarial Behavior'", "CASE WHEN critical > 0 THEN 'CRITICAL' ELSE 'HIGH' END", "25 + n_ttps * 3", "n_ttps"),
+        ("contains(lower(text), 'root cause') OR contains(lower(text), 'postmortem')", "'Operational Learning'", "'LOW'", "5", "1"),
+    ]
+    risks = " UNION ALL ".join(f"SELECT doc_id, {o} AS o, {c} AS category, {s} AS severity, ({p})::BIGINT AS score, ({n})::BIGINT AS n FROM found WHERE {when}" for o, (when, c, s, p, n) in enumerate(rules))
+    counts = ["pii", "secrets", "injections", "n_iocs", "high", "n_ttps", "critical", "n_entities", "n_key_findings"]
+    return f"""{findings_cte()}, found AS (SELECT t.doc_id, text, techniques, {", ".join(f"coalesce({c}, 0) AS {c}" for c in counts)} FROM t
+  LEFT JOIN {of("SELECT * FROM findings", in_category)} USING (doc_id) LEFT JOIN {of(_iocs_sql(), "count(*) AS n_iocs, count(*) FILTER (severity = 'HIGH') AS high")} USING (doc_id)
+  LEFT JOIN {of(ttps, f"count(*) AS n_ttps, count(*) FILTER (severity = 'CRITICAL') AS critical, {names}")} USING (doc_id)
+  LEFT JOIN {of(_entities_sql(), "count(*) AS n_entities")} USING (doc_id) LEFT JOIN {of(_SENTENCES, "count(*) AS n_key_findings")} USING (doc_id)),
+r AS ({risks})"""
+
+
 _CLAIMS = f"""l AS (SELECT doc_id, text, lang, i, trim(regexp_replace(x[i], '^[-*•0-9.) \\t]+', '')) AS line FROM (SELECT doc_id, text, lang, string_split_regex({CLAIMS}, '\\n+') AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)),
 s AS (SELECT *, CASE WHEN line = '' THEN [] WHEN len(regexp_extract_all(line, '[^.!?]{{10,}}[.!?]|[^.!?]{{10,}}$')) > 0 THEN regexp_extract_all(line, '[^.!?]{{10,}}[.!?]|[^.!?]{{10,}}$') ELSE [line] END AS u FROM l),
 c AS (SELECT doc_id, text, lang, trim(u[j], ' ' || chr(9)) AS claim, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS i FROM s, unnest(range(1, len(u) + 1)) AS r(j) WHERE length(trim(u[j], ' ' || chr(9))) >= 10)"""
@@ -380,4 +404,9 @@ SELECT doc_id, count(*) AS n_claims, count(*) FILTER (ok) AS n_grounded, CASE WH
     "map_ttps": f"{_ttp_cte()} SELECT doc_id, mitre_id, tactic, keyword, span_start, CASE WHEN length(keyword) > 10 THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM ttps",
     "tactic_counts": f"{_ttp_cte()} SELECT tactic, count(*) AS n FROM ttps GROUP BY tactic",
     "key_findings": _SENTENCES,
+    "synthesize_risks": f"{_reports_sql()} SELECT doc_id, category, severity, score, n FROM r",
+    "intelligence_report": f"""{_reports_sql()}, top AS (SELECT doc_id, count(*) AS n_risks, arg_min(category, o) AS category, arg_min(severity, o) AS severity FROM r GROUP BY doc_id)
+SELECT doc_id, n_entities, n_iocs, n_ttps, coalesce(n_risks, 0) AS n_risks, n_key_findings, 'Analyzed ' || len(string_split_regex(text, '[ \\t\\n\\r]+')) || ' words across ' || greatest(1, ceil(len(string_split(text, chr(10))) / 40.0))::BIGINT || ' pages. Detected '
+  || n_entities || ' entities, ' || n_iocs || ' IOCs, ' || n_ttps || ' TTP(s). ' || CASE WHEN n_ttps > 0 THEN 'ATT&CK: ' || techniques || '. ' ELSE '' END
+  || CASE WHEN category IS NULL THEN 'No risk stands out.' ELSE 'Top risk: ' || category || ' (' || severity || ').' END AS summary FROM found LEFT JOIN top USING (doc_id)""",
 }
