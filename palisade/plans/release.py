@@ -246,11 +246,11 @@ def _rescanned(profile: str) -> str:
     return risk_cte(f"SELECT doc_id, CASE WHEN blocked THEN text ELSE masked END AS text, blocked FROM ({_sanitize_cte(_PLANTED, profile)} SELECT * FROM done)")
 
 
-def _leaks_sql() -> str:
+def _leaks_sql(source: str = _PLANTED) -> str:
     passes = passes_sql()
     merged = " UNION ALL ".join(f"SELECT doc_id, s, e, masked, type, category, {i} AS o FROM {n}" for i, n in enumerate(("pii", "secrets", "injections")))
     fold = "list_reduce(list_concat([{'s': -1, 'e': -1, 'r': t.text}], coalesce(l, [])), lambda a, x: {'s': -1, 'e': -1, 'r': a.r[1:x.s] || x.r || a.r[x.e + 1:]}).r"
-    return f"""WITH t AS MATERIALIZED ({_PLANTED}), {", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in passes.items())}, merged AS ({merged}),
+    return f"""WITH t AS MATERIALIZED ({source}), {", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in passes.items())}, merged AS ({merged}),
 g AS (SELECT doc_id, list({{'s': s, 'e': e, 'r': CASE WHEN masked <> '' THEN masked ELSE '[REDACTED]' END}} ORDER BY s DESC, o) AS l, count(*) AS n, bool_or(type = 'PASSWORD' OR category = 'PROMPT_INJECTION') AS refused FROM merged GROUP BY doc_id)
 SELECT t.doc_id, n IS NULL AS passed, coalesce(n, 0) AS n_leaks, coalesce(refused, false) AS refused, sha256({fold}) AS repaired_sha256 FROM t LEFT JOIN g ON t.doc_id = g.doc_id"""
 
@@ -357,6 +357,16 @@ def _reports_sql() -> str:
 r AS ({risks})"""
 
 
+def _benchmark_sql() -> str:
+    """Each category's documents under its policy, then the results scanned again."""
+    categories = [(0, "INJECTION", "SECURITY_INCIDENT"), (1, "PII_HEAVY", "PUBLIC_RELEASE"), (2, "SECRET_HEAVY", "SECURITY_INCIDENT"), (3, "SAFE", "INTERNAL_SUMMARY")]
+    done = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, '{p}' AS profile, blocked, CASE WHEN blocked THEN text ELSE masked END AS text FROM ({_sanitize_cte(f'{_PLANTED} WHERE doc_id % 4 = {k}', p)} SELECT * FROM done)" for k, c, p in categories)
+    text = "SELECT doc_id, text FROM sanitized"
+    return f"""WITH sanitized AS MATERIALIZED ({done}), b AS ({risk_cte(_PLANTED)} SELECT doc_id, n, total FROM risk), a AS ({risk_cte(text)} SELECT doc_id, total FROM risk), k AS (SELECT doc_id, n_leaks FROM ({_leaks_sql(text)}))
+SELECT doc_id AS document_id, category, profile, b.n AS n_findings, b.total AS risk_before, x.after AS risk_after, b.total - x.after AS delta, n_leaks AS leakage, blocked
+FROM sanitized JOIN b USING (doc_id) JOIN (SELECT doc_id, CASE WHEN blocked THEN b.total ELSE a.total END AS after FROM sanitized JOIN a USING (doc_id) JOIN b USING (doc_id)) x USING (doc_id) JOIN k USING (doc_id)"""
+
+
 _CLAIMS = f"""l AS (SELECT doc_id, text, lang, i, trim(regexp_replace(x[i], '^[-*•0-9.) \\t]+', '')) AS line FROM (SELECT doc_id, text, lang, string_split_regex({CLAIMS}, '\\n+') AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)),
 s AS (SELECT *, CASE WHEN line = '' THEN [] WHEN len(regexp_extract_all(line, '[^.!?]{{10,}}[.!?]|[^.!?]{{10,}}$')) > 0 THEN regexp_extract_all(line, '[^.!?]{{10,}}[.!?]|[^.!?]{{10,}}$') ELSE [line] END AS u FROM l),
 c AS (SELECT doc_id, text, lang, trim(u[j], ' ' || chr(9)) AS claim, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS i FROM s, unnest(range(1, len(u) + 1)) AS r(j) WHERE length(trim(u[j], ' ' || chr(9))) >= 10)"""
@@ -404,6 +414,7 @@ SELECT doc_id, count(*) AS n_claims, count(*) FILTER (ok) AS n_grounded, CASE WH
     "map_ttps": f"{_ttp_cte()} SELECT doc_id, mitre_id, tactic, keyword, span_start, CASE WHEN length(keyword) > 10 THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM ttps",
     "tactic_counts": f"{_ttp_cte()} SELECT tactic, count(*) AS n FROM ttps GROUP BY tactic",
     "key_findings": _SENTENCES,
+    "benchmark_report": _benchmark_sql(),
     "synthesize_risks": f"{_reports_sql()} SELECT doc_id, category, severity, score, n FROM r",
     "intelligence_report": f"""{_reports_sql()}, top AS (SELECT doc_id, count(*) AS n_risks, arg_min(category, o) AS category, arg_min(severity, o) AS severity FROM r GROUP BY doc_id)
 SELECT doc_id, n_entities, n_iocs, n_ttps, coalesce(n_risks, 0) AS n_risks, n_key_findings, 'Analyzed ' || len(string_split_regex(text, '[ \\t\\n\\r]+')) || ' words across ' || greatest(1, ceil(len(string_split(text, chr(10))) / 40.0))::BIGINT || ' pages. Detected '

@@ -8,7 +8,7 @@ import pytest
 from palisade.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOICE = ["detect_email", "detect_phone", "detect_assigned_credential", "scan", "risk_scores", "normalize_text", "text_quality", "sanitize", "sanitize_output_html", "extract_iocs", "key_findings", "resolve_overrides", "top_findings", "bulk_outcomes", "policy_ledger_ops", "custom_policies", "policy_audit", "list_policies", "validate_policies", "audit_events", "other_audit_events", "allowed_override_actions", "audit_counts", "synthesize_risks", "intelligence_report"]
+CHOICE = ["detect_email", "detect_phone", "detect_assigned_credential", "scan", "risk_scores", "normalize_text", "text_quality", "sanitize", "sanitize_output_html", "extract_iocs", "key_findings", "resolve_overrides", "top_findings", "bulk_outcomes", "policy_ledger_ops", "custom_policies", "policy_audit", "list_policies", "validate_policies", "audit_events", "other_audit_events", "allowed_override_actions", "audit_counts", "synthesize_risks", "intelligence_report", "benchmark_report"]
 
 
 @pytest.fixture(scope="module")
