@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.regex import java
+from palisade.functions.regex import core, java, marks
 from palisade.functions.spans import let, spans_of_each
 from palisade.functions.text import strip
 from palisade.operators import risk
-from palisade.operators.detectors import NAME
+from palisade.operators.detectors import FRAMES, NAME
+from palisade.operators.scan import Seen
 
 # Patterns, keyword table and word lists.
 IP = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
@@ -52,10 +55,28 @@ TTPS = [
     ("T1485", "Data Destruction", "Impact", "CRITICAL", ["impact", "ransomware", "data destruction", "denial of service"]),
     ("T1202", "Indirect Command Execution", "Defense Evasion", "HIGH", ["injection", "prompt injection", "ignore previous instructions", "system override"]),
 ]
+#: Without what there can be no match, for each pattern in order: words, digits in all and in one run, the shape of numbers, a pattern of the text.
+WEB = ("http://", "https://")
+ENTITY_NEEDS: list[dict] = [
+    {"words": ("@",)}, {"digits": 10, "run": 5}, {"digits": 10, "run": 4}, {"words": ("+44",)}, {"digits": 4, "shape": "[0-9][.][0-9]{1,3}[.][0-9]"}, {"words": (":",), "frame": FRAMES["ipv6"]}, {"words": WEB},
+    {"digits": 5, "run": 4}, {"words": ("emp", "id-", "staff-", "cve-")}, {"shape": "[A-Z][0-9]{4}[A-Z]"}, {"digits": 9, "run": 4, "shape": "[0-9]-[0-9]{2}-[0-9]"}, {"shape": "[A-Z]0"},
+    {"words": tuple(PERSON_LABELS)}, {"words": ("Team", "Project", "Department", "Division")}, {"words": ("mumbai", "delhi", "bengaluru", "chennai", "kolkata", "hyderabad", "pune", "internal", "intranet", "dashboard", "datacenter")},
+]
+_HEX = {"frame": "[a-fA-F0-9]{32}"}
+IOC_NEEDS: list[dict] = [{"digits": 4, "shape": "[0-9][.][0-9]{1,3}[.][0-9]"}, {"words": (".com", ".org", ".net", ".io", ".gov", ".edu", ".internal", ".intranet", ".local")}, {"words": WEB}, _HEX, _HEX, _HEX, {"words": ("cve-",)}]
 FACTS = "(root cause|timeline|impact|risk|finding|recommendation|follow-up|exposure|credential|incident|vulnerability)"
 URGENT = "(critical|high|urgent|immediate|rotate|quarantine|blocked)"
 
 
+def _all_spans(text: Column, patterns: list[str], needs: list[dict], use: Callable[[Column], Column]) -> Column:
+    """``use`` of the spans of each pattern; a pattern without what it needs in the text is not tried."""
+    words = tuple(dict.fromkeys(w for n in needs for w in n.get("words", ())))
+    found = {k: c for k, c in vars(Seen.of(text, words)).items() if k != "blocks"}
+    seen = F.struct(*(c.alias(k) for k, c in found.items()))
+    tested = lambda x: spans_of_each(text, [(p, Seen(**{k: x[k] for k in found}).test(text, **n)) for p, n in zip(patterns, needs, strict=True)])
+    return let(let(seen, tested), use)
+
+
 def _first_of_each(rows: Column, kind: str) -> Column:
     """In order, the first row for each type and value."""
     return F.aggregate(rows, F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda a: (a["type"] == x["type"]) & (a["value"] == x["value"])), acc).otherwise(F.concat(acc, F.array(x))))
@@ -94,7 +115,7 @@ def extract_entities(text: Column, most: int = 25) -> Column:
         found += [plain(at(n), "PERSON", 0.65, PERSON), plain(at(n + 1), "ORG", 0.6), plain(at(n + 2), "LOCATION", 0.55)]
         return F.slice(_first_of_each(F.concat(*found), ENTITY), 1, most)
 
-    return let(spans_of_each(text, [(p, None) for p in patterns]), of)
+    return _all_spans(text, patterns, ENTITY_NEEDS, of)
 
 
 IOC = "array<struct<type:string,value:string,start:int,end:int,severity:string,confidence:double,context:string>>"
@@ -114,25 +135,34 @@ def extract_iocs(text: Column, most: int = 20) -> Column:
         found = [rows(F.get(all_, F.lit(i)), type_, severity, confidence) for i, (type_, _, severity, confidence) in enumerate(IOCS)]
         return F.slice(_first_of_each(F.concat(*found), IOC), 1, most)
 
-    return let(spans_of_each(text, [(p, None) for _, p, _, _ in IOCS]), of)
+    return _all_spans(text, [p for _, p, _, _ in IOCS], IOC_NEEDS, of)
 
 
 def map_ttps(text: Column, most: int = 12) -> Column:
     """array<struct<mitre_id, technique, tactic, severity, keyword, start, end, confidence, evidence>>: the first keyword of each technique that occurs."""
-    low = F.lower(text)
+    words = [w for *_, ws in TTPS for w in ws]
 
-    def one(mitre: str, technique: str, tactic: str, severity: str, words: list[str]) -> Column:
+    def one(low: Column, held: Column, mitre: str, technique: str, tactic: str, severity: str, words: list[str]) -> Column:
         word = F.lit(None).cast("string")
         for w in reversed(words):
-            word = F.when(F.contains(low, F.lit(w)), w).otherwise(word)
-        at = F.instr(low, word) - 1
-        evidence = F.concat(F.lit('"'), word, F.lit('" → '), _around(text, at, F.length(word), 30))
-        return F.when(word.isNotNull(), F.struct(
-            F.lit(mitre).alias("mitre_id"), F.lit(technique).alias("technique"), F.lit(tactic).alias("tactic"), F.lit(severity).alias("severity"), word.alias("keyword"), at.alias("start"), (at + F.length(word)).alias("end"),
-            F.when(F.length(word) > 10, 0.85).otherwise(0.7).alias("confidence"), evidence.alias("evidence"),
-        ))
-
-    return F.slice(F.array_compact(F.array(*(one(*t) for t in TTPS))), 1, most)
+            word = F.when(F.contains(held, F.lit(core(w))) & F.contains(low, F.lit(w)), w).otherwise(word)
+
+        def told(word: Column) -> Column:
+            at = F.instr(low, word) - 1
+            evidence = F.concat(F.lit('"'), word, F.lit('" → '), _around(text, at, F.length(word), 30))
+            return F.when(word.isNotNull(), F.struct(
+                F.lit(mitre).alias("mitre_id"), F.lit(technique).alias("technique"), F.lit(tactic).alias("tactic"), F.lit(severity).alias("severity"), word.alias("keyword"), at.alias("start"), (at + F.length(word)).alias("end"),
+                F.when(F.length(word) > 10, 0.85).otherwise(0.7).alias("confidence"), evidence.alias("evidence"),
+            ))
+
+        return let(word, told)
+
+    def found(low: Column) -> Column:
+        # one pass finds the cores of all keywords; most texts have few
+        held = F.array_join(F.array_distinct(F.regexp_extract_all(low, F.lit(marks([core(w) for w in words])), F.lit(1))), "\n")
+        return let(held, lambda h: F.array(*(one(low, h, *t) for t in TTPS)))
+
+    return F.slice(F.array_compact(let(F.lower(text), found)), 1, most)
 
 
 def synthesize_risks(text: Column, categories: Column, iocs: Column, ttps: Column) -> Column:
