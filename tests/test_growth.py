@@ -4,9 +4,11 @@ import math
 import random
 import re
 import time
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from palisade.functions import text
 from palisade.operators import outputs
 
 
@@ -45,3 +47,18 @@ def test_claims_against_a_long_source_take_no_look_at_all_of_it_for_each_word(sp
     began = time.time()
     got = df.select(F.size(F.filter(outputs.ground_claims(F.col("claims"), F.col("source")), lambda c: c["grounded"])).alias("n")).first()["n"]
     assert got == 0 and time.time() - began < 15
+
+
+def test_composition_takes_stretches_and_gives_the_same(spark):
+    pick = random.Random(7)
+    kinds = [*"ab eé\n", "é", "́", "̣", "Å", "ᄀ", "ᅡ", "ᆨ", "가", "क़", "̈́", "\U0001d15e", "\U0001F600", "ে", "া", "一", "豈", "ཱི", "\U00011099\U000110ba"]
+    texts = ["".join(pick.choices(kinds, k=pick.randint(0, 30))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", text.compose(F.col("t")).alias("c")).collect():
+        assert r["c"] == (None if r["t"] is None else unicodedata.normalize("NFC", r["t"])), r["t"]
+
+
+def test_composition_sends_no_whole_text_to_python(spark):
+    # a stretch for each composed letter, none of the letters between
+    row = spark.createDataFrame([("long words " * 9000 + "é end 一é",)], "t string").select(F.regexp_extract_all("t", F.lit(text.UNSETTLED), F.lit(0)).alias("m")).first()
+    assert row["m"] == ["é"]
