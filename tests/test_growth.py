@@ -62,3 +62,18 @@ def test_composition_sends_no_whole_text_to_python(spark):
     # a stretch for each composed letter, none of the letters between
     row = spark.createDataFrame([("long words " * 9000 + "é end 一é",)], "t string").select(F.regexp_extract_all("t", F.lit(text.UNSETTLED), F.lit(0)).alias("m")).first()
     assert row["m"] == ["é"]
+
+
+def test_a_gated_text_is_measured_once(spark, sf_dir):
+    from palisade.plans import texts
+
+    plan = texts.gate(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("github_pat") == 1
+
+
+def test_blank_texts_and_whole_words(spark):
+    rows = [("", True), (" \n\t　﻿", True), (" x ", False), ("a" * 5000, False), (None, None)]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(text.blank(F.col("t")).alias("b")).collect()
+    assert [r["b"] for r in got] == [b for _, b in rows]
+    said = spark.createDataFrame([("The thesis; éand AND or_ is-it this_ content",)], "t string").select(F.regexp_count("t", F.lit(text._words(text.DICTIONARY))).alias("new"), F.regexp_count("t", F.lit("(?i)" + text.java(text.DICTIONARY))).alias("old")).first()
+    assert said["new"] == said["old"] == 5
