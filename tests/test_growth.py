@@ -77,3 +77,18 @@ def test_blank_texts_and_whole_words(spark):
     assert [r["b"] for r in got] == [b for _, b in rows]
     said = spark.createDataFrame([("The thesis; éand AND or_ is-it this_ content",)], "t string").select(F.regexp_count("t", F.lit(text._words(text.DICTIONARY))).alias("new"), F.regexp_count("t", F.lit("(?i)" + text.java(text.DICTIONARY))).alias("old")).first()
     assert said["new"] == said["old"] == 5
+
+
+def test_long_words_are_not_read_again_from_each_of_their_characters(spark):
+    from palisade.functions.regex import java
+    from palisade.operators.detectors import ALL
+
+    odd = ["a@b.com-x@y.com", "a@b.co_c@d.example.org..e@f.gh", "@@x@y.zz", "n@ybl-m@upi.k@paytm", "a.b@c", "éa@b.com"]
+    df = spark.createDataFrame([(t,) for t in [*odd, "w" * 20_000 + " a@b.com"]], "t string").cache()
+    df.count()
+    for name in ("email", "upi"):
+        p = ALL[name].patterns[0]
+        began = time.time()
+        got = [r["m"] for r in df.select(F.regexp_extract_all("t", F.lit(java(p)), F.lit(0)).alias("m")).collect()]
+        assert got[:-1] == [re.findall(p, t, re.ASCII) for t in odd]
+        assert java(p).startswith("(?:(?<!") and time.time() - began < 10
