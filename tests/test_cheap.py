@@ -45,3 +45,20 @@ def test_words_that_overlap_are_all_found(spark):
     got = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(marks(words)), F.lit(1)).alias("m")).first()["m"]
     assert got == ["expir", "valid", "mode", "you are now", "are n", " tool"]
     assert all(core(w) and w.endswith(core(w)) for w in words)
+
+
+def test_words_in_any_case_are_found_in_the_text_as_it_is(spark):
+    text = "EXPiry VALID m\u00d6de MODE You Are now a TOOL \u212aey"
+    words = ["exp", "valid", " tool", "mode", "you are", "key"]
+    got = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(marks(words, True)), F.lit(1)).alias("m")).first()["m"]
+    assert got == ["EXP", "VALID", "MODE", "You Are", " TOOL"]
+
+
+def test_no_text_is_lower_cased_whole_and_invisible_characters_are_looked_for_by_one_range(spark):
+    seen = scan.Seen.of(F.col("text"), ("exp", "Bearer")).columns("")
+    df = spark.createDataFrame([("a\u200bjail\u00adbreak",), ("\u2010 jailbreak",), (None,)], "text string")
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    assert "lower(text" not in plan(df.select(seen["low"].alias("low")))
+    found = df.select(scan.find_smuggled(F.col("text")).alias("f"))
+    assert "(?=[\\x{AD}-\\x{FEFF}])" in plan(found)
+    assert [[x["start"] for x in r["f"]] for r in found.collect()] == [[1], [], []]
