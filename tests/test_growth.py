@@ -92,3 +92,24 @@ def test_long_words_are_not_read_again_from_each_of_their_characters(spark):
         got = [r["m"] for r in df.select(F.regexp_extract_all("t", F.lit(java(p)), F.lit(0)).alias("m")).collect()]
         assert got[:-1] == [re.findall(p, t, re.ASCII) for t in odd]
         assert java(p).startswith("(?:(?<!") and time.time() - began < 10
+
+
+def test_policies_that_leave_the_same_text_have_it_scanned_once(spark, sf_dir, monkeypatch):
+    from palisade.operators import sanitize, scan
+    from palisade.plans.detection import planted
+
+    names = ["PUBLIC_RELEASE", "HR_SAFE", "SECURITY_INCIDENT", "UNKNOWN"]
+    whole, texts = scan.scan_array, []
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a@mail.test"), (-4, "a@mail.test"), (-4, "plain words")], "doc_id long, text string")
+    docs = whole(planted(spark, sf_dir).select("doc_id", "text").limit(60).unionByName(odd)).withColumnRenamed("doc_id", "document_id").localCheckpoint()
+    monkeypatch.setattr(scan, "scan_array", lambda df, *a, **k: texts.append(df) or whole(df, *a, **k))
+    got = sanitize.policy_compare(docs, names)
+    plain = None
+    for name in names[:3]:
+        rows = sanitize.sanitize(sanitize.with_policy(docs, name)).withColumn("risk_before", sanitize.risk.risk(F.col("findings"))["total"])
+        preview = F.when(F.col("blocked"), "— BLOCKED —").otherwise(F.left("sanitized_content", F.lit(400)))
+        rows = sanitize.residual_risk(rows).select("document_id", F.lit(name).alias("profile"), preview.alias("preview"), F.size("actions").alias("n_actions"), "risk_before", "risk_after", "blocked")
+        plain = rows if plain is None else plain.unionByName(rows)
+    assert got.columns == plain.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    assert texts[0].count() < 2 * docs.count()
