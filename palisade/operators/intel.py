@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.regex import core, java, marks
 from palisade.functions.spans import let, spans_of_each
-from palisade.functions.text import strip
+from palisade.functions.text import pieces_count, strip
 from palisade.operators import risk
 from palisade.operators.detectors import FRAMES, NAME
 from palisade.operators.scan import Seen
@@ -62,19 +62,35 @@ ENTITY_NEEDS: list[dict] = [
     {"digits": 5, "run": 4}, {"words": ("emp", "id-", "staff-", "cve-")}, {"shape": "[A-Z][0-9]{4}[A-Z]"}, {"digits": 9, "run": 4, "shape": "[0-9]-[0-9]{2}-[0-9]"}, {"shape": "[A-Z]0"},
     {"words": tuple(PERSON_LABELS)}, {"words": ("Team", "Project", "Department", "Division")}, {"words": ("mumbai", "delhi", "bengaluru", "chennai", "kolkata", "hyderabad", "pune", "internal", "intranet", "dashboard", "datacenter")},
 ]
-_HEX = {"frame": "[a-fA-F0-9]{32}"}
+_HEX = {"frame": "[abcdefABCDEF0123456789]{32}"}
 IOC_NEEDS: list[dict] = [{"digits": 4, "shape": "[0-9][.][0-9]{1,3}[.][0-9]"}, {"words": (".com", ".org", ".net", ".io", ".gov", ".edu", ".internal", ".intranet", ".local")}, {"words": WEB}, _HEX, _HEX, _HEX, {"words": ("cve-",)}]
+NEEDS = ENTITY_NEEDS + IOC_NEEDS
 FACTS = "(root cause|timeline|impact|risk|finding|recommendation|follow-up|exposure|credential|incident|vulnerability)"
 URGENT = "(critical|high|urgent|immediate|rotate|quarantine|blocked)"
 
 
-def _all_spans(text: Column, patterns: list[str], needs: list[dict], use: Callable[[Column], Column]) -> Column:
-    """``use`` of the spans of each pattern; a pattern without what it needs in the text is not tried."""
+def seen(text: Column, needs: list[dict]) -> Column:
+    """What the patterns' tests look at, as a struct: ``Seen`` of their words, and which of their patterns of the text it shows, each looked for once."""
     words = tuple(dict.fromkeys(w for n in needs for w in n.get("words", ())))
-    found = {k: c for k, c in vars(Seen.of(text, words)).items() if k != "blocks"}
-    seen = F.struct(*(c.alias(k) for k, c in found.items()))
-    tested = lambda x: spans_of_each(text, [(p, Seen(**{k: x[k] for k in found}).test(text, **n)) for p, n in zip(patterns, needs, strict=True)])
-    return let(let(seen, tested), use)
+    fields = {k: c for k, c in vars(Seen.of(text, words)).items() if k != "blocks"}
+    return F.struct(*(c.alias(k) for k, c in fields.items()), *(text.rlike(f).alias(f"frame_{i}") for i, f in enumerate(_frames(needs))))
+
+
+def _frames(needs: list[dict]) -> list[str]:
+    return list(dict.fromkeys(n["frame"] for n in needs if "frame" in n))
+
+
+def _all_spans(text: Column, patterns: list[str], needs: list[dict], use: Callable[[Column], Column], shown: Column | None = None, of: list[dict] | None = None) -> Column:
+    """``use`` of the spans of each pattern; a pattern without what it needs in the text is not tried. shown: ``seen`` as a column, for the needs ``of``, where it is at hand."""
+    frames = _frames(of or needs)
+
+    def test(x: Column, n: dict) -> Column:
+        out = Seen(x["low"], x["caps"], x["counted"]).test(text, **{k: v for k, v in n.items() if k != "frame"})
+        shows = x[f"frame_{frames.index(n['frame'])}"] if "frame" in n else None
+        return shows if out is None else out if shows is None else out & shows
+
+    tested = lambda x: spans_of_each(text, [(p, test(x, n)) for p, n in zip(patterns, needs, strict=True)])
+    return let(let(seen(text, needs), tested) if shown is None else tested(shown), use)
 
 
 def _first_of_each(rows: Column, kind: str) -> Column:
@@ -90,7 +106,8 @@ def _around(text: Column, start: Column, size: Column, margin: int) -> Column:
 ENTITY = "array<struct<type:string,value:string,start:int,end:int,confidence:double,context:string>>"
 
 
-def extract_entities(text: Column, most: int = 25) -> Column:
+def extract_entities(text: Column, most: int = 25, shown: Column | None = None) -> Column:
+    """shown: ``seen`` of the text for ``NEEDS``, where it is at hand."""
     def rows(found: Column, type_: str, confidence: float) -> Column:
         def one(x: Column) -> Column:
             value = strip(x["matched"])
@@ -115,13 +132,14 @@ def extract_entities(text: Column, most: int = 25) -> Column:
         found += [plain(at(n), "PERSON", 0.65, PERSON), plain(at(n + 1), "ORG", 0.6), plain(at(n + 2), "LOCATION", 0.55)]
         return F.slice(_first_of_each(F.concat(*found), ENTITY), 1, most)
 
-    return _all_spans(text, patterns, ENTITY_NEEDS, of)
+    return _all_spans(text, patterns, ENTITY_NEEDS, of, shown, NEEDS if shown is not None else None)
 
 
 IOC = "array<struct<type:string,value:string,start:int,end:int,severity:string,confidence:double,context:string>>"
 
 
-def extract_iocs(text: Column, most: int = 20) -> Column:
+def extract_iocs(text: Column, most: int = 20, shown: Column | None = None) -> Column:
+    """shown: as for ``extract_entities``."""
     def rows(found: Column, type_: str, severity: str, confidence: float) -> Column:
         if type_ == "DOMAIN":  # an address's domain is personal data, not an indicator
             low = lambda x: F.greatest(F.lit(0), x["start"] - 30)
@@ -135,7 +153,7 @@ def extract_iocs(text: Column, most: int = 20) -> Column:
         found = [rows(F.get(all_, F.lit(i)), type_, severity, confidence) for i, (type_, _, severity, confidence) in enumerate(IOCS)]
         return F.slice(_first_of_each(F.concat(*found), IOC), 1, most)
 
-    return _all_spans(text, [p for _, p, _, _ in IOCS], IOC_NEEDS, of)
+    return _all_spans(text, [p for _, p, _, _ in IOCS], IOC_NEEDS, of, shown, NEEDS if shown is not None else None)
 
 
 def map_ttps(text: Column, most: int = 12) -> Column:
@@ -185,17 +203,25 @@ def synthesize_risks(text: Column, categories: Column, iocs: Column, ttps: Colum
 
 def key_findings(text: Column) -> Column:
     """array<struct<finding, score, start, confidence>>: up to five sentences that score 2 or more, else the best one."""
-    parts = F.filter(F.transform(F.split(text, "(?<=[.!?])" + java(r"\s+")), strip), lambda s: F.length(s) > 20)
+    parts = F.filter(F.transform(F.split(text, java(r"\s(?<=[.!?]\s)\s*")), strip), lambda s: F.length(s) > 20)
+    # words that no sentence can have are told by the whole text
+    some = lambda low, words: F.filter(F.array(*map(F.lit, words.strip("()").split("|"))), lambda w: F.contains(low, w))
+    held = let(F.lower(text), lambda low: F.struct(some(low, FACTS).alias("facts"), some(low, URGENT).alias("urgent")))
+    points_of = lambda low, words, n: F.when(F.exists(words, lambda w: F.contains(low, w)), n).otherwise(0.0)
+
+    def scored(h: Column) -> Callable[[Column, Column], Column]:
+        def one(s: Column, i: Column) -> Column:
+            says = let(F.lower(s), lambda low: points_of(low, h["facts"], 3.0) + points_of(low, h["urgent"], 2.0))
+            points = F.when(F.size(h["facts"]) + F.size(h["urgent"]) > 0, says).otherwise(0.0) + F.when((F.length(s) > 60) & (F.length(s) < 220), 1.0).otherwise(0.0) + F.when(i == 0, 0.5).otherwise(0.0)
+            return F.struct((-points).alias("order"), i.alias("i"), s.alias("s"))
+
+        return one
 
-    def scored(s: Column, i: Column) -> Column:
-        low = F.lower(s)
-        points = F.when(low.rlike(FACTS), 3.0).otherwise(0.0) + F.when(low.rlike(URGENT), 2.0).otherwise(0.0) + F.when((F.length(s) > 60) & (F.length(s) < 220), 1.0).otherwise(0.0) + F.when(i == 0, 0.5).otherwise(0.0)
-        return F.struct((-points).alias("order"), i.alias("i"), s.alias("s"))
+    def chosen(ranked: Column) -> Column:
+        good = F.slice(F.filter(ranked, lambda x: x["order"] <= -2.0), 1, 5)
+        return let(good, lambda g: F.when(F.size(g) > 0, g).otherwise(F.slice(ranked, 1, 1)))
 
-    ranked = F.array_sort(F.transform(parts, scored))
-    good = F.slice(F.filter(ranked, lambda x: x["order"] <= -2.0), 1, 5)
-    chosen = F.when(F.size(good) > 0, good).otherwise(F.slice(ranked, 1, 1))
-    return F.transform(chosen, lambda x: F.struct(
+    return F.transform(let(let(held, lambda h: F.array_sort(F.transform(parts, scored(h)))), chosen), lambda x: F.struct(
         F.left(x["s"], F.lit(240)).alias("finding"), (-x["order"]).alias("score"), (F.instr(text, x["s"]) - 1).alias("start"), F.least(F.lit(0.95), F.lit(0.6) - x["order"] * 0.08).alias("confidence"),
     ))
 
@@ -209,7 +235,9 @@ def intelligence_report(df: DataFrame, text_col: str = "text", findings_col: str
     """``df`` with the report's columns (``REPORT``); risk_score and classification are the document's, from its findings where it has none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = risk.risk(F.col(findings_col))
-    df = df.withColumns({"entities": extract_entities(text), "iocs": extract_iocs(text), "ttps": map_ttps(text), "key_findings": key_findings(text)})
+    shown = F.col("_shown")
+    df = df.withColumn("_shown", seen(text, NEEDS))
+    df = df.withColumns({"entities": extract_entities(text, shown=shown), "iocs": extract_iocs(text, shown=shown), "ttps": map_ttps(text), "key_findings": key_findings(text)}).drop("_shown")
     df = df.withColumn("risks", synthesize_risks(text, F.transform(findings_col, lambda f: f["category"]), F.col("iocs"), F.col("ttps")))
     if "risk_score" not in df.columns or "classification" not in df.columns:
         df = df.withColumn("_own", own).withColumns({"risk_score": F.col("_own.total"), "classification": F.col("_own.classification")}).drop("_own")
@@ -218,7 +246,7 @@ def intelligence_report(df: DataFrame, text_col: str = "text", findings_col: str
     named = F.when(F.size("ttps") > 0, F.concat(F.lit("ATT&CK: "), techniques, F.lit(". "))).otherwise("")
     top = F.when(F.size("risks") > 0, F.concat(F.lit("Top risk: "), F.get("risks", F.lit(0))["category"], F.lit(" ("), F.get("risks", F.lit(0))["severity"], F.lit(")."))).otherwise("No risk stands out.")
     summary = F.concat(
-        F.lit("Analyzed "), F.size(F.split(text, java(r"\s+"))).cast("string"), F.lit(" words across "), pages, F.lit(" pages. Detected "), F.size("entities").cast("string"), F.lit(" entities, "),
+        F.lit("Analyzed "), pieces_count(text).cast("string"), F.lit(" words across "), pages, F.lit(" pages. Detected "), F.size("entities").cast("string"), F.lit(" entities, "),
         F.size("iocs").cast("string"), F.lit(" IOCs, "), F.size("ttps").cast("string"), F.lit(" TTP(s). "), named, top,
     )
     return df.withColumns({
