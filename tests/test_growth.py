@@ -115,6 +115,38 @@ def test_policies_that_leave_the_same_text_have_it_scanned_once(spark, sf_dir, m
     assert texts[0].count() < 2 * docs.count()
 
 
+def _scanned(monkeypatch):
+    """The frames that are scanned from now on, each with its column of text."""
+    from palisade.operators import scan
+
+    whole, seen = scan.scan_array, []
+    monkeypatch.setattr(scan, "scan_array", lambda df, *a, text_col="text", **k: seen.append(df.select(F.col(text_col).alias("t"))) or whole(df, *a, text_col=text_col, **k))
+    return seen
+
+
+def test_an_output_without_leaks_is_scanned_once(spark, monkeypatch):
+    seen = _scanned(monkeypatch)
+    rows = [("All is quiet in the garden.", "quiet"), ("Write to nora.weiss@mail.test today", "x"), ("ok <script>x</script>", "x"), (None, None)]
+    out = outputs.validate_outputs(spark.createDataFrame([(*r, 50) for r in rows], "output string, source string, risk_before int")).select("output_dlp", "leakage_count", "risk_delta", "final_output").collect()
+    assert [tuple(r)[:3] for r in out] == [("PASS", 0, 50), ("FAIL", 1, 50), ("PASS", 0, 50), ("PASS", 0, 50)]
+    assert [r["t"] for r in seen[0].collect() if r["t"] is not None] == [out[1]["final_output"]]
+
+
+def test_grounding_follows_the_rule_for_many_claims_and_few(spark):
+    pick = random.Random(11)
+    words = [f"{a}{b}{c}" for a in ("", "pre", "(") for b in ("alpha", "beta", "gammas", "deltas", "omegas", "word", "tail", "x") for c in ("", "s", ",", ")", "ly")]
+    of = lambda n: " ".join(pick.choices(words, k=n))
+    rows = []
+    for i in range(40):
+        source = of(60)
+        told = source.split(" ")
+        claims = [" ".join(told[j : j + 7]) if pick.random() < 0.3 else of(pick.randint(1, 9)) for j in range(pick.choice([1, 2, 25]))]
+        rows.append((i, claims, source.upper() if i % 5 == 0 else source))
+    df = spark.createDataFrame(rows, "i int, claims array<string>, source string")
+    for r in df.select("*", outputs.ground_claims(F.col("claims"), F.col("source")).alias("c")).collect():
+        assert [c["evidence"] for c in r["c"]] == [_grounded(x, r["source"].lower()) for x in r["claims"]], r["source"]
+
+
 def test_a_report_looks_for_words_and_numbers_once(spark, monkeypatch):
     from palisade.operators import intel
 
