@@ -132,6 +132,15 @@ def test_an_output_without_leaks_is_scanned_once(spark, monkeypatch):
     assert [r["t"] for r in seen[0].collect() if r["t"] is not None] == [out[1]["final_output"]]
 
 
+def test_a_blocked_document_is_not_scanned_again(spark, monkeypatch):
+    from palisade.operators import sanitize
+
+    seen = _scanned(monkeypatch)
+    docs = spark.createDataFrame([("a@mail.test", True, 9), ("plain words", False, 9)], "sanitized_content string, blocked boolean, risk_before int")
+    assert [r["risk_after"] for r in sanitize.residual_risk(docs).collect()] == [9, 0]
+    assert [r["t"] for r in seen[0].collect()] == [None, "plain words"]
+
+
 def test_grounding_follows_the_rule_for_many_claims_and_few(spark):
     pick = random.Random(11)
     words = [f"{a}{b}{c}" for a in ("", "pre", "(") for b in ("alpha", "beta", "gammas", "deltas", "omegas", "word", "tail", "x") for c in ("", "s", ",", ")", "ly")]
