@@ -170,7 +170,7 @@ def test_a_report_looks_for_words_and_numbers_once(spark, monkeypatch):
 
 
 def test_stats_and_cleaning_follow_the_plain_rules(spark):
-    from palisade.functions.regex import SPACES, java
+    from palisade.functions.regex import SPACES, java, re2
     from palisade.functions.spans import spans
 
     pick = random.Random(3)
@@ -190,4 +190,4 @@ def test_stats_and_cleaning_follow_the_plain_rules(spark):
     for pattern, t in ((r"\b123\b", "0123 x123 123 é"), (r"\b123\b", "é 123 1234"), (r"\b123\b", "é 123"), (r"aa", "aaa"), (r"[a-z]+@", "éab@ ab@")):
         got = spark.createDataFrame([(t,)], "t string").select(spans(c, pattern).alias("m")).first()["m"]
         assert [(m["start"], m["end"], m["matched"]) for m in got] == [(*m.span(), m[0]) for m in re.finditer(pattern, t, re.ASCII)], t
-    assert "^" not in java(r"\s+\S+")
+    assert "^" not in java(r"\s+\S+") and "&&" not in re2(r"\s[a-z]\S") and "[a-z]" in re2(r"\s[a-z]\S")
